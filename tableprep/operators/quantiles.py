@@ -1,29 +1,26 @@
 """Exact quantiles with linear interpolation, at any table size.
 
-Spark's ``percentile`` keeps every distinct value of a column in one buffer, so
-it is used only up to a checked number of cells. Above that the wanted order
-statistics are closed in on with mergeable sketches: each pass over the data
-replaces an open interval that holds the order statistic by a far narrower one,
-and counts the rows below it, until the interval holds few enough values to be
-sorted in one buffer. Every pass is one aggregation over all columns, and only
-a few numbers per column reach the driver.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer, so
+it is used only up to a checked number of cells. Above that a mergeable sketch
+first brackets each wanted rank between two values; then one pass counts rows,
+keeping values apart only inside the brackets, which hold a few ten-thousandths
+of the table, and the ranks are read off the running counts. The sketch's error
+bound makes the result exact; a rank outside its bracket would raise an error.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .roles import col
 
-DIRECT_CELLS = 2_000_000
-FEW_VALUES = 5_000
-GRID = [i / 500 for i in range(501)]
-ACCURACY = 10_000
+DIRECT_CELLS = 500_000
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -33,160 +30,57 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not cols:
         return {}
     probs = [float(p) for p in probs]
-    if not exact:
-        row = df.agg(*[
-            F.percentile_approx(col(c).cast("double"), probs, ACCURACY).alias(f"q{i}")
-            for i, c in enumerate(cols)]).first()
-    else:
-        rows = df.count() if rows is None else rows
-        if rows * len(cols) > direct_cells:
-            return _narrowed(df, cols, probs)
-        row = df.agg(*[
-            F.percentile(col(c).cast("double"), probs).alias(f"q{i}")
-            for i, c in enumerate(cols)]).first()
-    return {c: list(row[i]) if row[i] is not None else [None] * len(probs)
-            for i, c in enumerate(cols)}
-
-
-def _narrowed(df: DataFrame, cols: Sequence[str],
-              probs: Sequence[float]) -> dict[str, list[float | None]]:
-    values = {c: col(c).cast("double") for c in cols}
-    counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())]).first()
-    sizes = {c: counts[i] for i, c in enumerate(cols)}
-    wanted = sorted({(c, k) for c in cols if sizes[c] for p in probs
-                     for k in _ranks(p, sizes[c])})
-    found = order_statistics(df, values, sizes, wanted)
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        out[c] = []
-        for p in probs:
-            if not sizes[c]:
-                out[c].append(None)
-                continue
-            lo, hi = _ranks(p, sizes[c])
-            part = p * (sizes[c] - 1) - lo
-            a, b = found[c, lo], found[c, hi]
-            out[c].append(a if a == b else a * (1 - part) + b * part)
-    return out
-
-
-def _ranks(p: float, n: int) -> tuple[int, int]:
-    at = p * (n - 1)
-    return math.floor(at), math.ceil(at)
-
-
-def order_statistics(df: DataFrame, values: dict[str, Column], sizes: dict[str, int],
-                     wanted: Sequence[tuple[str, int]]) -> dict[tuple[str, int], float]:
-    """The k-th smallest value (from 0) of each wanted (column, k)."""
-    found: dict[tuple[str, int], float] = {}
-    # interval: exclusive bounds, rows at or below the lower bound, rows inside
-    state = {w: (None, None, 0, sizes[w[0]]) for w in wanted}
-    while state:
-        inside = {w: _within(values[w[0]], s) for w, s in state.items()}
-        short = {w for w, s in state.items() if s[3] <= FEW_VALUES}
-        exprs, order = [], sorted(state)
-        for i, w in enumerate(order):
-            kept = F.when(inside[w], values[w[0]])
-            if w in short:
-                offset = w[1] - state[w][2]
-                exprs.append(F.element_at(F.sort_array(F.collect_list(kept)), offset + 1).alias(f"v{i}"))
-            else:
-                exprs.append(F.percentile_approx(kept, GRID, ACCURACY).alias(f"v{i}"))
-        row = df.agg(*exprs).first()
-        bounds = {}
-        for i, w in enumerate(order):
-            if w in short:
-                found[w] = row[i]
-                del state[w]
-                continue
-            lower, upper, below, count = state[w]
-            share = (w[1] - below + 1) / count
-            slack = 2.0 / ACCURACY + 1.0 / count
-            grid = row[i]
-            a = max((g for g, p in zip(grid, GRID) if p <= share - slack), default=None)
-            b = min((g for g, p in zip(grid, GRID) if p >= share + slack), default=None)
-            bounds[w] = (lower if a is None else a, upper if b is None else b)
-        if not state:
-            break
-        order = sorted(state)
-        tests = []
-        for i, w in enumerate(order):
-            v, (a, b) = values[w[0]], bounds[w]
-            tests += [
-                F.count(F.when(v < a, 1) if a is not None else F.lit(None)).alias(f"l{i}"),
-                F.count(F.when(v == a, 1) if a is not None else F.lit(None)).alias(f"a{i}"),
-                F.count(F.when(v == b, 1) if b is not None else F.lit(None)).alias(f"b{i}"),
-                F.count(F.when(_within(v, (a, b)), 1)).alias(f"i{i}"),
-            ]
-        row = df.agg(*tests).first()
-        for i, w in enumerate(order):
-            a, b = bounds[w]
-            less, at_a, at_b, mid = row[4 * i:4 * i + 4]
-            k = w[1]
-            if a is not None and less <= k < less + at_a:
-                found[w] = a
-            elif b is not None and a != b and less + at_a + mid <= k < less + at_a + mid + at_b:
-                found[w] = b
-            elif less + at_a <= k < less + at_a + mid:
-                state[w] = (a, b, less + at_a, mid)
-                continue
-            else:
-                raise ArithmeticError(f"order statistic {w} fell outside its interval")
-            del state[w]
-    return found
-
-
-def _within(v: Column, interval: tuple) -> Column:
-    lower, upper = interval[0], interval[1]
-    test = v.isNotNull()
-    if lower is not None:
-        test = test & (v > lower)
-    if upper is not None:
-        test = test & (v < upper)
-    return test
+    rows = df.count() if exact and rows is None else rows
+    if not exact or rows * len(cols) <= direct_cells:
+        pick = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
+        row = df.agg(*[pick(col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
+    long = df.select(*[col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    found = {r["column"]: list(r["q"]) for r in
+             grouped_quantiles(long, ["column"], "value", probs, rows * len(cols), direct_cells).collect()}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
 def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                       rows: int | None = None, direct_cells: int = DIRECT_CELLS) -> DataFrame:
-    """One row per group: ``by..., n, q`` where ``q`` is the array of quantiles.
-
-    Beyond the checked size each group is cut into slices at sketched edges; the
-    slices that hold a wanted rank are ranked on their own, so one group with a
-    large share of the table is spread over many tasks.
-    """
+    """One row per group with values: ``by..., n, q`` where ``q`` is the array of quantiles."""
+    probs = [float(p) for p in probs]
     data = df.select(*[col(b) for b in by], col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     rows = data.count() if rows is None else rows
     if rows <= direct_cells:
-        return data.groupBy(*by).agg(F.count("*").alias("n"),
-                                     F.percentile("_v", list(probs)).alias("q"))
-    keys = [F.coalesce(F.to_json(F.struct(*[col(b) for b in by])), F.lit("")).alias("_g")]
-    data = data.select(*keys, *[col(b) for b in by], "_v")
-    sketch = data.groupBy("_g", *by).agg(
-        F.count("*").alias("n"),
-        F.array_distinct(F.percentile_approx("_v", [i / 1000 for i in range(1001)], ACCURACY)).alias("_e"))
-    edges = sketch.select("_g", "_e")
-    counts = (data.groupBy("_g", "_v").agg(F.count("*").alias("_c")).join(edges, "_g")
-              .select("_g", "_v", "_c", F.size(F.filter("_e", lambda e: e < F.col("_v"))).alias("_s")))
-    sums = counts.groupBy("_g", "_s").agg(F.sum("_c").alias("_m"))
-    run = W.partitionBy("_g").orderBy("_s")
-    sums = sums.select("_g", "_s", (F.sum("_m").over(run) - F.col("_m")).alias("_before"),
-                       F.sum("_m").over(run).alias("_upto"))
-    wanted = (sketch.select("_g", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"), "n")
-              .select("_g", "_i", "_p", (F.col("_p") * (F.col("n") - 1)).alias("_at"))
-              .select("_g", "_i", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_k")).distinct())
-    hit = sums.join(wanted, "_g").filter("_before <= _k AND _k < _upto")
-    needed = hit.select("_g", "_s", "_before").distinct()
-    ranked = counts.join(needed, ["_g", "_s"])
-    inner = W.partitionBy("_g", "_s").orderBy("_v")
-    ranked = ranked.select("_g", "_s", "_v", "_c",
-                           (F.sum("_c").over(inner) + F.col("_before")).alias("_hi"))
-    picks = (ranked.join(hit.select("_g", "_s", "_i", "_at", "_k"), ["_g", "_s"])
-             .filter((F.col("_k") < F.col("_hi")) & (F.col("_k") >= F.col("_hi") - F.col("_c"))))
-    part = F.col("_at") - F.floor("_at")
-    one = picks.groupBy("_g", "_i").agg(
-        F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first(part).alias("_f"))
-    one = one.select("_g", "_i", F.when(F.col("_a") == F.col("_b"), F.col("_a"))
-                     .otherwise(F.col("_a") * (1 - F.col("_f")) + F.col("_b") * F.col("_f")).alias("_q"))
-    arrays = one.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_l"))
-    return (sketch.join(arrays, "_g")
-            .select(*[col(b) for b in by], "n", F.transform("_l", lambda s: s["_q"]).alias("q")))
+        return data.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", probs).alias("q"))
+    accuracy = 10_000 if rows <= 10**9 else 100_000
+    slack = 3 / accuracy
+    bounds = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
+    sketch = data.groupBy(*by).agg(F.count("*").alias("_n"),
+                                   F.percentile_approx("_v", bounds, accuracy).alias("_e"))
+    sketch = sketch.select(*[col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_n",
+                           *[F.get("_e", i).alias(f"_e{i}") for i in range(len(bounds))])
+    same = reduce(lambda a, b: a & b, [col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)])
+    near = data.join(broadcast_if_small(sketch), same)
+    v, edges = F.col("_v"), [F.col(f"_e{i}") for i in range(len(bounds))]
+    inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(edges[::2], edges[1::2])])
+    # place among the edges, then the value itself inside a bracket: a total order
+    # in which all values of a gap share one entry that sorts before the next edge
+    place = sum(((v > e).cast("int") for e in edges), F.lit(0))
+    counts = (near.select(*[col(b) for b in by], "_n", place.alias("_p"), F.when(inside, v).alias("_v"))
+              .groupBy(*by, "_n", "_p", "_v").agg(F.count("*").alias("_c")))
+    run = W.partitionBy(*[col(b) for b in by]).orderBy("_p", F.col("_v").asc_nulls_first())
+    counts = counts.withColumn("_hi", F.sum("_c").over(run)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+
+    def at(rank: Column) -> Column:
+        hit = (F.col("_lo") <= rank) & (rank < F.col("_hi"))
+        return F.max(F.when(hit, F.coalesce("_v", F.raise_error(F.lit("rank outside its bracket")).cast("double"))))
+
+    picks = []
+    for i, p in enumerate(probs):
+        spot = F.lit(p) * (F.col("_n") - 1)
+        picks += [at(F.floor(spot)).alias(f"_a{i}"), at(F.ceil(spot)).alias(f"_z{i}")]
+    found = counts.groupBy(*by, "_n").agg(*picks)
+    out = []
+    for i, p in enumerate(probs):
+        part = F.lit(p) * (F.col("_n") - 1)
+        part = part - F.floor(part)
+        a, z = F.col(f"_a{i}"), F.col(f"_z{i}")
+        out.append(F.when(a == z, a).otherwise(a * (1 - part) + z * part))
+    return found.select(*[col(b) for b in by], F.col("_n").alias("n"), F.array(*out).alias("q"))

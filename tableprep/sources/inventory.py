@@ -11,27 +11,29 @@ from pyspark.sql import functions as F
 from ..operators.roles import col
 
 
-def table_facts(df: DataFrame, name: str, bytes_: DataFrame | None = None) -> DataFrame:
-    """name, rows, columns, column_names, types, missing per column and in total, bytes."""
+def table_facts(df: DataFrame, name: str) -> DataFrame:
+    """name, rows, columns, column_names, types, missing per column and in total."""
     nulls = [F.count(F.when(col(c).isNull(), 1)) for c in df.columns]
     types = F.create_map(*[F.lit(v) for f in df.schema.fields for v in (f.name, f.dataType.simpleString())])
     missing = F.create_map(*[v for c, n in zip(df.columns, nulls) for v in (F.lit(c), n)])
     facts = df.agg(F.count("*").alias("rows"), sum(nulls, F.lit(0)).alias("missing_total"), missing.alias("missing"))
-    out = facts.select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"),
-                       F.array(*[F.lit(c) for c in df.columns]).alias("column_names"), types.alias("types"),
-                       "missing", "missing_total")
-    if bytes_ is not None:
-        out = out.join(F.broadcast(bytes_.agg(F.sum("length").alias("bytes"))))
-    return out
+    return facts.select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"),
+                        F.array(*[F.lit(c) for c in df.columns]).alias("column_names"), types.alias("types"),
+                        "missing", "missing_total")
 
 
 def dataset_inventory(spark: SparkSession, tables: Mapping[str, str]) -> DataFrame:
-    """Facts of many Parquet tables, given as name -> path, in one job."""
-    rows = []
+    """Facts of many Parquet tables, given as name -> path, in one job; file sizes from one listing."""
+    facts = reduce(lambda a, b: a.unionByName(b),
+                   [table_facts(spark.read.parquet(path), name) for name, path in tables.items()])
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load(list(tables.values())).select("path", "length"))
+    owner = F.lit(None).cast("string")
     for name, path in tables.items():
-        sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
-        rows.append(table_facts(spark.read.parquet(path), name, sizes))
-    return reduce(lambda a, b: a.unionByName(b), rows)
+        base = path.rstrip("/")
+        owner = F.when(F.col("path").endswith(base) | F.col("path").contains(base + "/"), name).otherwise(owner)
+    sizes = files.groupBy(owner.alias("name")).agg(F.sum("length").alias("bytes"))
+    return facts.join(F.broadcast(sizes), "name", "left")
 
 
 def write_inventory(inventory: DataFrame, path: str) -> None:

@@ -35,14 +35,19 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit the schema, and the text of those that do not with their file."""
+    """Rows that fit the schema, and the text of those that do not with their file.
+
+    Lines are parsed as values, so that every field is checked whatever columns
+    are selected later; the file reader would skip fields nobody asks for.
+    """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
-           .option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
-           .withColumn("_file", F.col("_metadata.file_name")))
-    good = raw.filter(F.col(CORRUPT).isNull()).select(*schema.fieldNames())
-    bad = raw.filter(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("record"))
-    return nan_to_null(good), bad
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = lines.filter((F.col("value") != ",".join(schema.fieldNames())) & (F.length("value") > 0))
+    parsed = lines.withColumn("row", F.from_csv("value", wide.toDDL(), options))
+    broken = F.col("row")[CORRUPT].isNotNull()
+    good = parsed.filter(~broken).select(*[F.col("row")[n].alias(n) for n in schema.fieldNames()])
+    return nan_to_null(good), parsed.filter(broken).select("file", F.col("value").alias("record"))
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
