@@ -30,7 +30,8 @@ def _bin(v: Column, low: float, high: float, bins: int) -> Column:
     """Bin number from 0; the largest value belongs to the last bin."""
     if high <= low:
         return F.when(v.isNotNull(), F.lit(0))
-    return F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    # least() would take the bound for a null
+    return F.when(v.isNotNull(), F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int"))
 
 
 def histogram(df: DataFrame, x: str, bins: int = 30, color: str | None = None) -> DataFrame:
