@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, cut_lineage
 from .roles import col
 
+DONORS_PER_BUCKET = 2_000
 DONORS_PER_CHUNK = 8_000
 QUERIES_PER_CHUNK = 8_000
 MAX_BUCKETS = 4_096
@@ -51,14 +52,15 @@ def nearest_rows(queries: DataFrame, donors: DataFrame, features: Sequence[str],
     q = shaped(queries, col(query_id).alias("_q"))
     d = shaped(donors, col(payload).alias("_pay"),
                (col(self_id) if self_id else F.lit(None)).cast("string").alias("_self"))
-    if not self_id:
+    pivot, edges = _pivot(q, d, feats)
+    if self_id:
+        d = d.withColumn("_copy", F.lit(1).cast("long"))
+    else:
         # of equal donors with equal payload only the first k can ever be used
         d = (d.groupBy("_pay", "_self", "_g", *feats).agg(F.least(F.count("*"), F.lit(k)).alias("_m"))
              .select("_pay", "_self", "_g", *feats, F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_copy")))
-    else:
-        d = d.withColumn("_copy", F.lit(1).cast("long"))
-    pivot, edges = _pivot(d, feats)
-    q, d = _bucketed(q, pivot, edges, "_b"), _bucketed(d, pivot, edges, "_b")
+    # both sides are read in every round
+    q, d = cut_lineage(_bucketed(q, pivot, edges, "_b")), cut_lineage(_bucketed(d, pivot, edges, "_b"))
 
     visit = _visitor(feats, k, pay_type, query_id=queries.schema[query_id].dataType.simpleString())
     home = visit(q.filter(F.col("_b") != NO_PIVOT), d)
@@ -86,15 +88,18 @@ def _best(k: int):
     return F.slice(F.array_sort(F.collect_list(F.struct("d2", "pay"))), 1, k)
 
 
-def _pivot(d: DataFrame, feats: Sequence[str]) -> tuple[str, list[float]]:
-    """The feature with the fewest nulls, then the widest spread, and its bucket edges."""
+def _pivot(q: DataFrame, d: DataFrame, feats: Sequence[str]) -> tuple[str, list[float]]:
+    """The feature most queries have, then most donors have, then of widest spread; and its bucket edges."""
+    asked = q.agg(*[F.count(f) for f in feats]).first()
     row = d.agg(F.count("*"), *[F.count(f) for f in feats], *[F.var_pop(f) for f in feats]).first()
     n, p = row[0], len(feats)
-    best = max(range(p), key=lambda i: (row[1 + i], row[1 + p + i] or 0.0))
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / (DONORS_PER_CHUNK / 2))))
-    inner = d.agg(F.percentile_approx(feats[best], [i / buckets for i in range(1, buckets)] or [0.5], 10 * MAX_BUCKETS)).first()[0]
-    inner = sorted(set(inner or [])) if buckets > 1 else []
-    return feats[best], [-math.inf, *inner, math.inf]
+    best = max(range(p), key=lambda i: (asked[i], row[1 + i], row[1 + p + i] or 0.0))
+    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / DONORS_PER_BUCKET)))
+    if buckets == 1:
+        return feats[best], [-math.inf, math.inf]
+    cuts = [i / buckets for i in range(1, buckets)]
+    inner = d.agg(F.percentile_approx(feats[best], cuts, 10 * MAX_BUCKETS)).first()[0]
+    return feats[best], [-math.inf, *sorted(set(inner or [])), math.inf]
 
 
 def _bucketed(df: DataFrame, source: str, edges: list[float], name: str) -> DataFrame:
@@ -133,12 +138,19 @@ def _visitor(feats: Sequence[str], k: int, pay_type: str, query_id: str):
             dist[seen == 0] = np.inf
             if mask_self:
                 dist[keys[start:stop, None] == own[None, :]] = np.inf
-            # donors are in payload order, so a stable sort breaks ties by payload
-            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(dist, best, axis=1)
-            usable = np.isfinite(near)
-            rows = np.repeat(np.arange(start, stop), best.shape[1]).reshape(best.shape)
-            parts.append(pd.DataFrame({"_q": ids[rows[usable]], "d2": near[usable], "pay": pay[best[usable]]}))
+            # everything up to the k-th distance, ties included; donors are in
+            # payload order, so the column number breaks ties
+            if dist.shape[1] > k:
+                limit = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+                rows, cols = np.nonzero((dist <= limit) & np.isfinite(dist))
+            else:
+                rows, cols = np.nonzero(np.isfinite(dist))
+            near = dist[rows, cols]
+            order = np.lexsort((cols, near, rows))
+            rows, cols, near = rows[order], cols[order], near[order]
+            first = np.searchsorted(rows, rows)
+            kept = np.arange(len(rows)) - first < k
+            parts.append(pd.DataFrame({"_q": ids[start:stop][rows[kept]], "d2": near[kept], "pay": pay[cols[kept]]}))
         return pd.concat(parts, ignore_index=True)
 
     def visit(q: DataFrame, d: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ BROADCAST_BYTES = 64 << 20
 HEAVY = 1_000
 
 
-def fits_broadcast(table: DataFrame, key: str) -> bool:
-    n, size = table.agg(F.count("*"), F.sum(F.octet_length(col(key).cast("string")))).first()
-    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+def fits_broadcast(table: DataFrame, columns: list[str], rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the table has at most ``rows`` rows and its text fits the byte limit."""
+    text = sum((F.coalesce(F.octet_length(F.to_json(F.struct(col(c)))), F.lit(0)) for c in columns), F.lit(0))
+    n, size = table.agg(F.count("*"), F.sum(text.cast("long"))).first()
+    return n <= min(rows, BROADCAST_ROWS) and (size or 0) <= BROADCAST_BYTES
 
 
 def lookup(df: DataFrame, key: str, table: DataFrame, result: str,
@@ -29,7 +31,7 @@ def lookup(df: DataFrame, key: str, table: DataFrame, result: str,
     """
     table = cut_lineage(table.select("_key", "_n", result))
     out = [col(c) for c in df.columns]
-    if broadcast_rows and fits_broadcast(table, "_key") and table.count() <= broadcast_rows:
+    if fits_broadcast(table, ["_key", result], broadcast_rows):
         small = F.broadcast(table.select("_key", result))
         return df.join(small, col(key) == F.col("_key"), "left").select(*out, result)
     heavy = table.orderBy(F.desc("_n"), "_key").limit(HEAVY)

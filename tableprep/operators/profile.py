@@ -8,9 +8,11 @@ mind a value that holds much of the table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,14 +91,22 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
     return out
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> dict[str, dict]:
+    """Moments and quartiles (``q25``, ``q50``, ``q75``) per column."""
     cols = numeric_columns(df) if cols is None else list(cols)
     stats = moments(df, cols)
     rows = stats[cols[0]]["rows"] if cols else 0
-    q = quantile_table(df, cols, [0.25, 0.5, 0.75], rows=rows, exact=exact)
-    return _small(df, [
-        (c, s["count"], s["mean"], s["std"], s["min"], *q[c], s["max"]) for c, s in stats.items()
-    ], "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
+    for c, q in quantile_table(df, cols, [0.25, 0.5, 0.75], rows=rows, exact=exact).items():
+        stats[c].update(zip(("q25", "q50", "q75"), q))
+    return stats
+
+
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
+                     stats: dict[str, dict] | None = None) -> DataFrame:
+    stats = numeric_stats(df, cols, exact) if stats is None else stats
+    facts = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return _small(df, [(c, *(s[f] for f in facts)) for c, s in stats.items()],
+                  "column string, count long, " + ", ".join(f"{f} double" for f in facts[1:]))
 
 
 def frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -147,9 +157,11 @@ def snapshot(df: DataFrame) -> DataFrame:
     return base.join(F.broadcast(nums), "column", "left").join(F.broadcast(card), "column", "left")
 
 
-def iqr_outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
+def iqr_outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
+                       stats: dict[str, dict] | None = None) -> DataFrame:
     cols = numeric_columns(df) if cols is None else list(cols)
-    q = quantile_table(df, cols, [0.25, 0.75])
+    q = (quantile_table(df, cols, [0.25, 0.75]) if stats is None
+         else {c: [stats[c]["q25"], stats[c]["q75"]] for c in cols})
     tests = []
     for c in cols:
         lo, hi = q[c]
@@ -210,8 +222,16 @@ def nunique(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
     if not exact:
         return (df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in cols])
                 .unpivot([], cols, "column", "unique"))
-    found = long_form(df, cols).distinct().groupBy("column").agg(F.count("value").alias("unique"))
-    return found
+    # columns of a kind are stacked in their own type, which is cheaper than text
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        dtype = df.schema[c].dataType
+        kind = "bigint" if isinstance(dtype, T.IntegralType) else "double" if isinstance(dtype, T.FractionalType) \
+            and not isinstance(dtype, T.DecimalType) else "string"
+        kinds.setdefault(kind, []).append(c)
+    parts = [long_form(df, names, kind).distinct().groupBy("column").agg(F.count("value").alias("unique"))
+             for kind, names in kinds.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else _small(df, [], "column string, unique long")
 
 
 def schema_profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -230,22 +250,44 @@ def type_counts(df: DataFrame) -> dict[str, int]:
     return out
 
 
+def pair_sums(df: DataFrame, cols: Sequence[str], centre: Sequence[float]) -> np.ndarray:
+    """For each pair (i, j) over rows that have both: count, sums of d_i and d_i^2, and of d_i d_j.
+
+    d is the distance to ``centre``. Each task adds up its batches as matrix
+    products and hands on one matrix of each kind.
+    """
+    p, middle = len(cols), np.array(centre, dtype=float)
+    data = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - middle
+            have = ~np.isnan(x)
+            d, m = np.where(have, x, 0.0), have.astype(float)
+            total += np.stack([m.T @ m, d.T @ m, (d * d).T @ m, d.T @ d])
+        yield pd.DataFrame({"k": np.arange(4 * p * p), "s": total.ravel()})
+
+    sums = data.mapInPandas(partial, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+    out = np.zeros(4 * p * p)
+    for r in sums:
+        out[r["k"]] = r["s"]
+    return out.reshape(4, p, p)
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
     """x, y, r for all ordered pairs; nulls are left out pair by pair."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    pairs = list(combinations(cols, 2))
-    v = {c: col(c).cast("double") for c in cols}
-    row = df.agg(*[F.corr(v[a], v[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-                 *[F.stddev_pop(v[c]).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    r = {p: row[i] for i, p in enumerate(pairs)}
+    stats = moments(df, cols)
+    n, s, ss, sp = pair_sums(df, cols, [stats[c]["mean"] or 0.0 for c in cols])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = ss - s * s / n
+        r = (sp - s * s.T / n) / np.sqrt(var * var.T)
     out = []
     for i, x in enumerate(cols):
-        for y in cols:
-            if x == y:
-                value = 1.0 if row[len(pairs) + i] else None
-            else:
-                value = r.get((x, y), r.get((y, x)))
-            out.append((x, y, None if value is None or value != value else value))
+        for j, y in enumerate(cols):
+            flat = any(var[a, b] <= 1e-14 * ss[a, b] for a, b in ((i, j), (j, i))) or n[i, j] < 2
+            out.append((x, y, None if flat else 1.0 if i == j else float(r[min(i, j), max(i, j)])))
     frame = _small(df, out, "x string, y string, r double")
     return frame if digits is None else frame.withColumn("r", F.round("r", digits))
 

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, spread
 from .roles import col
 
 DIRECT_CELLS = 500_000
+BROADCAST_GROUPS = 100_000
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -35,15 +36,21 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         pick = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 10_000))
         row = df.agg(*[pick(col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
-    long = df.select(*[col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    wide = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    long = spread(wide, rows).toDF(*cols).unpivot([], list(cols), "column", "value")
     found = {r["column"]: list(r["q"]) for r in
-             grouped_quantiles(long, ["column"], "value", probs, rows * len(cols), direct_cells).collect()}
+             grouped_quantiles(long, ["column"], "value", probs, rows * len(cols), direct_cells,
+                               groups=len(cols)).collect()}
     return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
 def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                      rows: int | None = None, direct_cells: int = DIRECT_CELLS) -> DataFrame:
-    """One row per group with values: ``by..., n, q`` where ``q`` is the array of quantiles."""
+                      rows: int | None = None, direct_cells: int = DIRECT_CELLS,
+                      groups: int | None = None) -> DataFrame:
+    """One row per group with values: ``by..., n, q`` where ``q`` is the array of quantiles.
+
+    ``groups`` is the largest number of groups there can be, where that is known.
+    """
     probs = [float(p) for p in probs]
     data = df.select(*[col(b) for b in by], col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     rows = data.count() if rows is None else rows
@@ -57,7 +64,8 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     sketch = sketch.select(*[col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_n",
                            *[F.get("_e", i).alias(f"_e{i}") for i in range(len(bounds))])
     same = reduce(lambda a, b: a & b, [col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)])
-    near = data.join(broadcast_if_small(sketch), same)
+    known = groups is not None and groups <= BROADCAST_GROUPS
+    near = data.join(F.broadcast(sketch) if known else broadcast_if_small(sketch), same)
     v, edges = F.col("_v"), [F.col(f"_e{i}") for i in range(len(bounds))]
     inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(edges[::2], edges[1::2])])
     # place among the edges, then the value itself inside a bracket: a total order

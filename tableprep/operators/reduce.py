@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .roles import col, numeric_columns
 
-EXPRESSION_COLUMNS = 20
+EXPRESSION_COLUMNS = 6
 CLASS_LIMIT = 1_000
 
 

@@ -42,9 +42,10 @@ def data_summary(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def table_health(df: DataFrame) -> DataFrame:
     """How good is this table: per numeric column its summary, nulls and outliers beside the table's score."""
-    described = profile.describe_numeric(df)
+    stats = profile.numeric_stats(df)
+    described = profile.describe_numeric(df, stats=stats)
     missing = profile.missing_counts(df).select("column", "missing")
-    out = profile.iqr_outlier_counts(df)
+    out = profile.iqr_outlier_counts(df, stats=stats)
     score = quality_score(df, WEIGHTS_B, 2).select("rows", "duplicates", F.col("score").alias("table_score"))
     return (described.join(F.broadcast(missing), "column").join(F.broadcast(out), "column")
             .join(F.broadcast(score)))

@@ -16,7 +16,11 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # generated methods above this size are not compiled by the JVM
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# below this many rows a frame is spread over all cores before heavy work
+SPREAD_ROWS = 10_000_000
 
 
 def local_session(cores: str = "*", app: str = "tableprep", partitions: int = 8) -> SparkSession:
@@ -64,6 +68,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """Give heavy work on a small table as many tasks as there are cores.
+
+    A small file is read by one task. Large tables have enough splits and pass
+    through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *(keys or df.columns)) if rows <= SPREAD_ROWS else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """Store a side table and mark it for broadcast if it has at most ``rows`` rows.
 
