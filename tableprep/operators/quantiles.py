@@ -59,10 +59,13 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     accuracy = 10_000 if rows <= 10**9 else 100_000
     slack = 3 / accuracy
     bounds = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    sketch = data.groupBy(*by).agg(F.count("*").alias("_n"),
+    sketch = data.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                    F.percentile_approx("_v", bounds, accuracy).alias("_e"))
-    sketch = sketch.select(*[col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_n",
-                           *[F.get("_e", i).alias(f"_e{i}") for i in range(len(bounds))])
+    # in a small group the slack is less than a few ranks, so all of it is kept apart
+    small = F.col("_n") < accuracy
+    sketch = sketch.select(*[col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_n", *[
+        F.when(small, F.col("_max" if i % 2 else "_min")).otherwise(F.get("_e", i)).alias(f"_e{i}")
+        for i in range(len(bounds))])
     same = reduce(lambda a, b: a & b, [col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)])
     known = groups is not None and groups <= BROADCAST_GROUPS
     near = data.join(F.broadcast(sketch) if known else broadcast_if_small(sketch), same)

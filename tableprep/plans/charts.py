@@ -38,8 +38,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30, color: str | None = None) -
     """bin, low, high, n [, color]; empty bins are left out."""
     low, high = _ranges(df, [x])[x]
     groups = [F.coalesce(col(color).cast("string"), F.lit("null")).alias("color")] if color else []
-    if low is None:
-        return df.select(*groups, F.lit(0).alias("bin")).limit(0).groupBy(*(["color"] if color else []), "bin").count()
+    low, high = (0.0, 0.0) if low is None else (low, high)
     width = (high - low) / bins
     data = df.select(*groups, _bin(col(x).cast("double"), low, high, bins).alias("bin")).filter("bin IS NOT NULL")
     out = data.groupBy(*(["color"] if color else []), "bin").agg(F.count("*").alias("n"))
