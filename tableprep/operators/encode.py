@@ -12,6 +12,7 @@ from .lookup import BROADCAST_ROWS, lookup
 from .ordered import with_position
 from .profile import nunique
 from .roles import categorical_columns, col, replace_columns
+from .skew import beside
 
 # one-hot makes a column per category, so their number is limited by the schema
 ONEHOT_LIMIT = 2_000
@@ -72,7 +73,7 @@ def encode_frequency(df: DataFrame, column: str, broadcast_rows: int = BROADCAST
     """Share of the non-null rows that have the value."""
     counts = df.filter(col(column).isNotNull()).groupBy(col(column).alias("_key")).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"))
-    table = counts.join(F.broadcast(total)).select("_key", "_n", (F.col("_n") / F.col("_t")).alias("_share"))
+    table = beside(counts, total).select("_key", "_n", (F.col("_n") / F.col("_t")).alias("_share"))
     return replace_columns(lookup(df, column, table, "_share", broadcast_rows),
                            {column: F.col("_share")}).drop("_share")
 

@@ -16,6 +16,7 @@ from .quantiles import quantile_table
 from .roles import col
 
 EULER = 0.5772156649
+FILTER_FIRST = 10_000_000
 
 
 def expected_path(n: int) -> float:
@@ -56,7 +57,10 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
 def fit_forest(df: DataFrame, cols: Sequence[str], trees: int = 100, size: int = 256, seed: int = 42) -> dict:
     """Grow the trees from at most ``trees * size`` rows."""
     data = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).na.drop()
-    pool = data.orderBy(F.rand(seed)).limit(trees * size).toPandas().to_numpy(dtype=float)
+    rows, wanted = data.count(), trees * size
+    if rows > FILTER_FIRST:
+        data = data.sample(min(1.0, 4 * wanted / rows), seed)
+    pool = data.orderBy(F.rand(seed)).limit(wanted).toPandas().to_numpy(dtype=float)
     # order of the pool must not depend on how the rows were partitioned
     pool = pool[np.lexsort(pool.T[::-1])]
     rng = np.random.default_rng(seed)

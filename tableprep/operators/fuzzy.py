@@ -4,8 +4,8 @@ Two texts within a bounded edit distance must share one of the rarest q-grams of
 each (prefix filtering), so candidate pairs come from an equi-join on a few rare
 grams per distinct text instead of from all pairs. The length filter and the
 edit distance, computed with the bound as a cut-off, are part of the join
-condition: pairs that fail never leave it. Grams shared by many texts are
-spread over salted partitions.
+condition: pairs that fail never leave it. A gram shared by many texts is cut
+into a grid of chunks.
 """
 
 from __future__ import annotations
@@ -14,17 +14,17 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import KEYS, score, similarity
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small
 from .lookup import lookup
 from .merge import common_columns, merge
 from .roles import col
+from .skew import chunk_sizes, grid
 
-TEXTS_PER_SALT = 5_000
+TEXTS_PER_CHUNK = 5_000
 
 
 def similar_texts(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
@@ -42,18 +42,14 @@ def similar_texts(left: DataFrame, right: DataFrame, minimum: float) -> DataFram
     seen = broadcast_if_small(seen)
     sig_l = _prefix(grams_l, seen, "a", q, minimum)
     sig_r = _prefix(grams_r, seen, "b", q, minimum)
-    sizes = sig_r.groupBy("s").agg(F.ceil(F.count("*") / TEXTS_PER_SALT).cast("int").alias("k"))
-    sizes = broadcast_if_small(sizes.filter("k > 1"))
-    salted_l = (sig_l.join(sizes, "s", "left")
-                .withColumn("z", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))))
-    salted_r = (sig_r.join(sizes, "s", "left")
-                .withColumn("z", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).cast("int")))
+    sizes = chunk_sizes(sig_l, sig_r, ["s"], TEXTS_PER_CHUNK, TEXTS_PER_CHUNK)
+    cell_l, cell_r = grid(sig_l, sig_r, sizes, ["s"], F.xxhash64("a"), F.xxhash64("b"))
     la, lb = F.length("a"), F.length("b")
     allowed = F.floor((1 - minimum) * F.greatest(la, lb) + 1e-9).cast("int")
     near = (F.abs(la - lb) <= allowed) & (F.call_function("levenshtein", F.col("a"), F.col("b"), allowed) >= 0)
-    l = salted_l.select(F.col("s").alias("sl"), F.col("z").alias("zl"), "a")
-    r = salted_r.select("s", "z", "b")
-    pairs = l.join(r, (F.col("sl") == F.col("s")) & (F.col("zl") == F.col("z")) & near)
+    l = cell_l.select("a", *[F.col(c).alias(f"l{c}") for c in ("s", "_cl", "_cr")])
+    meet = reduce(lambda x, y: x & y, [F.col(f"l{c}") == F.col(c) for c in ("s", "_cl", "_cr")])
+    pairs = l.join(cell_r, meet & near)
     same = left.join(right, F.col("a") == F.col("b")).select("a", "b")
     return pairs.select("a", "b").unionByName(same).distinct()
 

@@ -14,6 +14,7 @@ from .knn import nearest_rows
 from .ordered import fill_along
 from .profile import modes, moments
 from .quantiles import quantile_table
+from .reduce import cross_products
 from .roles import categorical_columns, col, numeric_columns, replace_columns
 
 
@@ -141,13 +142,7 @@ def impute_iterative(df: DataFrame, cols: Sequence[str] | None = None, max_iter:
 
 def _normal_sums(df: DataFrame, z: Sequence[str]) -> np.ndarray:
     """Sums of products of the columns and a constant, as a symmetric matrix."""
-    names = [F.col(n) for n in z] + [F.lit(1.0)]
-    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = df.agg(*[F.sum(names[i] * names[j]).alias(f"s{n}") for n, (i, j) in enumerate(cells)]).first()
-    out = np.zeros((len(names), len(names)))
-    for n, (i, j) in enumerate(cells):
-        out[i, j] = out[j, i] = row[n] or 0.0
-    return out
+    return cross_products(df.select(*z, F.lit(1.0).alias("_one")), [*z, "_one"])[1]
 
 
 def impute(df: DataFrame, strategy: str = "mean", cat_strategy: str | None = "mode", constant: str = "Unknown",

@@ -22,8 +22,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from .roles import col
+from .skew import chunk_sizes, grid
 
 DONORS_PER_BUCKET = 2_000
 DONORS_PER_CHUNK = 8_000
@@ -154,18 +155,10 @@ def _visitor(feats: Sequence[str], k: int, pay_type: str, query_id: str):
         return pd.concat(parts, ignore_index=True)
 
     def visit(q: DataFrame, d: DataFrame) -> DataFrame:
-        # chunks per group and bucket
-        sizes_d = d.groupBy("_g", "_b").agg(F.ceil(F.count("*") / DONORS_PER_CHUNK).cast("int").alias("_nd"))
-        sizes_q = q.groupBy("_g", "_b").agg(F.ceil(F.count("*") / QUERIES_PER_CHUNK).cast("int").alias("_nq"))
-        sizes = broadcast_if_small(sizes_d.join(sizes_q, ["_g", "_b"]))
-        spread = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
-        left = (q.join(sizes, ["_g", "_b"])
-                .withColumn("_cq", spread("_nq", "_q"))
-                .withColumn("_cd", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1))))
-        right = (d.join(sizes, ["_g", "_b"])
-                 .withColumn("_cd", spread("_nd", "_pay", "_self", "_copy", *feats))
-                 .withColumn("_cq", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))))
-        keys = ["_g", "_b", "_cd", "_cq"]
+        sizes = chunk_sizes(q, d, ["_g", "_b"], QUERIES_PER_CHUNK, DONORS_PER_CHUNK, only_large=False)
+        left, right = grid(q, d, sizes, ["_g", "_b"], F.xxhash64("_q"),
+                           F.xxhash64("_pay", "_self", "_copy", *feats), how="inner")
+        keys = ["_g", "_b", "_cl", "_cr"]
         return (left.select(*keys, "_q", *feats).groupBy(*keys)
                 .cogroup(right.select(*keys, "_pay", "_self", *feats).groupBy(*keys))
                 .applyInPandas(top_k, f"_q {query_id}, d2 double, pay {pay_type}"))

@@ -1,9 +1,10 @@
 """Merges of two tables and concatenation of many.
 
-Missing keys match each other. Equi-joins are left to Spark: adaptive execution
-broadcasts a side that turns out small and splits a key that holds much of a
-table. It cannot split a full outer join, so that one is built from a left join
-and the right rows without a partner.
+Missing keys match each other. Spark picks the join: adaptive execution
+broadcasts a side that turns out small. In tables large enough to have them,
+keys with very many rows are found first and joined apart, each cut into a grid
+of chunks, because adaptive execution cannot split every side of every kind of
+outer join.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import with_position
 from .roles import col
+from .skew import row_hash
 
 CROSS_ROWS = 100_000_000
+HOT_ROWS = 1_000_000
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -109,16 +113,9 @@ def _join(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str
     r_in = right.select(*[col(c).alias(f"r{i}") for i, c in enumerate(right.columns)], F.lit(True).alias("in_r"))
     li = {c: f"l{i}" for i, c in enumerate(left.columns)}
     ri = {c: f"r{i}" for i, c in enumerate(right.columns)}
-    on = reduce(lambda a, b: a & b, [F.col(li[a]).eqNullSafe(F.col(ri[b])) for a, b in zip(lk, rk)])
-    if how == "outer":
-        both = l_in.join(r_in, on, "left")
-        keys = l_in.select(*[F.col(li[a]) for a in lk]).distinct()
-        alone = r_in.join(keys, on, "left_anti")
-        joined = both.unionByName(alone, allowMissingColumns=True)
-    elif how in ("inner", "left", "right"):
-        joined = l_in.join(r_in, on, how)
-    else:
+    if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"unknown merge {how!r}")
+    joined = _equi_join(l_in, r_in, [li[a] for a in lk], [ri[b] for b in rk], how)
     out: list[Column] = []
     for c in left.columns:
         value = F.coalesce(F.col(li[c]), F.col(ri[c])) if c in shared else F.col(li[c])
@@ -132,6 +129,56 @@ def _join(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str
     return joined.select(*out)
 
 
+def _same(lk: Sequence[str], rk: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(lk, rk)])
+
+
+def _equi_join(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str], how: str) -> DataFrame:
+    """Null-safe join on key columns of different names; keys above HOT_ROWS rows go through a grid."""
+    hot = _hot_keys(l_in, r_in, lk, rk)
+    if hot is None:
+        return l_in.join(r_in, _same(lk, rk), how)
+    names = [f"h{i}" for i in range(len(lk))]
+    l_hot = l_in.join(hot, _same(lk, names))
+    r_hot = r_in.join(hot, _same(rk, names))
+    parts = [l_in.join(hot, _same(lk, names), "left_anti").join(r_in.join(hot, _same(rk, names), "left_anti"), _same(lk, rk), how)]
+    cells = []
+    for side, own, other, n, m, kept in ((l_hot, "cl", "cr", "nl", "nr", l_in), (r_hot, "cr", "cl", "nr", "nl", r_in)):
+        met = side.filter("nl > 0 AND nr > 0")
+        chunks = lambda c: F.ceil(F.col(c) / HOT_ROWS)
+        cells.append(met.select(*kept.columns, "key", F.pmod(row_hash(kept), chunks(n)).cast("int").alias(own),
+                                F.explode(F.sequence(F.lit(0), chunks(m).cast("int") - 1)).alias(other)))
+    parts.append(cells[0].join(cells[1], ["key", "cl", "cr"]).select(*l_in.columns, *r_in.columns))
+    if how in ("left", "outer"):
+        parts.append(l_hot.filter("nr = 0").select(*l_in.columns))
+    if how in ("right", "outer"):
+        parts.append(r_hot.filter("nl = 0").select(*r_in.columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _hot_keys(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str]) -> DataFrame | None:
+    """Keys with more than HOT_ROWS rows on a side, with their counts; None if there are none.
+
+    There are at most (rows of both tables) / HOT_ROWS of them.
+    """
+    if max(l_in.count(), r_in.count()) <= HOT_ROWS:
+        return None
+    names = [f"h{i}" for i in range(len(lk))]
+    count = lambda df, keys, n: df.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, names)]).agg(F.count("*").alias(n))
+    a, b = count(l_in, lk, "nl"), count(r_in, rk, "nr")
+    hot = cut_lineage(a.filter(F.col("nl") > HOT_ROWS).select(*names).unionByName(
+        b.filter(F.col("nr") > HOT_ROWS).select(*names)).distinct())
+    if hot.isEmpty():
+        return None
+    few = hot.select(*[F.col(h).alias(f"f{i}") for i, h in enumerate(names)])
+    wanted = F.broadcast(few)
+    match = _same(names, [f"f{i}" for i in range(len(names))])
+    stacked = (a.join(wanted, match, "left_semi").withColumn("nr", F.lit(0).cast("long"))
+               .unionByName(b.join(wanted, match, "left_semi").withColumn("nl", F.lit(0).cast("long"))))
+    sizes = stacked.groupBy(*names).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
+    return F.broadcast(cut_lineage(sizes.withColumn("key", F.monotonically_increasing_id())))
+
+
 def merge_cross(left: DataFrame, right: DataFrame, suffixes: tuple[str, str] = ("", "_right"),
                 max_rows: int = CROSS_ROWS) -> DataFrame:
     """Every pairing of rows, as asked for by name; refused above ``max_rows``."""

@@ -72,12 +72,11 @@ def fill_along(df: DataFrame, order_by: Sequence[str], cols: Sequence[str],
     inner = W.partitionBy(SLICE, "_group").orderBy(SLOT).rowsBetween(W.unboundedPreceding, 0)
     local = slices.select("*", *[F.last(col(c), ignorenulls=True).over(inner).alias(f"_f{i}")
                                  for i, c in enumerate(cols)])
-    # groups cut by a slice border: at most two rows per slice remain
-    ends = slices.groupBy("_group", SLICE).agg(
+    # groups cut by a slice border: fewer than there are slices
+    cut = F.broadcast(slices.groupBy("_group").agg(F.min(SLICE).alias("_a"), F.max(SLICE).alias("_b"))
+                      .filter("_a < _b").select("_group"))
+    ends = slices.join(cut, "_group").groupBy("_group", SLICE).agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), F.col(SLOT))).alias(f"_l{i}") for i, c in enumerate(cols)])
-    cut = (slices.groupBy("_group").agg(F.min(SLICE).alias("_a"), F.max(SLICE).alias("_b"))
-           .filter("_a < _b").select("_group"))
-    ends = ends.join(F.broadcast(cut), "_group")
     before = W.partitionBy("_group").orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     carry = ends.select("_group", SLICE, *[
         F.last(f"_l{i}", ignorenulls=True).over(before).alias(f"_p{i}") for i in range(len(cols))])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,25 +73,60 @@ def _transform(method: str):
     raise ValueError(f"unknown power transform {method!r}")
 
 
+def _transformed(x: np.ndarray, lam: float, method: str) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        if method == "box-cox":
+            return np.log(x) if lam == 0 else (np.power(x, lam) - 1) / lam
+        up = np.log1p(x) if lam == 0 else (np.power(x + 1, lam) - 1) / lam
+        down = -np.log1p(-x) if lam == 2 else -(np.power(1 - x, 2 - lam) - 1) / (2 - lam)
+        return np.where(x >= 0, up, down)
+
+
+def _power_sums(df: DataFrame, cols: Sequence[str], grids: dict[str, list[float]], method: str,
+                centres: dict[str, float]) -> np.ndarray:
+    """Per column and exponent: rows, sums of the transformed value and its square about a centre, and the slope."""
+    data = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    size = len(grids[cols[0]])
+    middle = {c: [_transformed(np.array([centres[c]]), g, method)[0] for g in grids[c]] for c in cols}
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(cols), size, 4))
+        for batch in batches:
+            for i, c in enumerate(cols):
+                x = batch.iloc[:, i].to_numpy(dtype=float)
+                x = x[~np.isnan(x)]
+                with np.errstate(all="ignore"):
+                    slope = np.log(x).sum() if method == "box-cox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
+                    for j, lam in enumerate(grids[c]):
+                        y = _transformed(x, lam, method) - middle[c][j]
+                        total[i, j] += (len(x), y.sum(), (y * y).sum(), slope)
+        yield pd.DataFrame({"k": np.arange(total.size), "s": total.ravel()})
+
+    out = np.zeros(len(cols) * size * 4)
+    for r in data.mapInPandas(partial, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+        out[r["k"]] = r["s"]
+    return out.reshape(len(cols), size, 4)
+
+
 def fit_power(df: DataFrame, cols: Sequence[str], method: str = "yeo-johnson") -> dict[str, float]:
     """The exponent of largest log-likelihood per column: a grid, refined three times."""
-    apply = _transform(method)
+    _transform(method)
+    if not cols:
+        return {}
+    stats = moments(df, cols)
+    if method == "box-cox" and any(s["min"] is not None and s["min"] <= 0 for s in stats.values()):
+        raise ValueError("box-cox needs values above zero")
+    centres = {c: s["mean"] if s["mean"] is not None else 1.0 for c, s in stats.items()}
     grids = {c: [round(-4 + 0.25 * i, 10) for i in range(33)] for c in cols}
     step, best = 0.25, {}
     for _ in range(4):
-        aggs = []
-        for c in cols:
-            v = col(c).cast("double")
-            slope = F.signum(v) * F.log1p(F.abs(v)) if method == "yeo-johnson" else F.log(v)
-            aggs += [F.count(v), F.sum(slope)] + [F.var_pop(apply(v, lam)) for lam in grids[c]]
-        row = iter(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
-        for c in cols:
-            n, jac = next(row), next(row)
+        sums = _power_sums(df, cols, grids, method, centres)
+        for i, c in enumerate(cols):
             values = []
-            for lam in grids[c]:
-                var = next(row)
-                if var and var > 0 and math.isfinite(var):
-                    values.append((-n / 2 * math.log(var) + (lam - 1) * jac, lam))
+            for lam, (n, s, ss, slope) in zip(grids[c], sums[i]):
+                var = (ss - s * s / n) / n if n else 0.0
+                if np.isfinite(var) and var > 0:
+                    values.append((-n / 2 * math.log(var) + (lam - 1) * slope, lam))
             best[c] = max(values)[1] if values else 1.0
         fine = step / 8
         grids = {c: [round(best[c] + fine * i, 10) for i in range(-8, 9)] for c in cols}

@@ -18,8 +18,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 from .quantiles import quantile_table
 from .roles import categorical_columns, col, is_numeric, numeric_columns, role_of
+from .skew import beside, row_hash
+
+
+# rows of at most this many columns are compared in full at once
+NARROW = 4
+# largest number of repeated hashes that is broadcast
+SUSPECTS = 2_000_000
 
 
 def _small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -211,7 +220,7 @@ def value_counts(df: DataFrame, column: str, n: int | None = None, normalize: bo
               .agg(F.count("*").alias("n")))
     if normalize:
         total = counts.agg(F.sum("n").alias("_t"))
-        counts = counts.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+        counts = beside(counts, total).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
     ordered = counts.orderBy(F.desc("n"), "value")
     return ordered if n is None else ordered.limit(n)
 
@@ -299,8 +308,18 @@ def top_correlations(df: DataFrame, cols: Sequence[str] | None = None, n: int =
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier full row."""
-    return (df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_n"))
+    """Rows that repeat an earlier full row.
+
+    Wide rows are first counted by a hash of eight bytes, and only rows whose
+    hash occurs again are compared in full.
+    """
+    rows = df
+    if len(df.columns) > NARROW:
+        hashed = df.withColumn("_h", row_hash(df))
+        again = cut_lineage(hashed.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h"))
+        if again.count() <= SUSPECTS:
+            rows = hashed.join(F.broadcast(again), "_h", "left_semi").drop("_h")
+    return (rows.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("_n"))
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates")))
 
 

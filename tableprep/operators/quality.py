@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .profile import duplicate_rows, missing_counts, missing_total, nunique
 from .roles import categorical_columns, col
+from .skew import beside
 
 # weights of completeness, uniqueness, volume and number of columns
 WEIGHTS_A = (30, 20, 25, 25)
@@ -24,7 +25,7 @@ def high_cardinality_ratio(df: DataFrame, ratio: float = 0.5) -> DataFrame:
     """Text columns whose distinct values exceed ``ratio`` of the rows."""
     text = categorical_columns(df, booleans=False)
     rows = df.agg(F.count("*").alias("_n"))
-    return (nunique(df, text).join(F.broadcast(rows)).filter(F.col("unique") > ratio * F.col("_n"))
+    return (beside(nunique(df, text), rows).filter(F.col("unique") > ratio * F.col("_n"))
             .select("column", "unique"))
 
 
@@ -45,8 +46,7 @@ def quality_issues(df: DataFrame, ratio: float = 0.5) -> DataFrame:
 def quality_score(df: DataFrame, weights: tuple = WEIGHTS_A, digits: int | None = None) -> DataFrame:
     """One row: rows, columns, missing, duplicates and the weighted score out of 100."""
     width = len(df.columns)
-    facts = (df.agg(F.count("*").alias("rows"))
-             .join(F.broadcast(missing_total(df))).join(F.broadcast(duplicate_rows(df))))
+    facts = beside(beside(df.agg(F.count("*").alias("rows")), missing_total(df)), duplicate_rows(df))
     a, b, c, d = weights
     rows = F.col("rows")
     filled = 1 - F.col("missing") / F.greatest(rows * width, F.lit(1))

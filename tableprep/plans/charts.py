@@ -16,6 +16,7 @@ from ..operators.encode import distinct_counts
 from ..operators.filters import sample_rows
 from ..operators.quantiles import grouped_quantiles
 from ..operators.roles import categorical_columns, col, find_column, is_numeric, numeric_columns
+from ..operators.skew import beside
 
 GRID_POINTS = 200
 
@@ -143,7 +144,7 @@ def pie(df: DataFrame, names: str, values: str | None = None, n: int = 10) -> Da
     """The n largest slices with their share of the shown total."""
     top = bar(df, names, values).orderBy(F.desc("value"), "x").limit(n)
     total = top.agg(F.sum("value").alias("t"))
-    return top.join(F.broadcast(total)).select(F.col("x").alias("name"), "value", (F.col("value") / F.col("t")).alias("share"))
+    return beside(top, total).select(F.col("x").alias("name"), "value", (F.col("value") / F.col("t")).alias("share"))
 
 
 def funnel(df: DataFrame, stage: str, y: str | None = None) -> DataFrame:

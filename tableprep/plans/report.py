@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile
 from ..operators.quality import WEIGHTS_A, WEIGHTS_B, quality_score
+from ..operators.skew import beside
 
 
 def _part(df: DataFrame, section: str, column, metric, value) -> DataFrame:
@@ -47,8 +48,7 @@ def table_health(df: DataFrame) -> DataFrame:
     missing = profile.missing_counts(df).select("column", "missing")
     out = profile.iqr_outlier_counts(df, stats=stats)
     score = quality_score(df, WEIGHTS_B, 2).select("rows", "duplicates", F.col("score").alias("table_score"))
-    return (described.join(F.broadcast(missing), "column").join(F.broadcast(out), "column")
-            .join(F.broadcast(score)))
+    return beside(described.join(F.broadcast(missing), "column").join(F.broadcast(out), "column"), score)
 
 
 def report_table(tables: Mapping[str, DataFrame], sizes: Mapping[str, int] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def report_table(tables: Mapping[str, DataFrame], sizes: Mapping[str, int] | Non
         note = holed.agg(F.array_join(F.transform(
             first, lambda s: F.concat(s["column"], F.lit("="), s["missing"].cast("string"))), ", ").alias("missing_columns"))
         score = quality_score(df, WEIGHTS_A)
-        parts.append(score.join(F.broadcast(note)).select(
+        parts.append(beside(score, note).select(
             F.lit(name).alias("name"), "rows", "columns", F.lit((sizes or {}).get(name)).cast("long").alias("bytes"),
             F.lit(len(profile.type_counts(df))).alias("types"), F.round("score", 1).alias("score"),
             "missing", "duplicates", "missing_columns"))

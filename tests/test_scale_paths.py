@@ -156,7 +156,7 @@ def edit(a, b):
 
 @pytest.mark.parametrize("minimum", [0.95, 0.8, 0.7, 0.55, 0.3])
 def test_similar_texts_equal_brute_force(spark, monkeypatch, minimum):
-    monkeypatch.setattr(fuzzy, "TEXTS_PER_SALT", 3)
+    monkeypatch.setattr(fuzzy, "TEXTS_PER_CHUNK", 3)
     rng = np.random.default_rng(5)
     words = {"".join(rng.choice(list("abc1 "), rng.integers(1, 14))).strip() for _ in range(80)} | {"", "a", "aaaaaaaa", "aaaaaaab"}
     other = {w[:-1] + "c" for w in words if w} | {"", "aaaaaaaa"}
@@ -178,13 +178,19 @@ def test_record_link_allows_misses_over_many_columns(spark):
     assert [r["matched"] for r in fuzzy.fuzzy_record_link(left, right, names, names).collect()] == [6]
 
 
-def test_outer_merge_with_a_hot_key(spark):
-    left = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("k"), F.col("id").alias("x"))
-    right = spark.createDataFrame([(1, "hot"), (11, "one"), (999, "none")], "k long, y string")
-    got = merge.merge(left, right, "k", "k", "outer").toPandas()
-    want = left.toPandas().merge(right.toPandas(), on="k", how="outer")
-    key = lambda p: sorted(map(repr, p[["k", "x", "y"]].astype(object).where(p[["k", "x", "y"]].notna(), None).itertuples(index=False, name=None)))
-    assert len(got) == len(want) and sorted(got["y"].fillna("")) == sorted(want["y"].fillna(""))
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+@pytest.mark.parametrize("limit", [20, 10 ** 6])
+def test_merges_with_hot_keys(spark, monkeypatch, how, limit):
+    monkeypatch.setattr(merge, "HOT_ROWS", limit)
+    # key 1 is hot on both sides, null on the left, 5 on the right and 6 on the left alone
+    left = pd.DataFrame({"k": [1.0] * 100 + [None] * 50 + [6.0] * 60 + [7.0, 8.0, 5.0], "x": range(213)})
+    right = pd.DataFrame({"k": [1.0] * 70 + [None] * 2 + [5.0] * 40 + [7.0, 9.0] + [4.0] * 30, "y": range(144)})
+    load = lambda p: spark.createDataFrame(p).withColumn("k", F.when(~F.isnan("k"), F.col("k")))
+    got = merge.merge(load(left), load(right), "k", "k", how, indicator=True).toPandas()
+    want = left.merge(right, on="k", how=how, indicator=True)
+    key = lambda p: sorted(tuple(str(v) if pd.notna(v) else "" for v in r) for r in p[["k", "x", "y", "_merge"]].astype(
+        {"x": float, "y": float, "_merge": str}).itertuples(index=False))
+    assert key(got) == key(want)
 
 
 def test_balance_is_repeatable(spark):
