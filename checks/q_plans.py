@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tableprep.plans import prepare, report, routing
 
-from .q_prepare import bins_sql, mode_of, onehot_sql, q, stat
+from .q_prepare import bins_sql, knn_parts, mode_of, onehot_sql, q, stat
 from .q_profile import DIRTY, rounded, score_sql
 from .registry import check, union
 
@@ -78,10 +78,26 @@ def _(t):
     return rounded(out, [c for c in out.columns if c != "event_id"], 6)
 
 
-@check("preset_full")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+STATUSES = ["F", "O", "P"]
+
+
+def _full_sql() -> str:
+    nums = ["o_totalprice", "o_custkey"]
+    parts, cols, joins = knn_parts("orders_dirty", "o_orderkey", nums, nums)
+    flag = lambda c, v: f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\""
+    ranged = lambda c: f"round(({c} - {stat('o', 'min', c)}) / ({stat('o', 'max', c)} - {stat('o', 'min', c)}), 6) AS {c}"
+    return f"""WITH {parts}, f AS (SELECT s.o_orderkey, {', '.join(f'{v} AS {c}' for c, v in cols.items())},
+  coalesce(o_orderpriority, {mode_of('orders_dirty', 'o_orderpriority')}) AS o_orderpriority, o_orderstatus FROM orders_dirty s {joins}),
+o AS (SELECT o_orderkey, {', '.join(f'{_capped("f", c)} AS {c}' for c in nums)}, o_orderpriority, o_orderstatus FROM f)
+SELECT o_orderkey, {', '.join(ranged(c) for c in nums)}, {', '.join(flag('o_orderpriority', v) for v in PRIORITIES[1:])},
+  {', '.join(flag('o_orderstatus', v) for v in STATUSES[1:])} FROM o"""
+
+
+@check("preset_full", _full_sql())
 def _(t):
     spec = replace(prepare.PRESETS["full"], keep=("o_orderkey",))
-    return prepare.prepare(t.orders_dirty, spec)[0]
+    return rounded(prepare.prepare(t.orders_dirty, spec)[0], ["o_totalprice", "o_custkey"], 6)
 
 
 @check("prepare_compare", """SELECT 'before' AS stage, count(*) AS rows, 4 AS columns, count(*) * 3 - count(user_id) - count(value) - count(event_type) AS missing FROM events_dirty

@@ -51,7 +51,8 @@ def _(t):
     return _filled(t, "mode")
 
 
-def _knn_sql(table: str, key: str, feats: list[str], targets: list[str], k: int = 5) -> str:
+def knn_parts(table: str, key: str, feats: list[str], targets: list[str], k: int = 5) -> tuple[str, dict[str, str], str]:
+    """Common tables, the filled expression per target, and the joins for rows of ``table`` as s."""
     p = len(feats)
     parts = []
     for target in targets:
@@ -62,9 +63,14 @@ def _knn_sql(table: str, key: str, feats: list[str], targets: list[str], k: int
     SELECT r.{key}, CAST(d.{target} AS DOUBLE) AS pay, ({total}) * {p} / ({seen}) AS d2
     FROM {table} r, {table} d WHERE r.{target} IS NULL AND d.{target} IS NOT NULL AND ({seen}) > 0))
   WHERE rn <= {k} GROUP BY {key})""")
-    cols = ", ".join(f"round(coalesce(CAST(s.{c} AS DOUBLE), fill_{c}.v, {stat(table, 'avg', c)}), 4) AS {c}" for c in targets)
+    cols = {c: f"coalesce(CAST(s.{c} AS DOUBLE), fill_{c}.v, {stat(table, 'avg', c)})" for c in targets}
     joins = " ".join(f"LEFT JOIN fill_{c} ON s.{key} = fill_{c}.{key}" for c in targets)
-    return f"WITH {', '.join(parts)} SELECT s.{key}, {cols} FROM {table} s {joins}"
+    return ", ".join(parts), cols, joins
+
+
+def _knn_sql(table: str, key: str, feats: list[str], targets: list[str]) -> str:
+    parts, cols, joins = knn_parts(table, key, feats, targets)
+    return f"WITH {parts} SELECT s.{key}, {', '.join(f'round({v}, 4) AS {c}' for c, v in cols.items())} FROM {table} s {joins}"
 
 
 @check("impute_knn", _knn_sql("orders_dirty", "o_orderkey", ["o_totalprice", "o_custkey"], ["o_totalprice", "o_custkey"]))
@@ -289,9 +295,24 @@ def _(t):
     return rounded(reduce.reduce_svd(_two(t), 2, ["price", "o_custkey"]), ["SVD_1", "SVD_2"])
 
 
-@check("reduce_lda")
+_LDA = """WITH c AS (SELECT cls, count(*) AS n, avg(o_totalprice) AS x, avg(CAST(o_custkey AS DOUBLE)) AS y FROM orders_class GROUP BY cls),
+m AS (SELECT count(*) AS n, avg(o_totalprice) AS mx, avg(CAST(o_custkey AS DOUBLE)) AS my, covar_pop(o_totalprice, o_totalprice) * count(*) AS ta,
+  covar_pop(o_totalprice, CAST(o_custkey AS DOUBLE)) * count(*) AS tb, covar_pop(CAST(o_custkey AS DOUBLE), CAST(o_custkey AS DOUBLE)) * count(*) AS tc FROM orders_class),
+b AS (SELECT sum(c.n * (x - mx) * (x - mx)) AS ba, sum(c.n * (x - mx) * (y - my)) AS bb, sum(c.n * (y - my) * (y - my)) AS bc, count(*) AS k FROM c, m),
+w0 AS (SELECT *, (ta - ba) / (n - k) AS a0, (tb - bb) / (n - k) AS wb, (tc - bc) / (n - k) AS c0 FROM m, b),
+w AS (SELECT *, a0 + 1e-12 * (a0 + c0) AS wa, c0 + 1e-12 * (a0 + c0) AS wc FROM w0),
+e AS (SELECT *, (wc * ba - wb * bb) / (wa * wc - wb * wb) AS p, (wc * bb - wb * bc) / (wa * wc - wb * wb) AS q,
+  (wa * bb - wb * ba) / (wa * wc - wb * wb) AS r, (wa * bc - wb * bb) / (wa * wc - wb * wb) AS s FROM w),
+l AS (SELECT *, (p + s) / 2 + sqrt((p - s) * (p - s) / 4 + q * r) AS l1, (p + s) / 2 - sqrt((p - s) * (p - s) / 4 + q * r) AS l2 FROM e),
+v AS (SELECT *, sqrt(q * q * wa + 2 * q * (l1 - p) * wb + (l1 - p) * (l1 - p) * wc) * CASE WHEN (CASE WHEN abs(q) >= abs(l1 - p) THEN q ELSE l1 - p END) < 0 THEN -1 ELSE 1 END AS d1,
+  sqrt(q * q * wa + 2 * q * (l2 - p) * wb + (l2 - p) * (l2 - p) * wc) * CASE WHEN (CASE WHEN abs(q) >= abs(l2 - p) THEN q ELSE l2 - p END) < 0 THEN -1 ELSE 1 END AS d2 FROM l)
+SELECT o_orderkey, cls, round(((o_totalprice - mx) * q + (o_custkey - my) * (l1 - p)) / d1, 4) AS LDA_1,
+  round(((o_totalprice - mx) * q + (o_custkey - my) * (l2 - p)) / d2, 4) AS LDA_2 FROM orders_class, v"""
+
+
+@check("reduce_lda", _LDA)
 def _(t):
-    return reduce.reduce_lda(t.orders_class, "cls", 2, ["o_totalprice", "o_custkey"])
+    return rounded(reduce.reduce_lda(t.orders_class, "cls", 2, ["o_totalprice", "o_custkey"]), ["LDA_1", "LDA_2"])
 
 
 # ---------------------------------------------------------------- selection
