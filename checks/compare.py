@@ -34,15 +34,20 @@ def rows_of(columns, rows):
     return names, sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
+def connect(folder: str):
+    con = duckdb.connect()
+    for n in NAMES:
+        con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{folder}/{n}.parquet')")
+    return con
+
+
 def main() -> None:
     p = argparse.ArgumentParser()
     p.add_argument("-d", "--dir", default="/root/testdata/sf0.01")
     p.add_argument("names", nargs="*")
     args = p.parse_args()
     spark = local_session("8")
-    con = duckdb.connect()
-    for n in NAMES:
-        con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{args.dir}/{n}.parquet')")
+    con = connect(args.dir)
     bad, total = [], 0.0
     for name in args.names or QUERIES:
         start = time.time()
@@ -60,6 +65,7 @@ def main() -> None:
             duck = time.time() - start
         except Exception as e:
             bad.append(name)
+            con = connect(args.dir)
             print(f"{name:28s} ERROR {type(e).__name__}: {str(e)[:600]}", flush=True)
             continue
         if got == want:

@@ -293,7 +293,7 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("action").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
 
 
-@check("history_recent", f"SELECT action, rows, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ({_LOG}) ORDER BY ts DESC, action LIMIT 10")
+@check("history_recent", f"SELECT action, rows, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ({_LOG}) ORDER BY ts DESC, action, rows LIMIT 10")
 def _(t):
     return history.history_recent(_log(t)).select("action", "rows", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 

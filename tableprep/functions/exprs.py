@@ -58,7 +58,8 @@ def file_ext(name: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated text as an array of trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    # a bare F.trim would be given the item's index as the characters to trim
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def to_json_row(*cols: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import profile
 from ..operators.quality import WEIGHTS_A, WEIGHTS_B, quality_score
 from ..operators.skew import beside
+from ..sources.history import history_recent
 
 
 def _part(df: DataFrame, section: str, column, metric, value) -> DataFrame:
@@ -82,7 +83,7 @@ def report_lines(report: DataFrame, history: DataFrame | None = None) -> DataFra
     lines = report.select(F.lit(1).alias("part"), F.col("name").alias("key"), text.alias("text"))
     if history is None:
         return lines
-    recent = history.orderBy(F.desc("timestamp"), "action").limit(10)
+    recent = history_recent(history)
     stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
     title = F.initcap(F.regexp_replace("action", "_", " "))
     entry = F.concat_ws(

@@ -24,7 +24,7 @@ def history_append(spark: SparkSession, path: str, entries: Sequence[Mapping]) -
 
 
 def history_recent(history: DataFrame, n: int = 10) -> DataFrame:
-    return history.orderBy(F.desc("timestamp"), "action").limit(n)
+    return history.orderBy(F.desc("timestamp"), "action", "rows").limit(n)
 
 
 def latest_n(df: DataFrame, owner: str, ts: str, tie: str, n: int) -> DataFrame:
