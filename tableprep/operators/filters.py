@@ -5,8 +5,9 @@ from __future__ import annotations
 import operator
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .profile import missing_counts, nunique, value_counts
 from .roles import categorical_columns, col, is_numeric
@@ -16,17 +17,27 @@ FILTER_FIRST = 10_000_000
 _COMPARE = {">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 
 
-def filter_compare(df: DataFrame, column: str, op: str, value) -> DataFrame:
-    """Rows that satisfy the comparison; ``!=`` keeps rows with a null."""
+def comparison(column: str, dtype: T.DataType, op: str, value) -> Column:
+    """The condition of ``filter_compare``, with a literal of the column's own kind so that it reaches the scan."""
     c = col(column)
-    given = F.lit(float(value)) if is_numeric(df.schema[column].dataType) else F.lit(value)
+    if is_numeric(dtype):
+        number = float(value)
+        whole = isinstance(dtype, T.IntegralType) and number.is_integer() and abs(number) < 2 ** 53
+        given = F.lit(int(number)) if whole else F.lit(number)
+    else:
+        given = F.lit(value)
     if op == "==":
-        return df.filter(c == given)
+        return c == given
     if op == "!=":
-        return df.filter(~c.eqNullSafe(given))
+        return ~c.eqNullSafe(given)
     if op not in _COMPARE:
         raise ValueError(f"unknown comparison {op!r}")
-    return df.filter(_COMPARE[op](c, given))
+    return _COMPARE[op](c, given)
+
+
+def filter_compare(df: DataFrame, column: str, op: str, value) -> DataFrame:
+    """Rows that satisfy the comparison; ``!=`` keeps rows with a null."""
+    return df.filter(comparison(column, df.schema[column].dataType, op, value))
 
 
 def filter_summary(df: DataFrame, column: str, op: str, value) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators.filters import sample_rows
 from ..operators.quantiles import grouped_quantiles
 from ..operators.roles import categorical_columns, col, find_column, is_numeric, numeric_columns
 from ..operators.skew import beside
+from ..session import broadcast_if_small
 
 GRID_POINTS = 200
 
@@ -62,21 +63,29 @@ def multi_histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataF
                       (low + (F.col("bin") + 1) * width).alias("high"))
 
 
-def box(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
-    """Quartiles, whiskers (furthest points inside 1.5 ranges) and outliers per group."""
+def box(df: DataFrame, y: str, by: str | None = None, groups: int | None = None) -> DataFrame:
+    """Quartiles, whiskers (furthest points inside 1.5 ranges) and outliers per group.
+
+    ``groups`` is the largest number of groups there can be, where that is known.
+    """
+    groups = 1 if by is None else groups
     group = F.coalesce(col(by).cast("string"), F.lit("null")) if by else F.lit("all")
     data = df.select(group.alias("grp"), col(y).cast("double").alias("v")).filter("v IS NOT NULL")
-    q = grouped_quantiles(data, ["grp"], "v", [0.25, 0.5, 0.75])
+    q = grouped_quantiles(data, ["grp"], "v", [0.25, 0.5, 0.75], groups=groups)
     q = q.select("grp", "n", *[F.element_at("q", i + 1).alias(k) for i, k in enumerate(("q1", "median", "q3"))])
+    q = F.broadcast(q) if groups else broadcast_if_small(q)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    # values are grouped first, so a group with much of the table is small before the join
-    values = data.groupBy("grp", "v").agg(F.count("*").alias("m")).join(q, "grp")
     inside = (F.col("v") >= lo) & (F.col("v") <= hi)
-    ends = values.groupBy("grp").agg(
+    facts = ["grp", "n", "q1", "median", "q3"]
+    return data.join(q, "grp").groupBy(*facts).agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("m"))), F.lit(0)).alias("outliers"))
-    return q.join(ends, "grp")
+        F.count(F.when(~inside, 1)).alias("outliers"))
+
+
+def multi_box(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``box`` of many columns at once; ``grp`` is the column."""
+    return box(profile.long_form(df, cols, "double"), "value", "column", groups=len(cols))
 
 
 def kde(df: DataFrame, x: str, by: str | None = None, points: int = GRID_POINTS) -> DataFrame:
@@ -195,9 +204,10 @@ def summary_table(df: DataFrame) -> DataFrame:
 
 
 # one shape for charts of different kinds: chart, x, y, series, value
-def _cells(df: DataFrame, chart: str, x=None, y=None, series=None, value=None) -> DataFrame:
+def _cells(df: DataFrame, chart: str | Column, x=None, y=None, series=None, value=None) -> DataFrame:
     pick = lambda c: (c if c is not None else F.lit(None)).cast("string")
-    return df.select(F.lit(chart).alias("chart"), pick(x).alias("x"), pick(y).alias("y"), pick(series).alias("series"),
+    name = F.lit(chart) if isinstance(chart, str) else chart
+    return df.select(name.alias("chart"), pick(x).alias("x"), pick(y).alias("y"), pick(series).alias("series"),
                      (value if value is not None else F.lit(None)).cast("double").alias("value"))
 
 
@@ -225,36 +235,43 @@ def auto_set(df: DataFrame, key: Sequence[str], max_charts: int = 12) -> DataFra
     nums, cats = numeric_columns(df), categorical_columns(df, booleans=False)
     counts = distinct_counts(df, cats[:2])
     made: list[DataFrame] = []
+    names: list[str] = []
+
+    def add(name: str, cells) -> None:
+        if len(names) < max_charts:
+            names.append(name)
+            made.append(cells())
+
     if len(nums) >= 2:
-        corr = profile.correlation_matrix(df, nums, 2)
-        made.append(_cells(corr, "correlation", F.col("x"), F.col("y"), None, F.col("r")))
-    if nums:
-        hist = multi_histogram(df, nums[:3])
-        for c in nums[:3]:
-            one = _cells(hist.filter(F.col("column") == c), f"distribution {c}", F.col("low"), F.col("high"), F.lit("n"), F.col("n"))
-            made.append(one.unionByName(_box_cells(box(df, c), f"distribution {c}")))
+        add("correlation", lambda: _cells(profile.correlation_matrix(df, nums, 2), "correlation", F.col("x"), F.col("y"), None, F.col("r")))
+    shown = nums[:3][:max_charts - len(names)]
+    if shown:
+        names += [f"distribution {c}" for c in shown]
+        title = lambda c: F.concat(F.lit("distribution "), c)
+        made.append(_cells(multi_histogram(df, shown), title("column"), F.col("low"), F.col("high"), F.lit("n"), F.col("n")))
+        made.append(_box_cells(multi_box(df, shown), title("grp"), F.lit("all")))
     for c in cats[:2]:
         if counts.get(c, 0) <= 20:
-            made.append(_cells(category_counts(df, c), f"categories {c}", F.col("value"), None, None, F.col("n")))
+            add(f"categories {c}", lambda: _cells(category_counts(df, c), f"categories {c}", F.col("value"), None, None, F.col("n")))
     for a, b in list(zip(nums, nums[1:]))[:2]:
-        points = scatter(df, [a, b], key, 2000)
-        made.append(_cells(points, f"scatter {a} {b}", col(a), col(b)))
+        add(f"scatter {a} {b}", lambda: _cells(scatter(df, [a, b], key, 2000), f"scatter {a} {b}", col(a), col(b)))
     if len(nums) >= 2:
-        made.append(_cells(pairplot(df), "pairplot", F.concat_ws(":", "x", "x_bin"), F.concat_ws(":", "y", "y_bin"), None, F.col("n")))
+        add("pairplot", lambda: _cells(pairplot(df), "pairplot", F.concat_ws(":", "x", "x_bin"), F.concat_ws(":", "y", "y_bin"), None, F.col("n")))
     if cats and nums and counts.get(cats[0], 0) <= 10:
-        made.append(_box_cells(box(df.filter(col(cats[0]).isNotNull()), nums[0], cats[0]), f"box {cats[0]} {nums[0]}"))
+        name = f"box {cats[0]} {nums[0]}"
+        add(name, lambda: _box_cells(box(df.filter(col(cats[0]).isNotNull()), nums[0], cats[0], groups=10), name))
     if len(nums) >= 3:
-        points = scatter(df, nums[:3], key, 2000)
-        made.append(_cells(points, f"scatter3d {nums[0]} {nums[1]} {nums[2]}", col(nums[0]), col(nums[1]), None, col(nums[2])))
+        solid = f"scatter3d {nums[0]} {nums[1]} {nums[2]}"
+        add(solid, lambda: _cells(scatter(df, nums[:3], key, 2000), solid, col(nums[0]), col(nums[1]), None, col(nums[2])))
     if nums:
-        made.append(_cells(kde(df, nums[0]), f"density {nums[0]}", F.col("x"), None, None, F.col("density")))
-    return reduce(lambda a, b: a.unionByName(b), made[:max_charts])
+        add(f"density {nums[0]}", lambda: _cells(kde(df, nums[0]), f"density {nums[0]}", F.col("x"), None, None, F.col("density")))
+    return reduce(lambda a, b: a.unionByName(b), made)
 
 
-def _box_cells(boxes: DataFrame, chart: str) -> DataFrame:
+def _box_cells(boxes: DataFrame, chart: str | Column, x: Column | None = None) -> DataFrame:
     facts = ["q1", "median", "q3", "whisker_low", "whisker_high"]
     long = boxes.unpivot(["grp"], facts, "fact", "value")
-    return _cells(long, chart, F.col("grp"), None, F.col("fact"), F.col("value"))
+    return _cells(long, chart, F.col("grp") if x is None else x, None, F.col("fact"), F.col("value"))
 
 
 def visual_summary(df: DataFrame, max_hist: int = 6) -> DataFrame:
@@ -266,8 +283,7 @@ def visual_summary(df: DataFrame, max_hist: int = 6) -> DataFrame:
     if nums:
         hist = multi_histogram(df, nums[:max_hist], 40)
         made.append(_cells(hist, "hist", F.col("column"), F.col("bin"), None, F.col("n")))
-    for c in nums[:max_hist]:
-        made.append(_box_cells(box(df, c), f"box {c}"))
+        made.append(_box_cells(multi_box(df, nums[:max_hist]), F.concat(F.lit("box "), "grp"), F.lit("all")))
     if cats:
         freq = profile.frequencies(df, cats)
         made.append(_cells(freq, "count", F.col("column"), F.col("value"), None, F.col("n")))

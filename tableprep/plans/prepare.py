@@ -61,6 +61,7 @@ def api_spec(**settings) -> PrepSpec:
     return replace(PrepSpec(order="api", max_categories=None, drop_first=False, var_threshold=0.01), **settings)
 
 
+# fixed values: the settings of the presets
 PRESETS = {
     "smart_clean": PrepSpec(missing="median", outlier="iqr", scaling="standard", encode="onehot", max_categories=10),
     "full": PrepSpec(missing="knn", outlier="iqr", scaling="minmax", encode="onehot", max_categories=15,

@@ -33,6 +33,8 @@ def local_session(cores: str = "*", app: str = "tableprep", partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoints no frame refers to any more are deleted
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RUNTIME.items():
         builder = builder.config(key, value)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import file_ext
-from ..operators.roles import nan_to_null
+from ..operators.filters import comparison
+from ..operators.roles import col, nan_to_null
 
 MAX_BYTES = 104_857_600
 EXTENSIONS = (".csv", ".json", ".parquet")
@@ -30,8 +31,18 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None
     return nan_to_null((reader.schema(schema) if schema is not None else reader).json(path))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, where: Sequence[tuple] = ()) -> DataFrame:
+    """Parquet with NaN as null. Comparisons in ``where`` (column, op, value) are made on the
+    stored columns, so that they also skip row groups for float columns."""
+    df = spark.read.parquet(path)
+    floats = (T.DoubleType, T.FloatType)
+    for column, op, value in where:
+        dtype = df.schema[column].dataType
+        keep = comparison(column, dtype, op, value)
+        if isinstance(dtype, floats):
+            keep = (keep | F.isnan(col(column))) if op == "!=" else (keep & ~F.isnan(col(column)))
+        df = df.filter(keep)
+    return nan_to_null(df)
 
 
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:

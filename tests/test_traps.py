@@ -218,3 +218,19 @@ def test_files_and_history(spark, tmp_path):
                                              "timestamp": dt.datetime(2024, 1, 1, 0, i)}])
     recent = history.history_recent(spark.read.parquet(log))
     assert [r["action"] for r in recent.collect()] == [f"step_{i}" for i in range(11, 1, -1)]
+
+
+def test_comparisons_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, 7.0), (4, None)], "id long, x double").coalesce(1).write.parquet(path)
+
+    def pushed(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    above = io.read_parquet(spark, path, [("x", ">", 5)])
+    assert rows(above, "id", "x") == [(3, 7.0)] and "GreaterThan(x,5.0)" in pushed(above)
+    assert rows(io.read_parquet(spark, path, [("x", "!=", 7)]), "id", "x") == [(1, 1.0), (2, None), (4, None)]
+    whole = filters.filter_compare(io.read_parquet(spark, path), "id", "==", 3)
+    assert whole.count() == 1 and "EqualTo(id,3)" in pushed(whole)
+    narrow = filters.filter_compare(io.read_parquet(spark, path), "id", ">=", 2).select("id")
+    assert "struct<id:bigint>" in pushed(narrow)
