@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import KEYS, score, similarity
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .lookup import lookup
 from .merge import common_columns, merge
 from .roles import col
@@ -84,8 +84,9 @@ def _distinct_keys(df: DataFrame, column: str, scorer: str) -> DataFrame:
 def fuzzy_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
                 threshold: int = 80, scorer: str = "ratio") -> DataFrame:
     """left_value, right_value, score, n for all distinct value pairs at or above the threshold."""
-    lv = _distinct_keys(left, left_on, scorer)
-    rv = _distinct_keys(right, right_on, scorer)
+    # read several times below, so the tables are scanned once
+    lv = cut_lineage(_distinct_keys(left, left_on, scorer))
+    rv = cut_lineage(_distinct_keys(right, right_on, scorer))
     minimum = max((threshold - 0.5) / 100, 0.005)
     keys = similar_texts(lv.select(F.col("key").alias("a")).distinct(),
                          rv.select(F.col("key").alias("b")).distinct(), minimum)
@@ -150,7 +151,7 @@ def fuzzy_record_link(left: DataFrame, right: DataFrame, left_on: Sequence[str],
     l = left.select(F.struct(*[col(c) for c in left.columns]).alias("_l"), *[key(col(c)).alias(k) for c, k in zip(left_on, lk)])
     r = right.select(F.struct(*[col(c) for c in right.columns]).alias("_r"), *[key(col(c)).alias(k) for c, k in zip(right_on, rk)])
     # rows meet through distinct key tuples, so repeated keys are compared once
-    lt, rt = l.select(*lk).distinct(), r.select(*rk).distinct()
+    lt, rt = cut_lineage(l.select(*lk).distinct()), cut_lineage(r.select(*rk).distinct())
     hits = None
     for a, b in list(zip(lk, rk))[:n - need + 1]:
         near = similar_texts(lt.filter(F.col(a).isNotNull()).select(F.col(a).alias("a")).distinct(),

@@ -74,13 +74,15 @@ def _validate(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence
 
 def merge(left: DataFrame, right: DataFrame, left_on=None, right_on=None, how: str = "inner",
           suffixes: tuple[str, str] = ("", "_right"), indicator: bool = False,
-          validate: str | None = None, auto: str = "common", order_by: tuple | None = None) -> DataFrame:
+          validate: str | None = None, auto: str = "common", order_by: tuple | None = None,
+          split_hot: bool = True) -> DataFrame:
     """Merge on pairs of key columns.
 
     A key with one name on both sides appears once; other columns the tables
     share get the suffixes. Without keys they are chosen by ``auto``; with
     nothing in common the rows are paired by position (``order_by`` holds the
-    order keys of both tables).
+    order keys of both tables). ``split_hot=False`` saves the count of both
+    tables where no key is known to hold much of either.
     """
     if how == "cross":
         if left_on or right_on:
@@ -101,11 +103,11 @@ def merge(left: DataFrame, right: DataFrame, left_on=None, right_on=None, how: s
     _check(right, rk)
     if validate and validate != "many_to_many":
         _validate(left, right, lk, rk, validate)
-    return _join(left, right, lk, rk, how, suffixes, indicator)
+    return _join(left, right, lk, rk, how, suffixes, indicator, split_hot)
 
 
 def _join(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str], how: str,
-          suffixes: tuple[str, str], indicator: bool = False) -> DataFrame:
+          suffixes: tuple[str, str], indicator: bool = False, split_hot: bool = True) -> DataFrame:
     shared = {a for a, b in zip(lk, rk) if a == b}
     clash = {c for c in common_columns(left, right) if c not in shared}
     # internal names keep both sides apart until the result is named
@@ -115,7 +117,7 @@ def _join(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str
     ri = {c: f"r{i}" for i, c in enumerate(right.columns)}
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"unknown merge {how!r}")
-    joined = _equi_join(l_in, r_in, [li[a] for a in lk], [ri[b] for b in rk], how)
+    joined = _equi_join(l_in, r_in, [li[a] for a in lk], [ri[b] for b in rk], how, split_hot)
     out: list[Column] = []
     for c in left.columns:
         value = F.coalesce(F.col(li[c]), F.col(ri[c])) if c in shared else F.col(li[c])
@@ -133,9 +135,10 @@ def _same(lk: Sequence[str], rk: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(lk, rk)])
 
 
-def _equi_join(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str], how: str) -> DataFrame:
+def _equi_join(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str], how: str,
+               split_hot: bool = True) -> DataFrame:
     """Null-safe join on key columns of different names; keys above HOT_ROWS rows go through a grid."""
-    hot = _hot_keys(l_in, r_in, lk, rk)
+    hot = _hot_keys(l_in, r_in, lk, rk) if split_hot else None
     if hot is None:
         return l_in.join(r_in, _same(lk, rk), how)
     names = [f"h{i}" for i in range(len(lk))]
@@ -196,7 +199,7 @@ def merge_positional(left: DataFrame, right: DataFrame, left_order: Sequence[str
     """Pair the rows of two tables by their position in the given orders."""
     a = with_position(left, left_order, "_pos")
     b = with_position(right, right_order, "_pos")
-    return _join(a, b, ["_pos"], ["_pos"], how, suffixes).drop("_pos")
+    return _join(a, b, ["_pos"], ["_pos"], how, suffixes, split_hot=False).drop("_pos")
 
 
 def cross_file_zip(left: DataFrame, right: DataFrame, left_col: str, right_col: str,

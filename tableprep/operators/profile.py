@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 
 from .quantiles import quantile_table
-from .roles import categorical_columns, col, is_numeric, numeric_columns, role_of
+from .roles import categorical_columns, col, is_numeric, melt, numeric_columns, role_of
 from .skew import beside, row_hash
 
 
@@ -40,7 +40,7 @@ def long_form(df: DataFrame, cols: Sequence[str], dtype: str = "string") -> Data
     """(column, value) rows for the given columns."""
     if not cols:
         return _small(df, [], f"column string, value {dtype}")
-    return df.select(*[col(c).cast(dtype).alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    return melt(df.select(*[col(c).cast(dtype).alias(c) for c in cols]), cols)
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def missing_counts(df: DataFrame, digits: int | None = None) -> DataFrame:
     pct = F.col("missing") / F.col("_n") * 100
     if digits is not None:
         pct = F.round(pct, digits)
-    return (one.unpivot(["_n"], names, "column", "missing")
+    return (melt(one, names, "column", "missing", ["_n"])
             .select("column", "missing", pct.alias("missing_pct")))
 
 
@@ -83,7 +83,7 @@ def memory_estimate(df: DataFrame) -> DataFrame:
         else:
             size = F.count(col(f.name)) * _WIDTH.get(type(f.dataType), 8)
         sizes.append(size.cast("long").alias(f.name))
-    return df.agg(*sizes).unpivot([], df.columns, "column", "bytes")
+    return melt(df.agg(*sizes), df.columns, "column", "bytes")
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
@@ -179,7 +179,7 @@ def iqr_outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, k: floa
             tests.append(F.lit(0).cast("long").alias(c))
         else:
             tests.append(F.count(F.when((v < lo - k * (hi - lo)) | (v > hi + k * (hi - lo)), 1)).alias(c))
-    return df.agg(*tests).unpivot([], cols, "column", "outliers")
+    return melt(df.agg(*tests), cols, "column", "outliers")
 
 
 def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None, top: int = 5) -> DataFrame:
@@ -229,8 +229,7 @@ def nunique(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
     """Distinct non-null values per column."""
     cols = df.columns if cols is None else list(cols)
     if not exact:
-        return (df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in cols])
-                .unpivot([], cols, "column", "unique"))
+        return melt(df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in cols]), cols, "column", "unique")
     # columns of a kind are stacked in their own type, which is cheaper than text
     kinds: dict[str, list[str]] = {}
     for c in cols:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .profile import duplicate_rows, missing_counts, missing_total, nunique
-from .roles import categorical_columns, col
+from .roles import categorical_columns, col, melt
 from .skew import beside
 
 # weights of completeness, uniqueness, volume and number of columns
@@ -18,7 +18,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with one distinct non-null value: smallest equals largest."""
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
     one = df.agg(*[F.coalesce((F.min(col(c)) == F.max(col(c))).cast("int"), F.lit(0)).alias(c) for c in plain])
-    return one.unpivot([], plain, "column", "_same").filter("_same = 1").select("column")
+    return melt(one, plain, "column", "_same").filter("_same = 1").select("column")
 
 
 def high_cardinality_ratio(df: DataFrame, ratio: float = 0.5) -> DataFrame:

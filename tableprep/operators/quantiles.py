@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, spread
-from .roles import col
+from .roles import col, melt
 
 DIRECT_CELLS = 500_000
 BROADCAST_GROUPS = 100_000
@@ -37,7 +37,7 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         row = df.agg(*[pick(col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
     wide = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
-    long = spread(wide, rows).toDF(*cols).unpivot([], list(cols), "column", "value")
+    long = melt(spread(wide, rows).toDF(*cols), cols)
     found = {r["column"]: list(r["q"]) for r in
              grouped_quantiles(long, ["column"], "value", probs, rows * len(cols), direct_cells,
                                groups=len(cols)).collect()}
@@ -55,11 +55,11 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     data = df.select(*[col(b) for b in by], col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     rows = data.count() if rows is None else rows
     if rows <= direct_cells:
-        return data.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_v", probs).alias("q"))
+        return data.groupBy(*[col(b) for b in by]).agg(F.count("*").alias("n"), F.percentile("_v", probs).alias("q"))
     accuracy = 10_000 if rows <= 10**9 else 100_000
     slack = 3 / accuracy
     bounds = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    sketch = data.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+    sketch = data.groupBy(*[col(b) for b in by]).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                    F.percentile_approx("_v", bounds, accuracy).alias("_e"))
     # in a small group the slack is less than a few ranks, so all of it is kept apart
     small = F.col("_n") < accuracy
@@ -75,7 +75,7 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     # in which all values of a gap share one entry that sorts before the next edge
     place = sum(((v > e).cast("int") for e in edges), F.lit(0))
     counts = (near.select(*[col(b) for b in by], "_n", place.alias("_p"), F.when(inside, v).alias("_v"))
-              .groupBy(*by, "_n", "_p", "_v").agg(F.count("*").alias("_c")))
+              .groupBy(*[col(b) for b in by], "_n", "_p", "_v").agg(F.count("*").alias("_c")))
     run = W.partitionBy(*[col(b) for b in by]).orderBy("_p", F.col("_v").asc_nulls_first())
     counts = counts.withColumn("_hi", F.sum("_c").over(run)).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
@@ -87,7 +87,7 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     for i, p in enumerate(probs):
         spot = F.lit(p) * (F.col("_n") - 1)
         picks += [at(F.floor(spot)).alias(f"_a{i}"), at(F.ceil(spot)).alias(f"_z{i}")]
-    found = counts.groupBy(*by, "_n").agg(*picks)
+    found = counts.groupBy(*[col(b) for b in by], "_n").agg(*picks)
     out = []
     for i, p in enumerate(probs):
         part = F.lit(p) * (F.col("_n") - 1)

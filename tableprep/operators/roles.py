@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,12 @@ def role_of(dtype: T.DataType) -> str:
     return "other"
 
 
+def melt(df: DataFrame, names: Sequence[str], variable: str = "column", value: str = "value",
+         ids: Sequence[str] = ()) -> DataFrame:
+    """One row per column of ``names``, which may hold dots and spaces."""
+    return df.unpivot([col(i) for i in ids], [col(n) for n in names], variable, value)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """One notion of a missing value: NaN becomes null in every float column."""
     return df.select(*[

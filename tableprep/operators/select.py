@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .profile import moments
-from .roles import col, numeric_columns
+from .roles import col, melt, numeric_columns
 
 
 def _keep(df: DataFrame, numeric: Sequence[str], kept: Sequence[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def chi2_scores(df: DataFrame, target: str, cols: Sequence[str] | None = None) -
         raise ValueError("chi-squared needs features that are not negative")
     per = df.groupBy(col(target).alias("_t")).agg(
         F.count("*").alias("_n"), *[F.sum(col(c).cast("double")).alias(c) for c in cols])
-    long = per.unpivot(["_t", "_n"], cols, "feature", "observed")
+    long = melt(per, cols, "feature", "observed", ["_t", "_n"])
     totals = long.groupBy("feature").agg(F.sum("observed").alias("_sum"), F.sum("_n").alias("_all"))
     expected = F.col("_sum") * F.col("_n") / F.col("_all")
     gap = F.col("observed") - expected

@@ -15,7 +15,7 @@ from ..operators import profile
 from ..operators.encode import distinct_counts
 from ..operators.filters import sample_rows
 from ..operators.quantiles import grouped_quantiles
-from ..operators.roles import categorical_columns, col, find_column, is_numeric, numeric_columns
+from ..operators.roles import categorical_columns, col, find_column, is_numeric, melt, numeric_columns
 from ..operators.skew import beside
 from ..session import broadcast_if_small
 
@@ -53,7 +53,7 @@ def multi_histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataF
     if not ranges:
         return df.sparkSession.createDataFrame([], "column string, bin int, n long, low double, high double")
     data = df.select(*[_bin(col(c).cast("double"), *ranges[c], bins).alias(c) for c in ranges])
-    long = data.unpivot([], list(ranges), "column", "bin").filter("bin IS NOT NULL")
+    long = melt(data, list(ranges), "column", "bin").filter("bin IS NOT NULL")
     out = long.groupBy("column", "bin").agg(F.count("*").alias("n"))
     low, width = F.lit(None).cast("double"), F.lit(None).cast("double")
     for c, (a, b) in ranges.items():
@@ -130,7 +130,7 @@ def line(df: DataFrame, x: str, ys: Sequence[str], color: str | None = None) ->
     """x, series, value [, color] in the order of x."""
     ids = [col(x).alias("x")] + ([col(color).cast("string").alias("color")] if color else [])
     data = df.select(*ids, *[col(y).cast("double").alias(f"_{y}") for y in ys])
-    long = data.unpivot(["x"] + (["color"] if color else []), [f"_{y}" for y in ys], "series", "value")
+    long = melt(data, [f"_{y}" for y in ys], "series", "value", ["x"] + (["color"] if color else []))
     return long.withColumn("series", F.expr("substring(series, 2)")).orderBy("x", "series")
 
 

@@ -52,10 +52,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster, or a private one in local mode."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
+    shared, current = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    if current and (not shared or shared.rstrip("/") in current):
         return current
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

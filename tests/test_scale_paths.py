@@ -193,6 +193,24 @@ def test_merges_with_hot_keys(spark, monkeypatch, how, limit):
     assert key(got) == key(want)
 
 
+def test_sample_prefilter_changes_nothing(spark, numbers, monkeypatch):
+    from tableprep.operators import filters
+    _, df = numbers
+    plain = filters.sample_rows(df, ["id"], 100).collect()
+    monkeypatch.setattr(filters, "FILTER_FIRST", 50)
+    assert filters.sample_rows(df, ["id"], 100).collect() == plain
+
+
+@pytest.mark.parametrize("suspects", [0, 10 ** 6])
+def test_duplicates_of_wide_rows(spark, monkeypatch, suspects):
+    monkeypatch.setattr(profile, "SUSPECTS", suspects)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({c: rng.choice(["x", "y", None], 300) for c in "abcdef"})
+    pdf.loc[:100] = ["x", None, "x", None, "y", "y"]  # hashes leave out nulls, rows must not
+    df = spark.createDataFrame(pdf, ", ".join(f"{c} string" for c in pdf)).repartition(5)
+    assert profile.duplicate_rows(df).first()["duplicates"] == pdf.duplicated().sum()
+
+
 def test_balance_is_repeatable(spark):
     df = spark.range(2000).select("id", (F.col("id") % 97).cast("double").alias("x"),
                                   F.when(F.col("id") % 10 == 0, "rare").otherwise("many").alias("c"))

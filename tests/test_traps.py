@@ -234,3 +234,14 @@ def test_comparisons_reach_the_scan(spark, tmp_path):
     assert whole.count() == 1 and "EqualTo(id,3)" in pushed(whole)
     narrow = filters.filter_compare(io.read_parquet(spark, path), "id", ">=", 2).select("id")
     assert "struct<id:bigint>" in pushed(narrow)
+
+
+def test_awkward_column_names(spark):
+    df = spark.createDataFrame([(1.0, "u", 2.0), (2.0, "v", 2.5), (None, "u", 9.0), (4.0, None, 1.0)], "`a.b` double, `c d` string, `x^2` double")
+    assert {r["column"]: r["missing"] for r in profile.missing_counts(df).collect()} == {"a.b": 1, "c d": 1, "x^2": 0}
+    assert profile.describe_all(df).count() == 3 and profile.nunique(df).count() == 3
+    assert profile.iqr_outlier_counts(df).count() == 2 and profile.duplicate_rows(df).first()[0] == 0
+    assert quality.constant_columns(df).count() == 0 and charts.multi_histogram(df, ["a.b"]).count() == 3
+    out, log = prepare.prepare(df, prepare.PRESETS["smart_clean"])
+    assert out.columns == ["a.b", "x^2", "c d_v"] and not any("skipped" in line for line in log)
+    assert engineer.quantile_bins(df, ["a.b"], 2).columns[-1] == "a.b_binned"
