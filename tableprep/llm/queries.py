@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality_rules as op6
+from . import secrets as op5
 from .common import table
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = op5.secret_scan(table(spark, folder, "documents"))
+    base = F.filter("found", lambda m: m["kind"] != "random")
+    number = lambda k: F.size(F.filter("found", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[number(k) for k in ("assign", "access", "hex", "random")],
+                        F.sha2(op5.span_digest(base), 256).alias("base_sha256"), op5.span_digest(F.col("found")).alias("spans"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return op6.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op5_secret_scan, op6_quality_rules)}
 ORACLES: dict[str, str] = {}
