@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as op4
 from . import quality_rules as op6
 from . import secrets as op5
 from .common import table
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return op4.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = op5.secret_scan(table(spark, folder, "documents"))
     base = F.filter("found", lambda m: m["kind"] != "random")
@@ -22,5 +27,5 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return op6.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_secret_scan, op6_quality_rules)}
 ORACLES: dict[str, str] = {}
