@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as op4
 from . import quality_rules as op6
 from . import secrets as op5
+from . import simhash as op7
 from .common import table
 
 
@@ -27,5 +28,9 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return op6.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_secret_scan, op6_quality_rules)}
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return op7.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash)}
 ORACLES: dict[str, str] = {}
