@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as op4
+from . import packing as op9
 from . import quality_rules as op6
 from . import secrets as op5
 from . import simhash as op7
 from .common import table
 
 
+def word_tokenizer() -> str:
+    """The vocabulary file that the packing query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return op4.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -32,5 +40,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return op7.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash)}
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return op9.pack(table(spark, folder, "documents"), word_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash,
+                                    op9_packing)}
 ORACLES: dict[str, str] = {}
