@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as op4
+from . import langid as op2
 from . import packing as op9
+from . import quality_model as op10
 from . import quality_rules as op6
 from . import secrets as op5
 from . import simhash as op7
 from .common import table
 
 
+def remainder(n: int):
+    """crc32 of the document's id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = op2.learn(docs.filter(remainder(5) != 0))
+    return op2.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def word_tokenizer() -> str:
     """The vocabulary file that the packing query names."""
     import public_tokenizers
@@ -44,6 +58,13 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return op9.pack(table(spark, folder, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash,
-                                    op9_packing)}
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = op10.learn(docs.filter(remainder(3) != 1), labels.filter(remainder(3) != 1))
+    scored = docs.select("doc_id", (remainder(3) == 1).alias("held_out"), op10.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language, op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash,
+                                    op9_packing, op10_quality)}
 ORACLES: dict[str, str] = {}
