@@ -28,12 +28,6 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*[F.col(f"_{df.columns.index(name)}").alias(new) for new, name in wanted.items()])
 
 
-def add_columns(df: DataFrame, **new: Column) -> DataFrame:
-    """``df`` with further columns at the end, also where a name is there already."""
-    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    return flat.select("*", *[c.alias(k) for k, c in new.items()]).toDF(*df.columns, *new)
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one that the cluster names in spark.checkpoint.dir."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -51,5 +45,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
 
 
-def is_null_or_empty(text: Column) -> Column:
-    return F.coalesce(F.length(text), F.lit(0)) == 0
+def grid(rows: DataFrame, key: str, member: str, run: int, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``cell``: keys of more than ``run`` members fall into the cells of a grid.
+
+    Members of such a key are dealt to chunks by a hash; each goes to the cells of its
+    chunk with every chunk, so any two meet in a cell, and a cell holds about two chunks.
+    Other keys have the one cell 0. ``counted`` are the rows that count (all by
+    default). There is at most one hot key per ``run`` rows; where there is none,
+    nothing is joined.
+    """
+    hot = stored((rows if counted is None else counted).groupBy(key).count().filter(F.col("count") > run)
+                 .select(F.col(key).alias("hot"), F.ceil(F.col("count") / run).cast("int").alias("chunks")), "hot-keys")
+    if hot.isEmpty():
+        return rows.withColumn("cell", F.lit(0).cast("long"))
+    n = F.coalesce("chunks", F.lit(1))
+    chunk = F.pmod(F.xxhash64(member), n).cast("int")
+    joined = rows.join(hot, F.col(key) == F.col("hot"), "left").withColumn("n", n).withColumn("a", chunk)
+    return joined.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))) \
+        .withColumn("cell", F.least("a", "b").cast("long") * F.col("n") + F.greatest("a", "b")) \
+        .select(*rows.columns, "cell")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as op4
 from . import langid as op2
+from . import line_dedup as op8
 from . import packing as op9
 from . import quality_model as op10
 from . import quality_rules as op6
@@ -54,6 +55,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return op7.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return op8.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return op9.pack(table(spark, folder, "documents"), word_tokenizer())
 
@@ -66,5 +71,5 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_language, op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash,
-                                    op9_packing, op10_quality)}
+                                    op8_line_dedup, op9_packing, op10_quality)}
 ORACLES: dict[str, str] = {}
