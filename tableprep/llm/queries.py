@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_template as op3
 from . import decontaminate as op4
 from . import langid as op2
 from . import line_dedup as op8
@@ -13,9 +14,16 @@ from . import quality_model as op10
 from . import quality_rules as op6
 from . import secrets as op5
 from . import simhash as op7
+from . import token_counts as op1
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return op1.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def remainder(n: int):
     """crc32 of the document's id as text, modulo ``n``."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -28,6 +36,16 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    told = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    return op3.read_back(op3.format_conversations(told.unionByName(more)))
+
+
 def word_tokenizer() -> str:
     """The vocabulary file that the packing query names."""
     import public_tokenizers
@@ -70,6 +88,19 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language, op3_chat, op4_decontaminate, op5_secret_scan, op6_quality_rules, op7_simhash,
                                     op8_line_dedup, op9_packing, op10_quality)}
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op3_chat": f"""
+WITH told AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(regexp_replace(role || text, '([<\\[\\\\])', '\\1\\1', 'g')) + length('<s>[INST]  [/INST]</s>'))
+    AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id""",
+}
