@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import grid, pick, stored
 from .graph import components
 
 SHINGLE = 3
@@ -128,17 +128,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame, run: int = RUN) -> DataFrame:
     """u, v: links that join all of ``nodes`` (different fp) at ``BITS`` or fewer bits."""
     keys = nodes.select("fp").mapInArrow(_keys, "k long, fp long, probe boolean")
-    hot = stored(keys.filter("NOT probe").groupBy("k").count().filter(F.col("count") > run)
-                 .select("k", F.ceil(F.col("count") / run).cast("int").alias("chunks")), "hot-keys")
-    if hot.isEmpty():
-        cells = keys.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        # at most four rows per ``run`` fingerprints: Spark broadcasts them while that is small
-        cells = keys.join(hot, "k", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))) \
-            .withColumn("a", chunk).withColumn("b", other) \
-            .withColumn("cell", F.least("a", "b").cast("long") * F.col("chunks") + F.greatest("a", "b"))
+    cells = grid(keys, "k", "fp", run, keys.filter("NOT probe"))
     return cells.select("k", "cell", "fp", "probe").repartition("k", "cell").sortWithinPartitions("k", "cell") \
         .mapInArrow(_links, "u long, v long")
 
