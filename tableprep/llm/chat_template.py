@@ -192,10 +192,10 @@ def parse(source: str) -> tuple:
                 stack.append(("if", branches[0][1], branches))
             elif word in ("elif", "else"):
                 kind, _, branches = stack[-1]
-                if kind != "if" or branches[-1][0] == ("const", True) and len(branches) > 1:
+                if kind != "if" or branches is None:  # none once there was an else
                     raise TemplateError(f"{word} without if")
                 branches.append((words.parse() if word == "elif" else ("const", True), []))
-                stack[-1] = ("if", branches[-1][1], branches)
+                stack[-1] = ("if", branches[-1][1], branches if word == "elif" else None)
             elif word == "set":
                 name = words.name()
                 words.need("=")
