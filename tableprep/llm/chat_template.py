@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small_batches
 
 OPENERS = "<["
 #: Marks every turn; control strings are <s>, </s>, [INST] and [/INST].
@@ -387,6 +387,7 @@ def format_conversations(rows: DataFrame, template: str = TURNS, conv: str = "co
     after ``PIECE`` code points at the end of an output, so a long conversation is
     many rows; parts are numbered from 0. An empty table gives no rows.
     """
+    small_batches(rows)
     told = pick(rows, conv=conv, turn=turn, role=role, text=text)
     kind = told.schema["conv"].dataType.simpleString()
     sorted_rows = told.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")

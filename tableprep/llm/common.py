@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tableprep.session import checkpoint_dir
 
+#: Bytes of the batches that Python workers get; a single longer text is a batch of its own.
+BATCH = "4m"
 #: Words are separated by space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -28,6 +30,11 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*[F.col(f"_{df.columns.index(name)}").alias(new) for new, name in wanted.items()])
 
 
+def small_batches(df: DataFrame) -> None:
+    """Texts go to Python in batches of about ``BATCH``, so a worker's memory does not follow the length of texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one that the cluster names in spark.checkpoint.dir."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import pick
+from .common import pick, small_batches
 
 BITS, ORDERS = 12, (1, 2, 3)
 SAMPLE, SAMPLE_TOTAL = 500, 4000
@@ -104,6 +104,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     About ``sample`` rows of each language, and about ``total`` in all, reach the
     driver; with more languages than ``total`` the sample of each is one row.
     """
+    small_batches(docs)
     rows = pick(docs, key=key, text=text, lang=lang).filter("lang IS NOT NULL AND key IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     each = max(1, min(sample, total // max(len(counts), 1)))

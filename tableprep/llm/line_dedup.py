@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grid, pick, stored
+from .common import grid, pick, small_batches, stored
 
 EDITS = 2
 #: Lines shorter than this (without outer white space) always stay.
@@ -247,6 +247,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     equals an earlier one. Rows that share a key (null included) are one document: they
     lose the lines of the same numbers. Ties cannot occur: (key, line number) differ.
     """
+    small_batches(docs)
     names = docs.columns
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
     t, k = f"_{names.index(text)}", f"_{names.index(key)}"

@@ -14,6 +14,8 @@ many copies of one document spread over as many ranges as their number asks for.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, small_batches, stored
 
+#: Words that a tokenizer of words parts into one piece of letters and perhaps a point or comma.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 LENGTH = 4096
 END = 2
 DIMS, CELL_BITS = 3, 8
-#: Words whose tokens a worker remembers; the memory is emptied when it is full.
-MEMORY = 200_000
+#: Words whose tokens a worker remembers in each half of its memory; when one is full the other is forgotten.
+MEMORY = 250_000
+#: Words looked up at once, so that a text of many different words does not fill the memory by itself.
+PARTS = 1 << 16
 _encoders: dict[str, Callable] = {}
 
 
@@ -40,24 +46,51 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """
     if path in _encoders:
         return _encoders[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
     from tokenizers import Tokenizer
 
-    model, known = Tokenizer.from_file(path), {"": b""}
+    model = Tokenizer.from_file(path)
     if model.get_vocab_size() > 1 << 16:
         raise ValueError("token ids do not fit 16 bits")
+    recent, older = {"": b""}, {}
     end = np.array([END], "<u2").tobytes()
 
+    last = np.zeros(1 << 16, bool)  # ids of pieces that end a word
+    last[[i for piece, i in model.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def together(parts: list[str]) -> list[bytes]:
+        """Ids of plain words, encoded as one text and cut where words end; none if the ends do not add up."""
+        ids = np.array(model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u2")
+        ends = np.flatnonzero(last[ids]) + 1
+        words = np.cumsum([2 if p[-1] in ".," else 1 for p in parts])
+        if not len(ends) or len(ends) != words[-1] or ends[-1] != len(ids):
+            return []
+        cuts, raw = (2 * ends[words - 1]).tolist(), ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def some(parts: list[str]) -> bytes:
+        nonlocal recent, older
+        got = list(map(recent.get, parts))
+        if None in got:
+            if len(recent) >= MEMORY:  # words in use come back from the older half
+                recent, older = {"": b""}, recent
+                got = list(map(recent.get, parts))
+            missing = {p for p, g in zip(parts, got) if g is None}
+            back = {p: older[p] for p in missing if p in older}
+            recent.update(back)
+            new = [p for p in missing if p not in back]
+            plain = [p for p in new if PLAIN.fullmatch(p)]
+            for at in range(0, len(plain), 4096):
+                recent.update(zip(plain[at:at + 4096], together(plain[at:at + 4096])))
+            other = [p for p in new if p not in recent]
+            for part, found in zip(other, model.encode_batch_fast(other, add_special_tokens=False)):
+                recent[part] = np.array(found.ids, "<u2").tobytes()
+            got = [recent[p] if g is None else g for p, g in zip(parts, got)]
+        return b"".join(got)
+
     def encode(text: str | None) -> bytes:
         parts = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        new = list({p for p in parts if p not in known})
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            known[""], new = b"", list(set(parts) - {""})
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for part, got in zip(some, model.encode_batch(some, add_special_tokens=False)):
-                known[part] = np.array(got.ids, "<u2").tobytes()
-        return b"".join([known[p] for p in parts]) + end
+        return b"".join(some(parts[at:at + PARTS]) for at in range(0, len(parts), PARTS)) + end
 
     _encoders[path] = encode
     return encode
@@ -180,6 +213,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
+    small_batches(docs)
     rows = stored(tokenized(pick(docs, key=key, text=text), path), "token-ids")
     n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "curve", "key", F.xxhash64("ids")).sortWithinPartitions("curve", "key", F.xxhash64("ids")) \

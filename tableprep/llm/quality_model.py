@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import pick
+from .common import pick, small_batches
 
 BITS, ORDERS, DIMS = 16, (2, 3, 4), 8
 SAMPLE = 1500
@@ -76,6 +76,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Without both classes every score is the share of class 1 (0.5 without labels).
     """
+    small_batches(docs)
     known = pick(labels, key=key, y=quality).filter("key IS NOT NULL AND y IN (0, 1)").distinct()
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(n) < 2:

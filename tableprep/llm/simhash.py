@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grid, pick, stored
+from .common import grid, pick, small_batches, stored
 from .graph import components
 
 SHINGLE = 3
@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     null key takes part and belongs to its component, null if all its keys are. Repeated rows are copies. Empty
     tables give none.
     """
+    small_batches(docs)
     rows = stored(fingerprints(pick(docs, key=key, text=text)), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("first")), "fingerprint-classes")
     found = components(links(nodes, run))

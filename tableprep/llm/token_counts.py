@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, small_batches
 
 #: Words whose count a worker remembers; the memory is emptied when it is full.
 MEMORY = 500_000
@@ -145,5 +145,6 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     A null or empty text has none. Rows are counted one by one: repeated rows give
     repeated results, null keys stay null, an empty table gives no rows.
     """
+    small_batches(docs)
     found = pick(docs, key=key, text=text).select("key", counted(F.col("text"), path).alias("c"))
     return found.select(F.col("key").alias(key), "c.n_words", "c.n_tokens", "c.n_unknown")

@@ -16,6 +16,9 @@ def model():
 
 
 def test_encoder_equals_the_tokenizer(model, monkeypatch):
+    packing._encoders.clear()
+    monkeypatch.setattr(packing, "MEMORY", 3)
+    monkeypatch.setattr(packing, "PARTS", 4)
     encode = packing.encoder(word_tokenizer())
     for text in ["", None, "Hello  World\n\tit's naïve", "a b c \x1f d", "<|endoftext|> x<|startoftext|>y", "é ́e ﬁ İ ΣΑΣ 1234 🙂",
                  "tabs\tand\r\nlines", "don't 'stop we'll", "x" * 500]:
