@@ -32,14 +32,14 @@ LENGTH = 4096
 END = 2
 DIMS, CELL_BITS = 3, 8
 #: Words whose tokens a worker remembers in each half of its memory; when one is full the other is forgotten.
-MEMORY = 250_000
-#: Words looked up at once, so that a text of many different words does not fill the memory by itself.
-PARTS = 1 << 16
+MEMORY = 400_000
+#: Code points whose words are looked up at once; longer texts are cut at a space.
+SLICE = 1 << 19
 _encoders: dict[str, Callable] = {}
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to its token ids as little-endian 16-bit numbers, with END.
+def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
+    """Texts to their token ids as little-endian 16-bit numbers, each with END.
 
     White space parts tokens in every public word tokenizer of this kind, so a text's
     ids are those of its white-space parts in a row; parts seen before are looked up.
@@ -68,29 +68,59 @@ def encoder(path: str) -> Callable[[str], bytes]:
         cuts, raw = (2 * ends[words - 1]).tolist(), ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def some(parts: list[str]) -> bytes:
+    def learned(missing: set[str]) -> None:
+        """Puts all missing words into ``recent``."""
         nonlocal recent, older
-        got = list(map(recent.get, parts))
-        if None in got:
-            if len(recent) >= MEMORY:  # words in use come back from the older half
-                recent, older = {"": b""}, recent
-                got = list(map(recent.get, parts))
-            missing = {p for p, g in zip(parts, got) if g is None}
-            back = {p: older[p] for p in missing if p in older}
-            recent.update(back)
-            new = [p for p in missing if p not in back]
-            plain = [p for p in new if PLAIN.fullmatch(p)]
-            for at in range(0, len(plain), 4096):
-                recent.update(zip(plain[at:at + 4096], together(plain[at:at + 4096])))
-            other = [p for p in new if p not in recent]
-            for part, found in zip(other, model.encode_batch_fast(other, add_special_tokens=False)):
-                recent[part] = np.array(found.ids, "<u2").tobytes()
-            got = [recent[p] if g is None else g for p, g in zip(parts, got)]
-        return b"".join(got)
-
-    def encode(text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        return b"".join(some(parts[at:at + PARTS]) for at in range(0, len(parts), PARTS)) + end
+        back = {p: older[p] for p in missing if p in older}
+        recent.update(back)
+        new = [p for p in missing if p not in back]
+        plain = [p for p in new if PLAIN.fullmatch(p)]
+        for at in range(0, len(plain), 4096):
+            recent.update(zip(plain[at:at + 4096], together(plain[at:at + 4096])))
+        other = [p for p in new if p not in recent]
+        for part, found in zip(other, model.encode_batch_fast(other, add_special_tokens=False)):
+            recent[part] = np.array(found.ids, "<u2").tobytes()
+
+    def group(slices: list[str]) -> list[bytes]:
+        """Ids of some slices; their unknown words are encoded together."""
+        nonlocal recent, older
+        if len(recent) >= MEMORY:  # words in use come back from the older half
+            recent, older = {"": b""}, recent
+        parts = [t.split(" ") for t in slices]
+        got = [list(map(recent.get, x)) for x in parts]
+        holes = [i for i, x in enumerate(got) if None in x]
+        missing = {p for i in holes for p, g in zip(parts[i], got[i]) if g is None}
+        if missing:
+            learned(missing)
+            for i in holes:
+                got[i] = [recent[p] if g is None else g for p, g in zip(parts[i], got[i])]
+        return [b"".join(x) for x in got]
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, slices, size = [], [], 0
+
+        def flush() -> None:
+            nonlocal size
+            for i, ids in zip(owners, group(slices)):
+                out[i].append(ids)
+            owners.clear()
+            slices.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            text, at = (text or "").replace("\n", " ").replace("\t", " "), 0
+            while at < len(text):  # a long text is cut at a space
+                to = text.find(" ", at + SLICE) if len(text) - at > SLICE else -1
+                slices.append(text[at:] if to < 0 else text[at:to])
+                owners.append(i)
+                size += len(slices[-1])
+                at = len(text) if to < 0 else to + 1
+                if size >= SLICE:
+                    flush()
+        if slices:
+            flush()
+        return [b"".join([*x, end]) for x in out]
 
     _encoders[path] = encode
     return encode
@@ -134,7 +164,7 @@ def curve_key(ids: list[bytes], table: np.ndarray) -> np.ndarray:
         got = np.frombuffer(raw, "<u2")
         total = np.zeros(DIMS)
         for at in range(0, len(got), 1 << 16):
-            total += table[got[at:at + (1 << 16)]].sum(0, np.float64)
+            total += table.take(got[at:at + (1 << 16)], axis=0).sum(0)
         points[i] = total / np.sqrt(len(got))
     # logistic: most documents fall in the middle, none outside
     cells = np.floor((1 << CELL_BITS) / (1 + np.exp(-np.clip(points / 4, -30, 30))))
@@ -150,7 +180,7 @@ def tokenized(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for at in range(0, len(batch), 256):
-                ids = [encode(t.as_py()) for t in texts[at:at + 256]]
+                ids = encode(texts[at:at + 256].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key")[at:at + 256], pa.array(curve_key(ids, table)), pa.array(ids, pa.binary())],
                     ["key", "curve", "ids"])
