@@ -54,7 +54,8 @@ def word_tokenizer() -> str:
 
 
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    return op4.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    """The contaminated documents and their items."""
+    return op4.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).filter("contaminated")
 
 
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
