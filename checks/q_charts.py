@@ -22,7 +22,7 @@ def edge_sql(c: str, table: str, bins: int) -> str:
 
 
 def hist_sql(c: str, table: str, bins: int, color: str | None = None) -> str:
-    extra = f"coalesce({color}, 'null') AS color, " if color else ""
+    extra = f"{color} AS color, " if color else ""
     keep = "color, " if color else ""
     return f"""SELECT {keep}bin, n, {edge_sql(c, table, bins)} FROM (SELECT {extra}{bin_sql(c, table, bins)} AS bin, count(*) AS n
   FROM {table} WHERE {c} IS NOT NULL GROUP BY ALL)"""
@@ -51,7 +51,7 @@ BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
 _TYPE = "coalesce(event_type, 'null')"
 
 
-@check("chart_box", box_sql("value", "events_dirty", _TYPE))
+@check("chart_box", f"SELECT * REPLACE (nullif(grp, 'null') AS grp) FROM ({box_sql('value', 'events_dirty', _TYPE)})")
 def _(t):
     return rounded(charts.box(t.events_dirty, "value", "event_type"), BOX)
 
@@ -69,8 +69,8 @@ def _(t):
     return rounded(rounded(charts.kde(t.events, "value"), ["x"]), ["density"], 8)
 
 
-@check("chart_violin", f"""SELECT k.*, b.q1, b.median, b.q3 FROM ({kde_sql('value', 'events_dirty', _TYPE)}) k
-JOIN ({box_sql('value', 'events_dirty', _TYPE)}) b USING (grp)""")
+@check("chart_violin", f"""SELECT * REPLACE (nullif(grp, 'null') AS grp) FROM (SELECT k.*, b.q1, b.median, b.q3 FROM ({kde_sql('value', 'events_dirty', _TYPE)}) k
+JOIN ({box_sql('value', 'events_dirty', _TYPE)}) b USING (grp))""")
 def _(t):
     out = rounded(charts.violin(t.events_dirty, "value", "event_type"), ["x", "q1", "median", "q3"])
     return rounded(out, ["density"], 8)
@@ -115,17 +115,25 @@ def _(t):
     return rounded(charts.bar_polar(t.events_dirty, "event_type", "value"), ["r"], 2)
 
 
-@check("chart_category_counts", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+@check("chart_category_counts", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1")
 def _(t):
     return charts.chart(t.part, "countplot", "p_brand")
 
 
-@check("chart_pie", """SELECT name, value, round(value / sum(value) OVER (), 8) AS share FROM (
-  SELECT p_brand AS name, CAST(count(*) AS DOUBLE) AS value FROM part GROUP BY 1 ORDER BY value DESC, name LIMIT 10)""")
+@check("chart_pie", """SELECT p_brand AS name, CAST(count(*) AS DOUBLE) AS value, round(count(*) / (SELECT count(*) FROM part), 8) AS share,
+  false AS is_rest FROM part GROUP BY 1""")
 def _(t):
     return rounded(charts.pie(t.part, "p_brand"), ["share"], 8)
 
 
+@check("chart_pie_other", """WITH s AS (SELECT p_brand AS name, CAST(count(*) AS DOUBLE) AS value, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r
+  FROM part GROUP BY 1)
+SELECT name, value, round(value / (SELECT sum(value) FROM s), 8) AS share, false AS is_rest FROM s WHERE r <= 10
+UNION ALL SELECT 'other', sum(value), round(sum(value) / (SELECT sum(value) FROM s), 8), true FROM s WHERE r > 10 HAVING count(*) > 0""")
+def _(t):
+    return rounded(charts.pie(t.part, "p_brand", n=10), ["share"], 8)
+
+
 @check("chart_sunburst", ROLLUP.format(a="o_orderstatus", b="o_orderpriority", v="o_totalprice", t="orders"))
 def _(t):
     return rounded(charts.chart(t.orders, "sunburst", y="o_totalprice", path=["o_orderstatus", "o_orderpriority"]), ["value"], 2)
@@ -150,7 +158,7 @@ def _(t):
   SELECT event_type AS x, value AS delta, event_id FROM events_dirty WHERE event_type IS NOT NULL AND value IS NOT NULL ORDER BY event_id LIMIT 20)
 WINDOW w AS (ORDER BY event_id)""")
 def _(t):
-    return rounded(charts.waterfall(t.events_dirty, "event_type", "value", ["event_id"]), ["total"])
+    return rounded(charts.waterfall(t.events_dirty, "event_type", "value", ["event_id"], 20), ["total"])
 
 
 @check("chart_surface", "SELECT l_suppkey AS y, l_linenumber AS x, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1, 2")
@@ -173,13 +181,13 @@ def pair_sql(cols: list[str], table: str) -> str:
 
 @check("chart_pairplot", pair_sql(_PAIR, "lineitem"))
 def _(t):
-    return charts.pairplot(t.lineitem, _PAIR)
+    return charts.pairplot(t.lineitem.select(*_PAIR))
 
 
 @check("chart_strip", f"""SELECT key, x, y FROM (SELECT event_id AS key, event_type AS x, value AS y,
   row_number() OVER (PARTITION BY event_type ORDER BY {_MD5.format('event_id')}, event_id) AS r FROM events_dirty WHERE event_type IS NOT NULL AND value IS NOT NULL) WHERE r <= 50""")
 def _(t):
-    return charts.strip(t.events_dirty, "event_type", "value", "event_id")
+    return charts.strip(t.events_dirty, "event_type", "value", "event_id", 50)
 
 
 _CUST = {"c_custkey": "bigint", "c_acctbal": "double", "c_nationkey": "int", "const_col": "int"}
@@ -219,17 +227,17 @@ def _(t):
 
 
 def auto_sql(key: str, nums: list[str], cat: str, table: str) -> str:
-    points = f"(SELECT * FROM {table} ORDER BY {_MD5.format(key)}, {key} LIMIT 2000)"
+    points = table
     parts = [_long("correlation", "x", "y", "NULL", "r", f"({corr_sql(table, nums, 2)})")]
-    for c in nums[:3]:
+    for c in nums:
         parts.append(_long(f"distribution {c}", "low", "high", "'n'", "n", f"({hist_sql(c, table, 30)})"))
         parts += _box_long(f"distribution {c}", box_sql(c, table, "'all'"))
     parts.append(_long(f"categories {cat}", cat, "NULL", "NULL", "n", f"(SELECT {cat}, count(*) AS n FROM {table} GROUP BY 1)"))
-    parts += [_long(f"scatter {a} {b}", a, b, "NULL", "NULL", points) for a, b in list(zip(nums, nums[1:]))[:2]]
-    parts.append(_long("pairplot", "x || ':' || x_bin", "y || ':' || y_bin", "NULL", "n", f"({pair_sql(nums[:4], table)})"))
+    parts += [_long(f"scatter {a} {b}", a, b, "NULL", "NULL", points) for a, b in zip(nums, nums[1:])]
+    parts.append(_long("pairplot", "x || ':' || x_bin", "y || ':' || y_bin", "NULL", "n", f"({pair_sql(nums, table)})"))
     parts += _box_long(f"box {cat} {nums[0]}", box_sql(nums[0], table, cat))
     parts.append(_long(f"scatter3d {' '.join(nums[:3])}", nums[0], nums[1], "NULL", nums[2], points))
-    parts.append(_long(f"density {nums[0]}", "x", "NULL", "NULL", "density * 1000", f"({kde_sql(nums[0], table, chr(39) + 'all' + chr(39))})"))
+    parts += [_long(f"density {c}", "x", "NULL", "NULL", "density * 1000", f"({kde_sql(c, table, chr(39) + 'all' + chr(39))})") for c in nums]
     return union(parts)
 
 

@@ -25,11 +25,6 @@ for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("o
     _exact(_how, _sql)
 
 
-@check("merge_cross", "SELECT * FROM nation CROSS JOIN region")
-def _(t):
-    return merge.merge(t.nation, t.region, how="cross")
-
-
 @check("merge_multi_key", """SELECT a.l_partkey, a.l_suppkey, a.qty, b.price FROM
   (SELECT l_partkey, l_suppkey, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) a JOIN
   (SELECT l_partkey, l_suppkey, max(l_extendedprice) AS price FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) b
@@ -170,11 +165,19 @@ def _(t):
     return out.select("s_suppkey", "c_custkey", "c_name", "n_name_right", "matched")
 
 
-@check("fuzzy_candidate_counts", f"""WITH a AS (SELECT substring({_KEY.format('noisy_name')}, 1, 1) AS block, count(*) AS left_rows FROM part_names GROUP BY 1),
-b AS (SELECT substring({_KEY.format('p_name')}, 1, 1) AS block, count(*) AS right_rows FROM part GROUP BY 1)
-SELECT block, left_rows, right_rows, left_rows * right_rows AS pairs, CASE WHEN left_rows * right_rows > 50000 THEN 1 ELSE 0 END AS over_limit FROM a JOIN b USING (block)""")
+# part names written in another alphabet, letter by letter; fixed values
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщьыз"
+_CYR = f"translate(lower({{0}}), '{_LATIN}', '{_CYRILLIC}')"
+
+
+# one letter for one letter: distances are those of the Latin keys, which the SQL compares byte by byte
+@check("fuzzy_unicode", f"""WITH l AS (SELECT DISTINCT {_CYR.format('noisy_name')} AS lv, {_KEY.format('noisy_name')} AS lk FROM part_names),
+r AS (SELECT DISTINCT {_CYR.format('p_name')} AS rv, {_KEY.format('p_name')} AS rk FROM part)
+SELECT lv AS left_value, rv AS right_value, {_SCORE} AS score FROM l, r WHERE {_SCORE} >= 85""")
 def _(t):
-    return fuzzy.fuzzy_candidate_counts(t.part_names, t.part, "noisy_name", "p_name", max_pairs=50_000)
+    cyrillic = lambda c: F.translate(F.lower(c), _LATIN, _CYRILLIC)
+    left, right = t.part_names.select(cyrillic("noisy_name").alias("a")), t.part.select(cyrillic("p_name").alias("b"))
+    return fuzzy.fuzzy_pairs(left, right, "a", "b", 85).drop("n")
 
 
 # ---------------------------------------------------------------- concatenation
@@ -209,3 +212,13 @@ FULL JOIN (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS p
 def _(t):
     return merge.concat([t.events.select("event_id", "value"), t.part.select("p_partkey", "p_name")], axis=1,
                         order_by=[["event_id"], ["p_partkey"]], ignore_index=True)
+
+
+@check("concat_columns_many", """SELECT a.event_id, a.value, b.p_partkey, b.p_name, c.c_custkey, c.event_id AS event_id_2
+FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS p FROM events) a
+FULL JOIN (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS p FROM part) b USING (p)
+FULL JOIN (SELECT c_custkey, c_custkey * 2 AS event_id, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) c USING (p)""")
+def _(t):
+    third = t.customer.select("c_custkey", (F.col("c_custkey") * 2).alias("event_id"))
+    return merge.concat([t.events.select("event_id", "value"), t.part.select("p_partkey", "p_name"), third], axis=1,
+                        order_by=[["event_id"], ["p_partkey"], ["c_custkey"]])

@@ -154,6 +154,17 @@ def _(t):
     return outliers.outliers(t.events_dirty.select("event_id", "value"), "zscore", "remove", ["value"])
 
 
+@check("outlier_iforest_facts", """SELECT true AS planted_gone, true AS share_kept FROM (SELECT count(*) FROM events)""")
+def _(t):
+    """Events with every 500th value made extreme: none of those stays, and about 95 % of the rows do."""
+    planted = F.when(F.col("event_id") % 500 == 7, F.lit(1e5) + F.col("event_id")).otherwise(F.col("value"))
+    data = t.events.select("event_id", planted.alias("value"))
+    kept = outliers.outliers(data, "isolation_forest", "remove", ["value"])
+    share = kept.count() / data.count()
+    return kept.agg((F.count_if(F.col("event_id") % 500 == 7) == 0).alias("planted_gone"),
+                    F.lit(0.93 <= share <= 0.97).alias("share_kept"))
+
+
 @check("outlier_iforest_remove")
 def _(t):
     return outliers.outliers(t.events.select("event_id", "value"), "isolation_forest", "remove", ["value"])
@@ -228,6 +239,18 @@ def _(t):
     return encode.encode(t.customer_dirty.select("c_custkey", "c_mktsegment"), "onehot", drop_first=True)
 
 
+@check("encode_onehot_wide", """WITH l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT p_name AS v FROM part)),
+s AS (SELECT count(*) AS n FROM l)
+SELECT p_partkey, CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 1 ELSE 0 END AS first_brand, n AS size, code AS one
+FROM part JOIN l ON p_name = v, s""")
+def _(t):
+    first = t.part.agg(F.min("p_brand")).first()[0]
+    wide = encode.encode_onehot(t.part.select("p_partkey", "p_brand", "p_name"), "p_name", wide=20)
+    both = encode.encode(wide.select("*"), "onehot", ["p_brand"])
+    return both.select("p_partkey", F.col(f"`p_brand_{first}`").alias("first_brand"),
+                       F.col("p_name_onehot.size").alias("size"), F.col("p_name_onehot.one").alias("one"))
+
+
 @check("encode_label", """WITH l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(event_type, 'nan') AS v FROM events_dirty))
 SELECT event_id, code AS event_type FROM events_dirty JOIN l ON coalesce(event_type, 'nan') = v""")
 def _(t):
@@ -363,6 +386,15 @@ def _(t):
     return balance.balance_undersample(t.orders_class, "cls", "o_orderkey")
 
 
+@check("balance_null_target", f"""WITH d AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE cls END AS cls FROM orders_class)
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY {_HASH}, o_orderkey) AS r FROM d WHERE cls IS NOT NULL)
+WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM d WHERE cls IS NOT NULL GROUP BY cls))
+UNION ALL SELECT * FROM d WHERE cls IS NULL""")
+def _(t):
+    cls = F.when(F.col("o_orderkey") % 11 != 0, F.col("cls"))
+    return balance.balance_undersample(t.orders_class.select("o_orderkey", "o_totalprice", cls.alias("cls")), "cls", "o_orderkey")
+
+
 @check("balance_oversample", f"""WITH s AS (SELECT cls, count(*) AS n FROM orders_class GROUP BY cls), x AS (SELECT max(n) AS top FROM s),
 r AS (SELECT c.*, s.n, row_number() OVER (PARTITION BY cls ORDER BY {_HASH}, o_orderkey) - 1 AS rk FROM orders_class c JOIN s USING (cls)),
 k AS (SELECT r.*, top // n + CASE WHEN rk < top % n THEN 1 ELSE 0 END AS copies FROM r, x)

@@ -69,7 +69,7 @@ def _(t):
 
 
 def top_sql(table: str, c: str) -> str:
-    return f"""(SELECT CAST({c} AS VARCHAR) FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1)"""
+    return f"""(SELECT CAST({c} AS VARCHAR) FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"""
 
 
 def freq_sql(table: str, c: str) -> str:
@@ -126,7 +126,7 @@ def _info_row(c: str, kind: str, numeric: bool) -> str:
     facts = (f"round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, "
              f"round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std" if numeric else "NULL AS mean, NULL AS median, NULL AS std")
     return f"""SELECT '{c}' AS "column", '{kind}' AS dtype, count(DISTINCT {c}) AS "unique", count(*) - count({c}) AS missing,
-  (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM customer_dirty WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS samples,
+  (SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM customer_dirty WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS samples,
   {facts} FROM customer_dirty"""
 
 
@@ -290,8 +290,20 @@ def _(t):
 ROLLUP = """SELECT CAST(CASE WHEN {a} IS NULL THEN 0 WHEN {b} IS NULL THEN 1 ELSE 2 END AS INTEGER) AS level, {a}, {b}, round(sum({v}), 2) AS value,
   CASE WHEN {a} IS NULL THEN 'all' WHEN {b} IS NULL THEN 'all/' || {a} ELSE 'all/' || {a} || '/' || {b} END AS id,
   CASE WHEN {a} IS NULL THEN '' WHEN {b} IS NULL THEN 'all' ELSE 'all/' || {a} END AS parent FROM {t} GROUP BY ROLLUP ({a}, {b})"""
+# the same with the separator inside values
+ROLLUP_SLASH = """WITH d AS (SELECT l_returnflag || '/' || l_linestatus AS a, l_linestatus || '/x' AS b, l_extendedprice AS v FROM lineitem)
+SELECT CAST(CASE WHEN a IS NULL THEN 0 WHEN b IS NULL THEN 1 ELSE 2 END AS INTEGER) AS level, a, b, round(sum(v), 2) AS value,
+  CASE WHEN a IS NULL THEN 'all' ELSE 'all/' || replace(a, '/', '\\/') || CASE WHEN b IS NULL THEN '' ELSE '/' || replace(b, '/', '\\/') END END AS id,
+  CASE WHEN a IS NULL THEN '' WHEN b IS NULL THEN 'all' ELSE 'all/' || replace(a, '/', '\\/') END AS parent FROM d GROUP BY ROLLUP (a, b)"""
 
 
 @check("path_rollup", ROLLUP.format(a="l_returnflag", b="l_linestatus", v="l_extendedprice", t="lineitem"))
 def _(t):
     return rounded(profile.path_rollup(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice"), ["value"], 2)
+
+
+@check("path_rollup_slash", ROLLUP_SLASH)
+def _(t):
+    data = t.lineitem.select(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("a"),
+                             F.concat("l_linestatus", F.lit("/x")).alias("b"), F.col("l_extendedprice").alias("v"))
+    return rounded(profile.path_rollup(data, ["a", "b"], "v"), ["value"], 2)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def text_key(c: Column) -> Column:
-    """Lower case, with runs of other characters than letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(c.cast("string")), "[^a-z0-9]+", " "))
+    """Lower case, with runs of other characters than letters, marks and digits of any script as one space."""
+    return F.trim(F.regexp_replace(F.lower(c.cast("string")), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def token_sort_key(c: Column) -> Column:

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
 from .knn import nearest_rows
 from .ordered import hash_ranked
 from .roles import col, numeric_columns
 
-CLASS_LIMIT = 1_000
 # fixed values of the draws: multipliers for row id and draw number, and the modulus
 NEIGHBOUR_STEP = (31, 17)
 SHARE_STEP = (7919, 104729, 1000003)
@@ -21,37 +21,42 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(col(target).alias("class")).agg(F.count("*").alias("n"))
 
 
-def _sizes(df: DataFrame, target: str) -> dict:
-    rows = class_counts(df.filter(col(target).isNotNull()), target).limit(CLASS_LIMIT + 1).collect()
-    sizes = {r["class"]: r["n"] for r in rows}
-    if len(sizes) < 2 or len(sizes) > CLASS_LIMIT or len(sizes) >= sum(sizes.values()) / 2:
+def _sizes(df: DataFrame, target: str) -> tuple[DataFrame, dict]:
+    """Stored rows per class (``_class``, ``_size``), and their count, least, greatest and sum."""
+    sizes = cut_lineage(df.filter(col(target).isNotNull()).groupBy(col(target).alias("_class")).agg(F.count("*").alias("_size")))
+    facts = sizes.agg(F.count("*").alias("classes"), F.min("_size").alias("least"), F.max("_size").alias("most"),
+                      F.sum("_size").alias("rows")).first().asDict()
+    if facts["classes"] < 2 or facts["classes"] >= facts["rows"] / 2:
         raise ValueError(f"{target} is not a class column to balance")
-    return sizes
+    return sizes, facts
 
 
-def _by_class(target: str, values: dict):
-    out = F.lit(None).cast("long")
-    for name, value in values.items():
-        out = F.when(col(target) == F.lit(name), F.lit(value).cast("long")).otherwise(out)
-    return out
+def _sized(df: DataFrame, target: str, sizes: DataFrame) -> DataFrame:
+    """``df`` with the size of each row's class; a large table of classes is not broadcast."""
+    return df.join(broadcast_if_small(sizes), col(target) == F.col("_class")).drop("_class")
+
+
+def _unlabelled(df: DataFrame, target: str) -> DataFrame:
+    """Rows without a class, which balancing leaves as they are."""
+    return df.filter(col(target).isNull())
 
 
 def balance_undersample(df: DataFrame, target: str, id_col: str, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest, in hash order of the row id."""
-    sizes = _sizes(df, target)
-    ranked = hash_ranked(df.filter(col(target).isNotNull()), [target], id_col, str(seed), rows=sum(sizes.values()))
-    return ranked.filter(F.col("_rank") < min(sizes.values())).drop("_rank")
+    _, facts = _sizes(df, target)
+    ranked = hash_ranked(df.filter(col(target).isNotNull()), [target], id_col, str(seed), rows=facts["rows"])
+    return ranked.filter(F.col("_rank") < facts["least"]).drop("_rank").unionByName(_unlabelled(df, target))
 
 
 def balance_oversample(df: DataFrame, target: str, id_col: str, seed: int = 42) -> DataFrame:
     """Rows of smaller classes repeated in turn up to the size of the largest."""
-    sizes = _sizes(df, target)
-    largest = max(sizes.values())
-    ranked = hash_ranked(df.filter(col(target).isNotNull()), [target], id_col, str(seed), rows=sum(sizes.values()))
-    copies = _by_class(target, {c: largest // n for c, n in sizes.items()})
-    extra = F.when(F.col("_rank") < _by_class(target, {c: largest % n for c, n in sizes.items()}), 1).otherwise(0)
-    return (ranked.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), copies + extra)))
-            .drop("_rank", "_c"))
+    sizes, facts = _sizes(df, target)
+    most = F.lit(facts["most"])
+    ranked = _sized(hash_ranked(df.filter(col(target).isNotNull()), [target], id_col, str(seed), rows=facts["rows"]), target, sizes)
+    copies = F.floor(most / F.col("_size"))
+    extra = F.when(F.col("_rank") < most % F.col("_size"), 1).otherwise(0)
+    grown = ranked.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), copies + extra))).drop("_rank", "_size", "_c")
+    return grown.unionByName(_unlabelled(df, target))
 
 
 def balance_smote(df: DataFrame, target: str, id_col: str, features: Sequence[str] | None = None,
@@ -61,18 +66,18 @@ def balance_smote(df: DataFrame, target: str, id_col: str, features: Sequence[st
     New rows carry the class and the features; other columns are null.
     """
     features = [c for c in (numeric_columns(df) if features is None else features) if c not in (target, id_col)]
-    sizes = _sizes(df, target)
-    largest = max(sizes.values())
-    k = min(k, min(sizes.values()) - 1)
+    sizes, facts = _sizes(df, target)
+    k = min(k, facts["least"] - 1)
     if k < 1:
         raise ValueError("the smallest class has a single row")
-    grown = {c: n for c, n in sizes.items() if n < largest}
-    if not grown:
+    if facts["least"] == facts["most"]:
         return df
-    few = df.filter(col(target).isin(list(grown)))
-    ranked = hash_ranked(few, [target], id_col, str(seed), rows=sum(grown.values()))
-    size = _by_class(target, grown)
-    missing = _by_class(target, {c: largest - n for c, n in grown.items()})
+    grown = sizes.filter(F.col("_size") < facts["most"])
+    few = _sized(df, target, grown).drop("_size")
+    ranked = hash_ranked(few, [target], id_col, str(seed), rows=grown.agg(F.sum("_size")).first()[0])
+    ranked = _sized(ranked, target, grown)
+    size = F.col("_size")
+    missing = F.lit(facts["most"]) - size
     drawn = (ranked.filter(F.col("_rank") < missing)
              .withColumn("_i", F.explode(F.sequence(F.col("_rank"), missing - 1, size))))
     near = nearest_rows(few, few, features, k, id_col, id_col, group=target, self_id=id_col)

@@ -14,8 +14,8 @@ from .profile import nunique
 from .roles import categorical_columns, col, replace_columns
 from .skew import beside
 
-# one-hot makes a column per category, so their number is limited by the schema
-ONEHOT_LIMIT = 2_000
+# more categories than this become one sparse column instead of a column each
+WIDE = 2_000
 BELOW_LIMIT = ("onehot", "ordinal", "binary")
 
 
@@ -23,19 +23,29 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {r["column"]: r["unique"] for r in nunique(df, cols).collect()} if cols else {}
 
 
-def _levels(df: DataFrame, column: str) -> list[str]:
+def _levels(df: DataFrame, column: str, most: int) -> list[str] | None:
+    """The sorted values; None if there are more than ``most``."""
     rows = (df.select(col(column).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-            .orderBy("v").limit(ONEHOT_LIMIT + 1).collect())
-    if len(rows) > ONEHOT_LIMIT:
-        raise ValueError(f"{column} has more than {ONEHOT_LIMIT} categories")
-    return [r["v"] for r in rows]
+            .orderBy("v").limit(most + 1).collect())
+    return [r["v"] for r in rows] if len(rows) <= most else None
 
 
-def encode_onehot(df: DataFrame, column: str, drop_first: bool = False) -> DataFrame:
-    """0/1 columns ``<column>_<value>`` in value order at the end; null is all zero."""
+def encode_onehot(df: DataFrame, column: str, drop_first: bool = False, wide: int = WIDE) -> DataFrame:
+    """0/1 columns ``<column>_<value>`` in value order at the end; null is all zero.
+
+    With more than ``wide`` values there is one column ``<column>_onehot`` instead: the
+    size of the 0/1 vector and the place of its one (null if it is all zero).
+    """
     text = col(column).cast("string")
-    levels = _levels(df, column)[1 if drop_first else 0:]
+    levels = _levels(df, column, wide)
     kept = [col(c) for c in df.columns if c != column]
+    if levels is None:
+        size = df.agg(F.count_distinct(text).alias("n")).first()["n"]
+        coded = _coded(df, column, text, BROADCAST_ROWS)
+        first = 1 if drop_first else 0
+        place = F.when(F.col("_code") >= first, F.col("_code") - first)
+        return coded.select(*kept, F.struct(F.lit(size - first).alias("size"), place.alias("one")).alias(f"{column}_onehot"))
+    levels = levels[1 if drop_first else 0:]
     return df.select(*kept, *[F.coalesce((text == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in levels])
 
 
@@ -64,9 +74,12 @@ def encode_ordinal(df: DataFrame, column: str, broadcast_rows: int = BROADCAST_R
 
 
 def encode_binary(df: DataFrame, column: str) -> DataFrame:
-    """0/1 for a column with exactly two values, the larger one being 1."""
-    found = df.agg(F.min(col(column).cast("string")), F.max(col(column).cast("string"))).first()
-    return replace_columns(df, {column: F.coalesce((col(column).cast("string") == found[1]).cast("int"), F.lit(0))})
+    """0/1 for a column with exactly two values, the larger one being 1; other columns raise."""
+    text = col(column).cast("string")
+    found = df.agg(F.min(text), F.max(text)).first()
+    if found[0] is None or found[0] == found[1] or not df.filter(~text.isin(found[0], found[1])).isEmpty():
+        raise ValueError(f"{column} does not have exactly two values")
+    return replace_columns(df, {column: F.coalesce((text == found[1]).cast("int"), F.lit(0))})
 
 
 def encode_frequency(df: DataFrame, column: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,21 +100,25 @@ def encode_target(df: DataFrame, column: str, target: str, broadcast_rows: int =
 
 
 def encode(df: DataFrame, method: str = "onehot", cols: Sequence[str] | None = None,
-           max_categories: int | None = 10, drop_first: bool = False, target: str | None = None,
+           max_categories: int | None = None, drop_first: bool = False, target: str | None = None,
            log: list[str] | None = None) -> DataFrame:
     """Encode the categorical columns.
 
     With ``max_categories`` one-hot, ordinal and binary apply to columns with at
     most that many values, and label, frequency and target to columns with more;
-    None applies the method to all.
+    None applies the method to all. Columns left as they are are named in ``log``.
     """
     cols = categorical_columns(df) if cols is None else list(cols)
     cols = [c for c in cols if c != target]
     counts = distinct_counts(df, cols) if max_categories is not None or method == "binary" else {}
     for c in cols:
         if max_categories is not None and (counts.get(c, 0) <= max_categories) != (method in BELOW_LIMIT):
+            if log is not None:
+                log.append(f"{c} not encoded: {counts.get(c, 0)} categories")
             continue
         if method == "binary" and counts.get(c) != 2:
+            if log is not None:
+                log.append(f"{c} not encoded: {counts.get(c, 0)} categories")
             continue
         if method == "onehot":
             df = encode_onehot(df, c, drop_first)

@@ -16,7 +16,6 @@ from .quantiles import quantile_table
 from .roles import col
 
 EULER = 0.5772156649
-FILTER_FIRST = 10_000_000
 
 
 def expected_path(n: int) -> float:
@@ -58,9 +57,13 @@ def fit_forest(df: DataFrame, cols: Sequence[str], trees: int = 100, size: int =
     """Grow the trees from at most ``trees * size`` rows."""
     data = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).na.drop()
     rows, wanted = data.count(), trees * size
-    if rows > FILTER_FIRST:
-        data = data.sample(min(1.0, 4 * wanted / rows), seed)
-    pool = data.orderBy(F.rand(seed)).limit(wanted).toPandas().to_numpy(dtype=float)
+    # rows are drawn by a hash of their values: the same ones whatever the partitions; equal rows are drawn together
+    hashed = data.withColumn("_h", F.xxhash64(F.lit(seed), *data.columns).bitwiseAND((1 << 62) - 1))
+    share = min(1.0, (4 * wanted + 1000) / max(rows, 1))
+    likely = hashed.filter(F.col("_h") <= int(share * ((1 << 62) - 1)))
+    if share < 1.0 and likely.count() < wanted:  # a few values hold most of the rows
+        likely = hashed
+    pool = likely.orderBy("_h", *data.columns).limit(wanted).drop("_h").toPandas().to_numpy(dtype=float)
     # order of the pool must not depend on how the rows were partitioned
     pool = pool[np.lexsort(pool.T[::-1])]
     rng = np.random.default_rng(seed)

@@ -34,10 +34,11 @@ def similar_texts(left: DataFrame, right: DataFrame, minimum: float) -> DataFram
     """
     if not 0 < minimum <= 1:
         raise ValueError("the similarity threshold must be in (0, 1]")
+    # a text without a letter or digit is like nothing
+    left, right = left.filter(F.length("a") > 0), right.filter(F.length("b") > 0)
     # an edit changes at most q padded grams; with q = 2 the prefix must fit the text
     q = 2 if 2 * (1 - minimum) / minimum <= 1 else 1
     grams_l, grams_r = _grams(left, "a", q), _grams(right, "b", q)
-    # with text keys the grams of q <= 2 run over 38 characters: a table of bounded size
     seen = grams_l.select("g").unionByName(grams_r.select("g")).groupBy("g").agg(F.count("*").alias("f"))
     seen = broadcast_if_small(seen)
     sig_l = _prefix(grams_l, seen, "a", q, minimum)
@@ -87,7 +88,9 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     # read several times below, so the tables are scanned once
     lv = cut_lineage(_distinct_keys(left, left_on, scorer))
     rv = cut_lineage(_distinct_keys(right, right_on, scorer))
-    minimum = max((threshold - 0.5) / 100, 0.005)
+    if threshold < 1:
+        raise ValueError("threshold 0 asks for all pairs; it starts at 1")
+    minimum = (threshold - 0.5) / 100
     keys = similar_texts(lv.select(F.col("key").alias("a")).distinct(),
                          rv.select(F.col("key").alias("b")).distinct(), minimum)
     keys = keys.withColumn("score", score(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
@@ -98,11 +101,20 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
 
 def best_values(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
                 threshold: int = 80, scorer: str = "ratio") -> DataFrame:
-    """The best right value for each left value; ties go to the smaller one."""
-    best = F.min(F.struct((-F.col("score")).alias("k"), F.col("right_value").alias("v")))
-    return (fuzzy_pairs(left, right, left_on, right_on, threshold, scorer)
-            .groupBy("left_value", "n").agg(best.alias("b"))
-            .select("left_value", F.col("b.v").alias("right_value"), (-F.col("b.k")).alias("score"), "n"))
+    """The best right value for each left value; ties go to the smaller one.
+
+    The best is chosen among keys, each with its smallest value; values are joined last.
+    """
+    if threshold < 1:
+        raise ValueError("threshold 0 asks for all pairs; it starts at 1")
+    lv = cut_lineage(_distinct_keys(left, left_on, scorer))
+    rv = cut_lineage(_distinct_keys(right, right_on, scorer).groupBy("key").agg(F.min("value").alias("value")))
+    keys = similar_texts(lv.select(F.col("key").alias("a")).distinct(), rv.select(F.col("key").alias("b")), (threshold - 0.5) / 100)
+    keys = keys.withColumn("score", score(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    best = F.min(F.struct((-F.col("score")).alias("k"), F.col("value").alias("v")))
+    chosen = keys.join(rv, F.col("b") == F.col("key")).groupBy("a").agg(best.alias("b"))
+    return lv.join(chosen, F.col("key") == F.col("a")).select(
+        F.col("value").alias("left_value"), F.col("b.v").alias("right_value"), (-F.col("b.k")).alias("score"), "n")
 
 
 def fuzzy_best_match(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_order: str,
@@ -171,16 +183,6 @@ def fuzzy_record_link(left: DataFrame, right: DataFrame, left_on: Sequence[str],
                        *[F.col("_r")[c].alias(c + suffixes[1] if c in clash else c) for c in right.columns], "matched")
 
 
-def fuzzy_candidate_counts(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
-                           max_pairs: int = 1_000_000, prefix: int = 1) -> DataFrame:
-    """Rows per block (first letters of the key) on both sides, and the pairs they would make."""
-    block = lambda c: F.substring(KEYS["ratio"](col(c)), 1, prefix)
-    a = left.filter(col(left_on).isNotNull()).groupBy(block(left_on).alias("block")).agg(F.count("*").alias("left_rows"))
-    b = right.filter(col(right_on).isNotNull()).groupBy(block(right_on).alias("block")).agg(F.count("*").alias("right_rows"))
-    return (a.join(b, "block").withColumn("pairs", F.col("left_rows") * F.col("right_rows"))
-            .withColumn("over_limit", (F.col("pairs") > max_pairs).cast("int")))
-
-
 def fuzzy_merge(left: DataFrame, right: DataFrame, left_on, right_on, threshold: int = 80, mode: str = "best",
                 scorer: str = "ratio", how: str = "inner", right_order: str | None = None) -> DataFrame:
     if mode == "best":

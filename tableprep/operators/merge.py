@@ -20,7 +20,6 @@ from .ordered import with_position
 from .roles import col
 from .skew import row_hash
 
-CROSS_ROWS = 100_000_000
 HOT_ROWS = 1_000_000
 
 
@@ -85,9 +84,7 @@ def merge(left: DataFrame, right: DataFrame, left_on=None, right_on=None, how: s
     tables where no key is known to hold much of either.
     """
     if how == "cross":
-        if left_on or right_on:
-            raise ValueError("a cross merge takes no keys")
-        return merge_cross(left, right, suffixes)
+        raise ValueError("merges need keys: pairing all rows is not offered")
     if left_on is None and right_on is None:
         lk, rk = choose_keys(left, right, auto)
         if not lk:
@@ -182,18 +179,6 @@ def _hot_keys(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[
     return F.broadcast(cut_lineage(sizes.withColumn("key", F.monotonically_increasing_id())))
 
 
-def merge_cross(left: DataFrame, right: DataFrame, suffixes: tuple[str, str] = ("", "_right"),
-                max_rows: int = CROSS_ROWS) -> DataFrame:
-    """Every pairing of rows, as asked for by name; refused above ``max_rows``."""
-    pairs = left.count() * right.count()
-    if pairs > max_rows:
-        raise ValueError(f"a cross merge of {pairs} rows exceeds the limit of {max_rows}")
-    clash = set(common_columns(left, right))
-    a = left.select(*[col(c).alias(c + suffixes[0] if c in clash else c) for c in left.columns])
-    b = right.select(*[col(c).alias(c + suffixes[1] if c in clash else c) for c in right.columns])
-    return a.crossJoin(b)
-
-
 def merge_positional(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str],
                      how: str = "inner", suffixes: tuple[str, str] = ("", "_right")) -> DataFrame:
     """Pair the rows of two tables by their position in the given orders."""
@@ -231,10 +216,26 @@ def concat_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str],
     return out.toDF(*[str(i) for i in range(len(out.columns))]) if ignore_index else out
 
 
+def concat_many(frames: Sequence[DataFrame], orders: Sequence[Sequence[str]], ignore_index: bool = False) -> DataFrame:
+    """Any number of tables side by side by position; names seen before get _2, _3, ..."""
+    seen: dict[str, int] = {}
+    out = None
+    for df, order in zip(frames, orders, strict=True):
+        placed = with_position(df, order, "_pos")
+        names = []
+        for c in df.columns:
+            seen[c] = seen.get(c, 0) + 1
+            names.append(c if seen[c] == 1 else f"{c}_{seen[c]}")
+        placed = placed.select(F.col("_pos"), *[col(c).alias(n) for c, n in zip(df.columns, names)])
+        out = placed if out is None else out.join(placed, "_pos", "full")
+    out = out.drop("_pos")
+    return out.toDF(*[str(i) for i in range(len(out.columns))]) if ignore_index else out
+
+
 def concat(frames: Sequence[DataFrame], axis: int = 0, join: str = "outer", keys: Sequence[str] | None = None,
            order_by: Sequence[Sequence[str]] | None = None, ignore_index: bool = False) -> DataFrame:
     if axis == 0:
         return concat_rows(frames, join, keys)
-    if order_by is None or len(frames) != 2:
-        raise ValueError("side-by-side concatenation takes two tables and their order keys")
-    return concat_columns(frames[0], frames[1], order_by[0], order_by[1], ignore_index)
+    if order_by is None or len(frames) != len(order_by) or not frames:
+        raise ValueError("side-by-side concatenation takes tables and the order keys of each")
+    return concat_many(frames, order_by, ignore_index)

@@ -124,15 +124,21 @@ def frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count("*").alias("n")))
 
 
-def _top(freq: DataFrame) -> DataFrame:
-    """Distinct values and the most frequent one (smallest on ties) per column."""
-    best = F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))
+def _number(numeric: Sequence[str]):
+    """Texts of the named columns as numbers, to be put in order; null for others."""
+    return F.when(F.col("column").isin(list(numeric)), F.col("value").cast("double"))
+
+
+def _top(freq: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
+    """Distinct values and the most frequent one per column; on ties the smallest in the column's own order."""
+    best = F.min(F.struct((-F.col("n")).alias("k"), _number(numeric).alias("x"), F.col("value").alias("v")))
     return (freq.groupBy("column").agg(F.count("*").alias("unique"), best.alias("_b"))
             .select("column", "unique", F.col("_b.v").alias("top"), (-F.col("_b.k")).alias("freq")))
 
 
 def mode_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _top(frequencies(df, cols)).select("column", F.col("top").alias("mode"), F.col("freq"))
+    nums = [c for c in cols if is_numeric(df.schema[c].dataType)]
+    return _top(frequencies(df, cols), nums).select("column", F.col("top").alias("mode"), F.col("freq"))
 
 
 def modes(df: DataFrame, cols: Sequence[str], dtype: str = "string") -> dict[str, object]:
@@ -206,9 +212,10 @@ def column_info(df: DataFrame, cols: Sequence[str], samples: int = 5) -> DataFra
     distinct = long_form(df, cols).filter("value IS NOT NULL").distinct()
     uniq = distinct.groupBy("column").agg(F.count("*").alias("unique"))
     miss = missing_counts(df.select(*[col(c) for c in cols])).select("column", "missing")
-    rank = F.row_number().over(W.partitionBy("column").orderBy("value"))
+    rank = F.row_number().over(W.partitionBy("column").orderBy(_number(nums), "value"))
     some = (distinct.withColumn("_r", rank).filter(F.col("_r") <= samples).groupBy("column")
-            .agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples")))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda s: s["value"]), "|")
+                 .alias("samples")))
     out = facts.join(miss, "column").join(uniq, "column", "left").join(some, "column", "left")
     return out.select("column", "dtype", F.coalesce("unique", F.lit(0)).alias("unique"), "missing",
                       "samples", "mean", "median", "std")
@@ -341,8 +348,9 @@ def path_rollup(df: DataFrame, path: Sequence[str], value: str | None = None) ->
                      (col(value).cast("double") if value else F.lit(1.0)).alias("_v")).na.drop(subset=list(path))
     rolled = data.rollup(*path).agg(F.sum("_v").alias("value"), F.grouping_id().alias("_g"))
     depth = F.lit(len(path)) - F.bit_count("_g")
-    ident = F.concat_ws("/", F.lit("all"), *[F.col(p) for p in path])
+    # a separator inside a value is escaped, so paths of other cuts have other ids
+    part = lambda p: F.replace(F.replace(col(p), F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/"))
+    ident = F.concat_ws("/", F.lit("all"), *[part(p) for p in path])
+    above = F.concat_ws("/", F.lit("all"), *[F.when(F.col("level") > i + 1, part(p)) for i, p in enumerate(path)])
     rolled = rolled.select(depth.cast("int").alias("level"), *path, "value", ident.alias("id"))
-    parent = F.when(F.col("level") == 0, F.lit("")).otherwise(
-        F.expr("substring(id, 1, length(id) - length(substring_index(id, '/', -1)) - 1)"))
-    return rolled.withColumn("parent", parent)
+    return rolled.withColumn("parent", F.when(F.col("level") == 0, F.lit("")).otherwise(above))

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .roles import col, numeric_columns
 
 EXPRESSION_COLUMNS = 6
-CLASS_LIMIT = 1_000
 
 
 def cross_products(df: DataFrame, cols: Sequence[str], centre: np.ndarray | None = None) -> tuple[int, np.ndarray]:
@@ -93,18 +93,19 @@ def reduce_lda(df: DataFrame, target: str, n_components: int = 2, cols: Sequence
     """Numeric columns become ``LDA_1..k``, the directions that part the classes best."""
     cols = [c for c in (numeric_columns(df) if cols is None else cols) if c != target]
     data = df.select(col(target).alias("_t"), *[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).na.drop()
-    classes = (data.groupBy("_t").agg(F.count("*").alias("n"), *[F.avg(f"_{i}").alias(f"m{i}") for i in range(len(cols))])
-               .limit(CLASS_LIMIT + 1).collect())
-    if not 2 <= len(classes) <= CLASS_LIMIT:
-        raise ValueError(f"the target needs 2 to {CLASS_LIMIT} classes")
-    sizes = np.array([r["n"] for r in classes], dtype=float)
-    means = np.array([[r[f"m{i}"] for i in range(len(cols))] for r in classes])
-    centre = sizes @ means / sizes.sum()
+    classes = data.groupBy("_t").agg(F.count("*").alias("n"), *[F.avg(f"_{i}").alias(f"m{i}") for i in range(len(cols))])
+    classes = cut_lineage(classes)
+    facts = classes.agg(F.count("*"), F.sum("n"), *[F.sum(F.col("n") * F.col(f"m{i}")) for i in range(len(cols))]).first()
+    if facts[0] < 2:
+        raise ValueError("the target needs two classes or more")
+    centre = np.array(facts[2:], dtype=float) / facts[1]
     _, total = cross_products(df.filter(col(target).isNotNull()), cols, centre)
-    between = (means - centre).T @ ((means - centre) * sizes[:, None])
-    within = (total - between) / max(sizes.sum() - len(classes), 1)
+    # the classes stay where they are: only p x p sums over them are needed
+    apart = classes.select(*[(F.sqrt("n") * (F.col(f"m{i}") - float(m))).alias(f"d{i}") for i, m in enumerate(centre)])
+    _, between = cross_products(apart, apart.columns)
+    within = (total - between) / max(facts[1] - facts[0], 1)
     within += np.eye(len(cols)) * 1e-12 * np.trace(within)
     root = np.linalg.inv(np.linalg.cholesky(within))
     vectors = root.T @ np.linalg.eigh(root @ between @ root.T)[1][:, ::-1]
-    k = max(1, min(n_components, len(classes) - 1, len(cols)))
+    k = max(1, min(n_components, facts[0] - 1, len(cols)))
     return _project(df, cols, centre, _signed(vectors[:, :k]), "LDA")

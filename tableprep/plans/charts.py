@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,9 +19,19 @@ from ..operators.filters import sample_rows
 from ..operators.quantiles import grouped_quantiles
 from ..operators.roles import categorical_columns, col, find_column, is_numeric, melt, numeric_columns
 from ..operators.skew import beside
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 GRID_POINTS = 200
+DENSITY_GROUPS = 1000
+
+
+# a null group is no text: groups travel as "n" or "v" and the text, and are read back at the end
+def _group(c: Column) -> Column:
+    return F.when(c.isNull(), "n").otherwise(F.concat(F.lit("v"), c.cast("string")))
+
+
+def _ungroup(df: DataFrame, name: str = "grp") -> DataFrame:
+    return df.withColumn(name, F.when(F.col(name) != "n", F.expr(f"substring({name}, 2)")))
 
 
 def _ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
@@ -39,7 +51,7 @@ def _bin(v: Column, low: float, high: float, bins: int) -> Column:
 def histogram(df: DataFrame, x: str, bins: int = 30, color: str | None = None) -> DataFrame:
     """bin, low, high, n [, color]; empty bins are left out."""
     low, high = _ranges(df, [x])[x]
-    groups = [F.coalesce(col(color).cast("string"), F.lit("null")).alias("color")] if color else []
+    groups = [col(color).cast("string").alias("color")] if color else []
     low, high = (0.0, 0.0) if low is None else (low, high)
     width = (high - low) / bins
     data = df.select(*groups, _bin(col(x).cast("double"), low, high, bins).alias("bin")).filter("bin IS NOT NULL")
@@ -69,7 +81,7 @@ def box(df: DataFrame, y: str, by: str | None = None, groups: int | None = None)
     ``groups`` is the largest number of groups there can be, where that is known.
     """
     groups = 1 if by is None else groups
-    group = F.coalesce(col(by).cast("string"), F.lit("null")) if by else F.lit("all")
+    group = _group(col(by)) if by else F.lit("vall")
     data = df.select(group.alias("grp"), col(y).cast("double").alias("v")).filter("v IS NOT NULL")
     q = grouped_quantiles(data, ["grp"], "v", [0.25, 0.5, 0.75], groups=groups)
     q = q.select("grp", "n", *[F.element_at("q", i + 1).alias(k) for i, k in enumerate(("q1", "median", "q3"))])
@@ -78,9 +90,9 @@ def box(df: DataFrame, y: str, by: str | None = None, groups: int | None = None)
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= lo) & (F.col("v") <= hi)
     facts = ["grp", "n", "q1", "median", "q3"]
-    return data.join(q, "grp").groupBy(*facts).agg(
+    return _ungroup(data.join(q, "grp").groupBy(*facts).agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("outliers"))
+        F.count(F.when(~inside, 1)).alias("outliers")))
 
 
 def multi_box(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -88,26 +100,67 @@ def multi_box(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return box(profile.long_form(df, cols, "double"), "value", "column", groups=len(cols))
 
 
+def _kernel_sums(data: DataFrame, facts: dict[str, tuple], points: int) -> DataFrame:
+    """grp, i, t: kernels of all values at the grid points, added up batch by batch.
+
+    ``facts`` has h, lo and hi of every group. A task hands on ``points`` numbers per group.
+    """
+    grids = {g: (h, lo - 3 * h + np.arange(points) * (hi - lo + 6 * h) / (points - 1)) for g, (h, lo, hi) in facts.items()}
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {}
+        for batch in batches:
+            for g, v in batch.groupby("grp")["v"]:
+                if g not in grids:
+                    continue
+                h, grid = grids[g]
+                values, times = np.unique(v.to_numpy(dtype=float), return_counts=True)
+                total = sums.setdefault(g, np.zeros(points))
+                for at in range(0, len(values), 4096):
+                    z = (grid - values[at:at + 4096, None]) / h
+                    total += times[at:at + 4096] @ np.exp(-0.5 * z * z)
+        for g, total in sums.items():
+            yield pd.DataFrame({"grp": g, "i": np.arange(points, dtype="int32"), "t": total})
+
+    return data.mapInPandas(partial, "grp string, i int, t double").groupBy("grp", "i").agg(F.sum("t").alias("t"))
+
+
 def kde(df: DataFrame, x: str, by: str | None = None, points: int = GRID_POINTS) -> DataFrame:
-    """Gaussian density on a grid three bandwidths beyond the data, bandwidth by Scott's rule."""
-    group = F.coalesce(col(by).cast("string"), F.lit("null")) if by else F.lit("all")
+    """Gaussian density on a grid three bandwidths beyond the data, bandwidth by Scott's rule.
+
+    The facts of up to ``DENSITY_GROUPS`` groups go to the tasks as numbers; with more
+    groups, data and facts meet by an ordinary join on the group.
+    """
+    group = _group(col(by)) if by else F.lit("vall")
     data = df.select(group.alias("grp"), col(x).cast("double").alias("v")).filter("v IS NOT NULL")
     facts = data.groupBy("grp").agg(F.count("*").alias("n"), F.stddev_samp("v").alias("s"),
                                     F.min("v").alias("lo"), F.max("v").alias("hi")).filter("s > 0")
-    facts = facts.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2)))
-    counts = data.groupBy("grp", "v").agg(F.count("*").alias("m")).join(facts, "grp")
+    facts = cut_lineage(facts.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2))).drop("s"))
     at = F.col("lo") - 3 * F.col("h") + F.col("i") * (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (points - 1)
-    spread = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("g", at)
-    z = (F.col("g") - F.col("v")) / F.col("h")
-    out = spread.groupBy("grp", "i", "g", "n", "h").agg(F.sum(F.col("m") * F.exp(-0.5 * z * z)).alias("t"))
-    return out.select("grp", "i", F.col("g").alias("x"),
-                      (F.col("t") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    known = facts.limit(DENSITY_GROUPS + 1).collect()
+    if len(known) <= DENSITY_GROUPS:
+        sums = _kernel_sums(data, {r["grp"]: (r["h"], r["lo"], r["hi"]) for r in known}, points)
+    else:
+        z = (at - F.col("v")) / F.col("h")
+        counts = data.groupBy("grp", "v").agg(F.count("*").alias("m")).join(facts, "grp")
+        spread = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        sums = spread.groupBy("grp", "i").agg(F.sum(F.col("m") * F.exp(-0.5 * z * z)).alias("t"))
+    out = sums.join(facts, "grp").select("grp", "i", at.alias("x"), (
+        F.col("t") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    return _ungroup(out)
 
 
 def violin(df: DataFrame, y: str, by: str | None = None, points: int = GRID_POINTS) -> DataFrame:
     """The density of each group with its quartiles."""
     boxes = box(df, y, by).select("grp", "q1", "median", "q3")
-    return kde(df, y, by, points).join(boxes, "grp")
+    boxes = boxes.withColumnRenamed("grp", "bgrp")
+    return kde(df, y, by, points).join(boxes, F.col("grp").eqNullSafe(F.col("bgrp"))).drop("bgrp")
+
+
+def distribution(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
+    """Histogram and density of one column: kind, x, value."""
+    bars = histogram(df, x, bins).select(F.lit("histogram").alias("kind"), F.col("low").alias("x"), F.col("n").cast("double").alias("value"))
+    return bars.unionByName(kde(df, x).select(F.lit("density").alias("kind"), "x", F.col("density").alias("value")))
 
 
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
@@ -120,10 +173,11 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
             .groupBy("x_bin", "y_bin").agg(F.count("*").alias("n")))
 
 
-def scatter(df: DataFrame, cols: Sequence[str], key: Sequence[str], n: int = 5000, extra: Sequence[str] = ()) -> DataFrame:
-    """Sampled points without nulls in ``cols``; ``extra`` holds colour and size columns."""
+def scatter(df: DataFrame, cols: Sequence[str], key: Sequence[str], n: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """Points without nulls in ``cols``, a sample of ``n`` if given; ``extra`` holds colour and size columns."""
     names = list(dict.fromkeys([*key, *cols, *extra]))
-    return sample_rows(df.select(*[col(c) for c in names]).na.drop(subset=list(cols)), key, n)
+    points = df.select(*[col(c) for c in names]).na.drop(subset=list(cols))
+    return points if n is None else sample_rows(points, key, n)
 
 
 def line(df: DataFrame, x: str, ys: Sequence[str], color: str | None = None) -> DataFrame:
@@ -145,15 +199,21 @@ def bar_polar(df: DataFrame, theta: str, r: str) -> DataFrame:
     return bar(df, theta, r).select(F.col("x").alias("theta"), F.col("value").alias("r"))
 
 
-def category_counts(df: DataFrame, x: str, n: int | None = 10) -> DataFrame:
+def category_counts(df: DataFrame, x: str, n: int | None = None) -> DataFrame:
     return profile.value_counts(df, x, n)
 
 
-def pie(df: DataFrame, names: str, values: str | None = None, n: int = 10) -> DataFrame:
-    """The n largest slices with their share of the shown total."""
-    top = bar(df, names, values).orderBy(F.desc("value"), "x").limit(n)
-    total = top.agg(F.sum("value").alias("t"))
-    return beside(top, total).select(F.col("x").alias("name"), "value", (F.col("value") / F.col("t")).alias("share"))
+def pie(df: DataFrame, names: str, values: str | None = None, n: int | None = None) -> DataFrame:
+    """name, value, share of the whole, is_rest; with ``n`` the largest slices and one row for the rest."""
+    slices = bar(df, names, values).select(F.col("x").alias("name"), "value", F.lit(False).alias("is_rest"))
+    total = slices.agg(F.sum("value").alias("t"))
+    if n is not None:
+        slices = cut_lineage(slices)
+        top = slices.orderBy(F.desc("value"), "name").limit(n)
+        rest = slices.join(F.broadcast(top.select("name")), "name", "left_anti").agg(F.count("*").alias("_n"), F.sum("value").alias("value"))
+        rest = rest.filter("_n > 0").select(F.lit("other").alias("name"), "value", F.lit(True).alias("is_rest"))
+        slices = top.unionByName(rest)
+    return beside(slices, total).select("name", "value", (F.col("value") / F.col("t")).alias("share"), "is_rest")
 
 
 def funnel(df: DataFrame, stage: str, y: str | None = None) -> DataFrame:
@@ -162,8 +222,8 @@ def funnel(df: DataFrame, stage: str, y: str | None = None) -> DataFrame:
     return bar(df, stage, y if numeric else None).select(F.col("x").alias("stage"), "value")
 
 
-def waterfall(df: DataFrame, x: str, y: str, order_by: Sequence[str], n: int = 20) -> DataFrame:
-    """The first n rows: position, x, delta and running total."""
+def waterfall(df: DataFrame, x: str, y: str, order_by: Sequence[str], n: int) -> DataFrame:
+    """The first n rows, as the caller asks: position, x, delta and running total."""
     data = df.filter(col(x).isNotNull() & col(y).isNotNull())
     head = data.orderBy(*[col(o) for o in order_by]).limit(n)
     # at most n rows reach these windows
@@ -173,8 +233,8 @@ def waterfall(df: DataFrame, x: str, y: str, order_by: Sequence[str], n: int = 2
 
 
 def pairplot(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
-    """x, y, x_bin, y_bin, n for all pairs of the first four numeric columns and their diagonals."""
-    cols = numeric_columns(df)[:4] if cols is None else list(cols)
+    """x, y, x_bin, y_bin, n for all pairs of the numeric columns and their diagonals."""
+    cols = numeric_columns(df) if cols is None else list(cols)
     data = df.select(*[col(c).cast("double").alias(c) for c in cols]).na.drop()
     r = _ranges(data, cols)
     if not cols or r[cols[0]][0] is None:
@@ -186,9 +246,11 @@ def pairplot(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20) -
     return binned.select(F.explode(cells).alias("c")).groupBy("c.x", "c.y", "c.x_bin", "c.y_bin").agg(F.count("*").alias("n"))
 
 
-def strip(df: DataFrame, x: str, y: str, key: str, per_category: int = 50, seed: str = "42") -> DataFrame:
-    """Up to ``per_category`` points per category, lowest key hash first."""
+def strip(df: DataFrame, x: str, y: str, key: str, per_category: int | None = None, seed: str = "42") -> DataFrame:
+    """The points of each category; with ``per_category`` that many, lowest key hash first."""
     data = df.select(col(key).alias("key"), col(x).alias("x"), col(y).alias("y")).na.drop()
+    if per_category is None:
+        return data
     order = F.md5(F.concat_ws("|", F.col("key").cast("string"), F.lit(seed)))
     rank = F.row_number().over(W.partitionBy("x").orderBy(order, "key"))
     return data.withColumn("_r", rank).filter(F.col("_r") <= per_category).drop("_r")
@@ -226,45 +288,40 @@ def auto_one(df: DataFrame, key: Sequence[str], x: str | None = None, y: str | N
     return "bar", category_counts(df, (cats or df.columns)[0])
 
 
-def auto_set(df: DataFrame, key: Sequence[str], max_charts: int = 12) -> DataFrame:
+def auto_set(df: DataFrame, key: Sequence[str], columns: int | None = None, points: int | None = None,
+             categories: int | None = None) -> DataFrame:
     """The standard set of charts as rows of chart, x, y, series, value.
 
-    Correlations, three distributions with boxes, two category bars, two
-    scatters, pair bins, a box by category, a 3-D scatter and a density.
+    Correlations, distributions with boxes, category bars, scatters of neighbouring
+    columns, pair bins, boxes by category, a 3-D scatter and densities. All columns, values and
+    points are shown; ``columns`` keeps to the first numeric and categorical ones,
+    ``points`` samples the scatters, ``categories`` leaves out bars and boxes of columns with
+    more values. What these leave out is named in rows of chart "left out".
     """
-    nums, cats = numeric_columns(df), categorical_columns(df, booleans=False)
-    counts = distinct_counts(df, cats[:2])
+    all_nums, all_cats = numeric_columns(df), categorical_columns(df, booleans=False)
+    nums, cats = all_nums[:columns], all_cats[:columns]
+    counts = distinct_counts(df, cats) if categories is not None else {}
+    few = [c for c in cats if categories is None or counts.get(c, 0) <= categories]
     made: list[DataFrame] = []
-    names: list[str] = []
-
-    def add(name: str, cells) -> None:
-        if len(names) < max_charts:
-            names.append(name)
-            made.append(cells())
-
     if len(nums) >= 2:
-        add("correlation", lambda: _cells(profile.correlation_matrix(df, nums, 2), "correlation", F.col("x"), F.col("y"), None, F.col("r")))
-    shown = nums[:3][:max_charts - len(names)]
-    if shown:
-        names += [f"distribution {c}" for c in shown]
-        title = lambda c: F.concat(F.lit("distribution "), c)
-        made.append(_cells(multi_histogram(df, shown), title("column"), F.col("low"), F.col("high"), F.lit("n"), F.col("n")))
-        made.append(_box_cells(multi_box(df, shown), title("grp"), F.lit("all")))
-    for c in cats[:2]:
-        if counts.get(c, 0) <= 20:
-            add(f"categories {c}", lambda: _cells(category_counts(df, c), f"categories {c}", F.col("value"), None, None, F.col("n")))
-    for a, b in list(zip(nums, nums[1:]))[:2]:
-        add(f"scatter {a} {b}", lambda: _cells(scatter(df, [a, b], key, 2000), f"scatter {a} {b}", col(a), col(b)))
+        made.append(_cells(profile.correlation_matrix(df, nums, 2), "correlation", F.col("x"), F.col("y"), None, F.col("r")))
+    if nums:
+        title = lambda c: F.concat(F.lit("distribution "), c)
+        made.append(_cells(multi_histogram(df, nums), title("column"), F.col("low"), F.col("high"), F.lit("n"), F.col("n")))
+        made.append(_box_cells(multi_box(df, nums), title("grp"), F.lit("all")))
+    made += [_cells(category_counts(df, c), f"categories {c}", F.col("value"), None, None, F.col("n")) for c in few]
+    made += [_cells(scatter(df, [a, b], key, points), f"scatter {a} {b}", col(a), col(b)) for a, b in zip(nums, nums[1:])]
     if len(nums) >= 2:
-        add("pairplot", lambda: _cells(pairplot(df), "pairplot", F.concat_ws(":", "x", "x_bin"), F.concat_ws(":", "y", "y_bin"), None, F.col("n")))
-    if cats and nums and counts.get(cats[0], 0) <= 10:
-        name = f"box {cats[0]} {nums[0]}"
-        add(name, lambda: _box_cells(box(df.filter(col(cats[0]).isNotNull()), nums[0], cats[0], groups=10), name))
+        made.append(_cells(pairplot(df, nums), "pairplot", F.concat_ws(":", "x", "x_bin"), F.concat_ws(":", "y", "y_bin"), None, F.col("n")))
+    made += [_box_cells(box(df.filter(col(c).isNotNull()), nums[0], c, groups=categories), f"box {c} {nums[0]}") for c in few if nums]
     if len(nums) >= 3:
         solid = f"scatter3d {nums[0]} {nums[1]} {nums[2]}"
-        add(solid, lambda: _cells(scatter(df, nums[:3], key, 2000), solid, col(nums[0]), col(nums[1]), None, col(nums[2])))
-    if nums:
-        add(f"density {nums[0]}", lambda: _cells(kde(df, nums[0]), f"density {nums[0]}", F.col("x"), None, None, F.col("density")))
+        made.append(_cells(scatter(df, nums[:3], key, points), solid, col(nums[0]), col(nums[1]), None, col(nums[2])))
+    made += [_cells(kde(df, c), f"density {c}", F.col("x"), None, None, F.col("density")) for c in nums]
+    gone = [c for c in all_nums + all_cats if c not in nums + few]
+    if gone or not made:
+        rows = df.sparkSession.createDataFrame([(c,) for c in gone], "c string")
+        made.append(_cells(rows, "left out", F.col("c")))
     return reduce(lambda a, b: a.unionByName(b), made)
 
 
@@ -274,16 +331,16 @@ def _box_cells(boxes: DataFrame, chart: str | Column, x: Column | None = None) -
     return _cells(long, chart, F.col("grp") if x is None else x, None, F.col("fact"), F.col("value"))
 
 
-def visual_summary(df: DataFrame, max_hist: int = 6) -> DataFrame:
-    """Correlations, histograms and boxes of the first numeric columns, counts of every categorical."""
+def visual_summary(df: DataFrame) -> DataFrame:
+    """Correlations, histograms and boxes of the numeric columns, counts of every categorical."""
     nums, cats = numeric_columns(df), categorical_columns(df)
     made = []
     if len(nums) >= 2:
         made.append(_cells(profile.correlation_matrix(df, nums, 2), "correlation", F.col("x"), F.col("y"), None, F.col("r")))
     if nums:
-        hist = multi_histogram(df, nums[:max_hist], 40)
+        hist = multi_histogram(df, nums, 40)
         made.append(_cells(hist, "hist", F.col("column"), F.col("bin"), None, F.col("n")))
-        made.append(_box_cells(multi_box(df, nums[:max_hist]), F.concat(F.lit("box "), "grp"), F.lit("all")))
+        made.append(_box_cells(multi_box(df, nums), F.concat(F.lit("box "), "grp"), F.lit("all")))
     if cats:
         freq = profile.frequencies(df, cats)
         made.append(_cells(freq, "count", F.col("column"), F.col("value"), None, F.col("n")))
@@ -298,8 +355,8 @@ def write_chart(chart: DataFrame, path: str, dataset: str, chart_type: str, name
 
 
 def chart(df: DataFrame, kind: str, x=None, y=None, z=None, color=None, size=None, path=None, bins: int = 30,
-          key: Sequence[str] = (), order_by: Sequence[str] = ()) -> DataFrame:
-    """Chart data by type name; missing columns are chosen by role."""
+          key: Sequence[str] = (), order_by: Sequence[str] = (), n: int | None = None) -> DataFrame:
+    """Chart data by type name; missing columns are chosen by role, ``n`` limits points, slices or steps."""
     nums, cats = numeric_columns(df), categorical_columns(df)
     x, y, z, color, size = (find_column(df, c) if c is not None else None for c in (x, y, z, color, size))
     extra = [c for c in (color, size) if c]
@@ -313,15 +370,17 @@ def chart(df: DataFrame, kind: str, x=None, y=None, z=None, color=None, size=Non
     category = x or (cats or df.columns)[0]
     if kind == "auto":
         return auto_one(df, key, x, y)[1]
-    if kind in ("hist", "histogram", "distplot", "dist"):
+    if kind in ("distplot", "dist"):
+        return distribution(df, number(x), bins)
+    if kind in ("hist", "histogram"):
         return histogram(df, number(x), bins, color)
     if kind in ("box", "violin", "boxplot", "violinplot"):
         made = box if kind.startswith("box") else violin
         return made(df, number(y), x or color)
     if kind in ("scatter",):
-        return scatter(df, [number(x), number(y, 1)], key, extra=extra)
+        return scatter(df, [number(x), number(y, 1)], key, n, extra)
     if kind in ("scatter3d", "line3d"):
-        return scatter(df, [number(x), number(y, 1), number(z, 2)], key, extra=extra)
+        return scatter(df, [number(x), number(y, 1), number(z, 2)], key, n, extra)
     if kind in ("line", "area"):
         return line(df, x or df.columns[0], [number(y, 1 if x is None else 0)], color)
     if kind in ("bar", "barh"):
@@ -329,15 +388,17 @@ def chart(df: DataFrame, kind: str, x=None, y=None, z=None, color=None, size=Non
     if kind == "bar_polar":
         return bar_polar(df, category, number(y))
     if kind in ("count", "countplot"):
-        return category_counts(df, category, 20)
+        return category_counts(df, category, n)
     if kind == "pie":
-        return pie(df, category, y)
+        return pie(df, category, y, n)
     if kind in ("sunburst", "treemap"):
         return profile.path_rollup(df, path or [category], y)
     if kind == "funnel":
         return funnel(df, category, y)
     if kind == "waterfall":
-        return waterfall(df, category, number(y), order_by or key)
+        if n is None:
+            raise ValueError("a waterfall needs n, its number of steps")
+        return waterfall(df, category, number(y), order_by or key, n)
     if kind == "surface":
         return profile.pivot_mean(df, number(x), number(y, 1), number(z, 2))
     if kind in ("heatmap", "correlation"):
@@ -349,5 +410,5 @@ def chart(df: DataFrame, kind: str, x=None, y=None, z=None, color=None, size=Non
     if kind == "pairplot":
         return pairplot(df)
     if kind in ("catplot", "strip"):
-        return strip(df, category, number(y), key[0])
+        return strip(df, category, number(y), key[0], n)
     raise ValueError(f"unsupported chart {kind!r}")

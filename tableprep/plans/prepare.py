@@ -36,7 +36,7 @@ class PrepSpec:
     transform: str = "yeo-johnson"
     scaling: str = "none"
     encode: str = "none"
-    max_categories: int | None = 10
+    max_categories: int | None = None
     drop_first: bool = True
     reduce: str = "none"
     n_components: int = 2
@@ -84,23 +84,23 @@ def _missing(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
     holes = missing.null_counts(df, nums + cats)
     if spec.missing in ("mean", "median", "mode"):
         df = missing.fill_numbers(df, spec.missing, nums)
-        log += [f"Filled {c} missing with {spec.missing}" for c in nums if holes[c]]
+        log += [f"{c}: nulls became the {spec.missing}" for c in nums if holes[c]]
     elif spec.missing == "knn":
         df = cut_lineage(missing.impute_knn(df, nums, spec.knn_neighbors))
-        log.append("Applied knn imputation to numeric columns")
+        log.append("numbers: nulls filled from nearest rows")
     elif spec.missing == "iterative":
         df = cut_lineage(missing.impute_iterative(df, nums, spec.iter_max))
-        log.append("Applied iterative imputation to numeric columns")
+        log.append("numbers: nulls filled by iterated regressions")
     elif spec.missing == "drop":
         df = df.na.drop("any")
-        log.append("Dropped rows with missing values")
+        log.append("rows with nulls left out")
     elif spec.missing != "none":
         raise ValueError(f"unknown strategy {spec.missing!r}")
     if spec.cat_missing in ("mode", "constant"):
         holed = [c for c in cats if holes[c]] if spec.missing != "drop" else []
         if holed:
             df = missing.fill_categories(df, spec.cat_missing, spec.constant, holed)
-        log += [f"Filled {c} missing with {spec.cat_missing}" for c in holed]
+        log += [f"{c}: nulls became the {spec.cat_missing}" for c in holed]
     return df
 
 
@@ -110,15 +110,15 @@ def _outliers(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
         # the service order transforms only together with the range method
         if spec.order == "api" and spec.outlier != "iqr":
             return df
-        log.append("Applied power transform to numeric columns")
+        log.append("numbers: power transform")
         return power_transform(df, nums, spec.transform)
-    log.append(f"{'Capped' if spec.outlier_action == 'cap' else 'Removed'} outliers using {spec.outlier}")
+    log.append(f"outliers by {spec.outlier}: {spec.outlier_action}")
     out = outliers(df, spec.outlier, spec.outlier_action, nums, contamination=spec.contamination, seed=spec.seed)
     return cut_lineage(out) if spec.outlier.startswith("isolation") else out
 
 
 def _scale(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
-    log.append(f"Applied {spec.scaling} scaling")
+    log.append(f"numbers: {spec.scaling} scale")
     return scale(df, spec.scaling, [c for c in _numbers(df, spec) if c != spec.target])
 
 
@@ -139,7 +139,7 @@ def _reduce(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
         out = (reduce_pca if spec.reduce == "pca" else reduce_svd)(df, spec.n_components, nums)
     else:
         raise ValueError(f"unknown reduction {spec.reduce!r}")
-    log.append(f"Applied {spec.reduce} reduction to {spec.n_components} components")
+    log.append(f"{spec.reduce}: {spec.n_components} components")
     return out
 
 
@@ -154,13 +154,13 @@ def _select(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
         out = select_importance(body, spec.target, spec.imp_threshold, seed=spec.seed)
     else:
         raise ValueError(f"cannot select by {spec.select!r}")
-    log.append(f"Selected features by {spec.select}")
+    log.append(f"columns chosen by {spec.select}")
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c in held or c in out.columns])
 
 
 def _balance(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
     out = balance(df, spec.target, spec.balance, spec.id_col, seed=spec.seed)
-    log.append(f"Applied {spec.balance} for class imbalance")
+    log.append(f"classes balanced by {spec.balance}")
     return cut_lineage(out)
 
 
@@ -168,12 +168,12 @@ def _polynomial(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
     nums = [c for c in _numbers(df, spec) if c != spec.target]
     if spec.order == "api" and len(nums) < 2:
         return df
-    log.append(f"Added polynomial features (degree {spec.degree})")
+    log.append(f"polynomials up to degree {spec.degree}")
     return polynomial_features(df, spec.degree, nums)
 
 
 def _bins(df: DataFrame, spec: PrepSpec, log: list[str]) -> DataFrame:
-    log += [f"Binned {c} into {spec.bins} bins" for c in spec.bin_columns if c in df.columns]
+    log += [f"{c}: {spec.bins} quantile bins" for c in spec.bin_columns if c in df.columns]
     return quantile_bins(df, spec.bin_columns, spec.bins)
 
 
@@ -194,8 +194,13 @@ def _steps(spec: PrepSpec) -> list[tuple[str, Callable]]:
     return [s for s in steps if s]
 
 
-def prepare(df: DataFrame, spec: PrepSpec) -> tuple[DataFrame, list[str]]:
-    """Run the steps in the order of ``spec.order``; a step that cannot run is noted and left out."""
+def prepare(df: DataFrame, spec: PrepSpec, on_error: str = "raise") -> tuple[DataFrame, list[str]]:
+    """Run the steps in the order of ``spec.order``.
+
+    A step that cannot run raises; with ``on_error="skip"`` it is noted and left out.
+    """
+    if on_error not in ("raise", "skip"):
+        raise ValueError(f"unknown on_error {on_error!r}")
     if spec.order not in ("app", "api"):
         raise ValueError(f"unknown order {spec.order!r}")
     log: list[str] = []
@@ -207,6 +212,8 @@ def prepare(df: DataFrame, spec: PrepSpec) -> tuple[DataFrame, list[str]]:
             df = step(df, spec, notes)
             log += notes
         except (ValueError, ArithmeticError) as problem:
+            if on_error == "raise":
+                raise
             log.append(f"{name} skipped: {problem}")
     return df, log
 

@@ -23,7 +23,7 @@ SETTINGS = {
     "missing": ([("mean", ["mean"]), ("knn", ["knn"]), ("iterative", ["iterative", "mice"])], "median"),
     "scaling": ([("standard", ["standard", "z-score"]), ("minmax", ["minmax", "normalize"]), ("robust", ["robust"])], "none"),
     "outlier": ([("iqr", ["iqr"]), ("zscore", ["zscore", "z-score"]), ("isolation", ["isolation"])], "none"),
-    "reduce": ([("pca", ["pca"]), ("tsne", ["tsne", "t-sne"])], "none"),
+    "reduce": ([("pca", ["pca"])], "none"),
 }
 
 

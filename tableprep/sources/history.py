@@ -16,8 +16,15 @@ HISTORY = ("action string, params string, timestamp timestamp, rows long, column
            "success boolean, message string")
 
 
-def history_append(spark: SparkSession, path: str, entries: Sequence[Mapping]) -> None:
-    """Add finished actions: action, params (any JSON value), timestamp, shape, success, message."""
+def history_append(spark: SparkSession, path: str, entries: Sequence[Mapping] | DataFrame) -> None:
+    """Add finished actions: action, params (any JSON value), timestamp, shape, success, message.
+
+    A frame of entries has the columns of ``HISTORY``, in any order.
+    """
+    if isinstance(entries, DataFrame):
+        shape = [f.strip().rsplit(" ", 1) for f in HISTORY.split(",")]
+        entries.select(*[col(n).cast(k).alias(n) for n, k in shape]).write.mode("append").parquet(path)
+        return
     rows = [(e["action"], json.dumps(e.get("params", {}), sort_keys=True), e["timestamp"], *e["shape"],
              e.get("success", True), e.get("message", "")) for e in entries]
     spark.createDataFrame(rows, HISTORY).write.mode("append").parquet(path)

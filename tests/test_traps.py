@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprep.functions import exprs
-from tableprep.operators import (balance, encode, engineer, filters, impute, merge, outliers, profile, quality, roles,
+from tableprep.operators import (balance, encode, engineer, filters, fuzzy, impute, merge, outliers, profile, quality, roles,
                                  scale, select)
 from tableprep.plans import charts, prepare
 from tableprep.sources import history, io
@@ -47,7 +47,7 @@ def test_merge_names_and_validation(spark):
     with pytest.raises(ValueError):
         merge.merge(a, b, "missing", "k")
     with pytest.raises(ValueError):
-        merge.merge_cross(a, b, max_rows=1)
+        merge.merge(a, b, how="cross")
     assert merge.choose_keys(a, b, "first") == (["k"], ["k"])
     ids = a.withColumnsRenamed({"k": "row_id", "v": "x"}), b.withColumnsRenamed({"k": "other_id", "v": "y"})
     assert merge.choose_keys(*ids, "id") == (["row_id"], ["other_id"])
@@ -137,6 +137,13 @@ def test_encoders(spark):
     assert rows(encode.encode_onehot(df, "c").filter("id = 3"), "c_a", "c_b", "c_c") == [(0, 0, 0)]
     # three values: the binary method leaves the column alone
     assert encode.encode(df, "binary").columns == ["id", "c"]
+    with pytest.raises(ValueError):
+        encode.encode_binary(df, "c")
+    wide = encode.encode_onehot(df, "c", wide=2)
+    assert rows(wide.select("id", "c_onehot.size", "c_onehot.one"), "id", "size", "one") == [(1, 3, 1), (2, 3, 0), (3, 3, None), (4, 3, 2)]
+    log = []
+    encode.encode(df, "onehot", max_categories=2, log=log)
+    assert log == ["c not encoded: 3 categories"]
     # the limit sends few-valued columns to one-hot and many-valued ones to label
     assert encode.encode(df, "label", max_categories=10).schema["c"].dataType.simpleString() == "string"
     assert encode.encode(df, "label", max_categories=2).schema["c"].dataType.simpleString() == "bigint"
@@ -177,10 +184,76 @@ def test_find_column(spark):
 
 def test_prepare_skips_a_step_that_cannot_run(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None)], "x double, c string")
-    out, log = prepare.prepare(df, prepare.PrepSpec(reduce="lda", select="kbest", scaling="minmax"))
+    spec = prepare.PrepSpec(reduce="lda", select="kbest", scaling="minmax")
+    with pytest.raises(ValueError):
+        prepare.prepare(df, spec)
+    out, log = prepare.prepare(df, spec, on_error="skip")
     assert out.count() == 3 and out.filter("x IS NULL OR c IS NULL").count() == 0
     assert any("selection skipped" in line for line in log)
-    assert "Filled x missing with mean" in log and "Filled c missing with mode" in log
+    assert "x: nulls became the mean" in log and "c: nulls became the mode" in log
+
+
+def test_groups_keep_null_apart(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("null", 5.0), ("null", 7.0), ("n", 1.0), ("n", 3.0)], "g string, v double")
+    assert set(rows(charts.box(df, "v", "g"), "grp", "n", "median")) == {(None, 2, 1.5), ("null", 2, 6.0), ("n", 2, 2.0)}
+    assert {r["grp"] for r in charts.kde(df, "v", "g").collect()} == {None, "null", "n"}
+    assert {r["grp"] for r in charts.violin(df, "v", "g").collect()} == {None, "null", "n"}
+    plan = charts.kde(df, "v", "g")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_density_of_many_groups_is_the_same(spark, monkeypatch):
+    df = spark.range(60).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 1.5).alias("v"))
+    shape = lambda f: sorted((r["grp"], r["i"], round(r["x"], 6), round(r["density"], 9)) for r in f.collect())
+    few = shape(charts.kde(df, "v", "g", 20))
+    monkeypatch.setattr(charts, "DENSITY_GROUPS", 1)
+    assert shape(charts.kde(df, "v", "g", 20)) == few
+
+
+def test_modes_and_samples_go_by_the_own_order(spark):
+    df = spark.createDataFrame([(9,), (9,), (10,), (10,)], "n int")
+    assert profile.mode_values(df, ["n"]).first()["mode"] == "9"
+    long = spark.range(1, 200).withColumnRenamed("id", "n")
+    assert profile.column_info(long, ["n"]).first()["samples"] == "1|2|3|4|5"
+
+
+def test_balancing_keeps_rows_without_class(spark):
+    df = spark.createDataFrame([(i, "a" if i < 6 else "b" if i < 9 else None, float(i)) for i in range(12)], "id long, c string, x double")
+    for method in ("undersample", "oversample", "smote"):
+        out = balance.balance(df, "c", method, "id", k=1)
+        assert out.filter("c IS NULL").count() == 3, method
+    assert balance.balance_undersample(df, "c", "id").count() == 9
+
+
+def test_fuzzy_knows_all_scripts(spark):
+    left = spark.createDataFrame([("Москва",), ("東京",), ("!!!",), ("Café",)], "a string")
+    right = spark.createDataFrame([("Москва!",), ("大阪",), ("???",), ("café",)], "b string")
+    got = {(r["left_value"], r["right_value"]) for r in fuzzy.fuzzy_pairs(left, right, "a", "b", 80).collect()}
+    assert got == {("Москва", "Москва!"), ("Café", "café")}
+    best = {(r["left_value"], r["right_value"], r["score"]) for r in fuzzy.best_values(left, right, "a", "b", 80).collect()}
+    assert best == {("Москва", "Москва!", 100), ("Café", "café", 100)}
+
+
+def test_pie_names_the_rest(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3 + [("c",)] * 2, "x string")
+    assert rows(charts.pie(df, "x", n=1), "name", "share", "is_rest") == [("a", 0.5, False), ("other", 0.5, True)]
+    assert charts.pie(df, "x").count() == 3
+
+
+def test_history_takes_a_frame(spark, tmp_path):
+    path = str(tmp_path / "h")
+    entry = spark.createDataFrame([("a", 3, True, "", "{}", 2)], "action string, rows long, success boolean, message string, params string, columns int")
+    history.history_append(spark, path, entry.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")))
+    assert spark.read.parquet(path).first()["rows"] == 3
+
+
+def test_auto_set_shows_all_columns(spark):
+    df = spark.range(30).select("id", *[(F.col("id") * i).cast("double").alias(f"n{i}") for i in range(1, 6)],
+                                (F.col("id") % 4).cast("string").alias("c"))
+    names = {r["chart"] for r in charts.auto_set(df, ["id"]).select("chart").distinct().collect()}
+    assert {f"density n{i}" for i in range(1, 6)} <= names and "left out" not in names
+    few = charts.auto_set(df, ["id"], columns=2)
+    assert {r["x"] for r in few.filter("chart = 'left out'").collect()} == {"n2", "n3", "n4", "n5"}
 
 
 def test_step_orders_differ(spark):
