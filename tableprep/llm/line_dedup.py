@@ -38,6 +38,8 @@ LEAST = 10
 #: Shorter lines are compared for equality only.
 NEAR_LEAST = 40
 RUN = 2000
+#: A line with more than one in so many of all occurrences is hot.
+HOT = 10_000
 #: Line hashes that a task remembers, so that a repeated line is indexed once.
 MEMORY = 1_000_000
 
@@ -234,8 +236,17 @@ def dropped_lines(rows: DataFrame, edits: int = EDITS, run: int = RUN) -> DataFr
                     F.lpad(F.hex(F.col("first.no").cast("long")), 16, "0"))
     near = stored(near_lines(rows, firsts.select("h", rank.alias("rank")), edits, run).withColumn("near", F.lit(True)), "near-lines")
     known = firsts.join(near, "h", "left").filter("n > 1 OR near")
-    return lines.select("key", "no", "h", "h2").join(known, ["h", "h2"]) \
-        .filter(F.coalesce("near", F.lit(False)) | ~(F.col("key").eqNullSafe(F.col("first.key")) & (F.col("no") == F.col("first.no")))) \
+    # lines that make up more than a HOT-th of all, so fewer than HOT of them, meet their facts by broadcast;
+    # their rows then have a key of their own in the join by shuffle, where they find nothing
+    edge = max((firsts.agg(F.sum("n")).first()[0] or 0) / HOT, run)
+    facts = [F.col("first.key").alias("fk"), F.col("first.no").alias("fn"), F.coalesce("near", F.lit(False)).alias("near")]
+    hot = known.filter(F.col("n") > edge).select("h", "h2", F.struct(*facts).alias("hot"))
+    rest = known.filter(F.col("n") <= edge).select(F.col("h").alias("rh"), F.col("h2").alias("rh2"), F.struct(*facts).alias("rest"))
+    spread = lines.select("key", "no", "h", "h2").join(F.broadcast(hot), ["h", "h2"], "left") \
+        .withColumn("j", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("key", "no"))) \
+        .join(rest, (F.col("j") == F.col("rh")) & (F.col("h2") == F.col("rh2")), "left")
+    met = spread.select("key", "no", F.coalesce("hot", "rest").alias("m")).filter("m IS NOT NULL")
+    return met.filter(F.col("m.near") | ~(F.col("key").eqNullSafe(F.col("m.fk")) & (F.col("no") == F.col("m.fn")))) \
         .groupBy("key").agg(F.collect_set("no").alias("gone"))
 
 
