@@ -10,6 +10,12 @@ item place) a benchmark value must always meet the same document value; windows
 an alignment that breaks this do not count. A document is contaminated by an item if
 the counted windows are at least ``SIMILARITY`` of the item's windows.
 
+A text opens a sentence. An item copied into the middle of a sentence begins with what
+looks like a name there, so a document's window that begins with a name counts also
+with that name as a literal. Items without such a window (too few tokens, or too few
+literal ones) are compared by their lower-case tokens as they are: in windows of five,
+or in one of the whole item if it has fewer.
+
 So a question asked again with other numbers or names is found, and a text that only
 shares the shape of its sentences is not.
 
@@ -20,6 +26,8 @@ a larger one is joined by shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +63,24 @@ def value(raw: Column) -> Column:
     return F.lower(F.regexp_replace(raw, r"^[^\p{L}\p{M}\p{N}]+", ""))
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """key, at, h, slots for every window of the texts; slots are its raw tokens if it has placeholders."""
-    rows = rows.select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), 0).alias("raw"))
+def tokens(rows: DataFrame) -> DataFrame:
+    """key, raw: the tokens of each text as TOKEN finds them; the text opens a line."""
+    text = F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))
+    return rows.select("key", F.regexp_extract_all(text, F.lit(TOKEN), 0).alias("raw"))
+
+
+def windows(rows: DataFrame, copied: bool = False) -> DataFrame:
+    """key, at, h, slots for every window of the texts; slots are its raw tokens if it has placeholders.
+
+    If ``copied``, windows that begin with a name come a second time, with it as a literal.
+    """
+    rows = tokens(rows)
     holder = lambda c: c.isin(NUM, NAME, UNIT)
     # the last bit of a token's hash says whether it is a placeholder
     rows = rows.select("key", "raw", F.transform(F.transform("raw", canonical), lambda c: F.xxhash64(c).bitwiseAND(-2)
                        .bitwiseOR(F.when(holder(c), 1).otherwise(0).cast("long"))).alias("t"))
     some = F.transform("t", lambda x, i: F.struct(
-        F.xxhash64(x, *[F.get("t", i + k) for k in range(1, WINDOW)]).alias("h"),
+        i.alias("at"), F.xxhash64(x, *[F.get("t", i + k) for k in range(1, WINDOW)]).alias("h"),
         F.when(x.bitwiseOR(F.get("t", i + 1)).bitwiseOR(F.get("t", i + 2)).bitwiseOR(F.get("t", i + 3))
                .bitwiseOR(F.get("t", i + 4)).bitwiseAND(1) == 1,
                F.struct(F.slice(F.col("raw"), i + 1, WINDOW).alias("raw"),
@@ -71,24 +88,51 @@ def windows(rows: DataFrame) -> DataFrame:
     # an expression, not a column: else Spark infers a filter on its size, moves that filter down and so
     # computes all that stands above for every token again
     complete = F.slice(some, 1, F.greatest(F.size("t") - (WINDOW - 1), F.lit(0)))
-    return rows.select("key", F.posexplode(complete).alias("at", "w")).select("key", "at", "w.h", "w.slots")
+    if copied:
+        name = F.xxhash64(F.lit(NAME)).bitwiseAND(-2).bitwiseOR(1)
+        after = lambda i: [F.get("t", i + k) for k in range(1, WINDOW)]
+        opened = F.transform(F.slice("t", 1, F.greatest(F.size("t") - (WINDOW - 1), F.lit(0))), lambda x, i: F.when(x == name, F.struct(
+            i.alias("at"), F.xxhash64(F.xxhash64(F.lower(F.get("raw", i))).bitwiseAND(-2), *after(i)).alias("h"),
+            F.when(reduce(Column.bitwiseOR, after(i)).bitwiseAND(1) == 1,
+                   F.struct(F.slice(F.col("raw"), i + 1, WINDOW).alias("raw"),
+                            F.transform(F.slice(F.col("t"), i + 1, WINDOW),
+                                        lambda y, j: F.when(j == 0, 0).otherwise(y.bitwiseAND(1)).cast("long")).alias("open"))).alias("slots"))))
+        complete = F.concat(complete, F.filter(opened, lambda w: w.isNotNull()))
+    return rows.select("key", F.explode(complete).alias("w")).select("key", "w.at", "w.h", "w.slots")
+
+
+def plain_windows(rows: DataFrame, size: int) -> DataFrame:
+    """key, at, h for every run of ``size`` lower-case tokens."""
+    rows = tokens(rows).select("key", F.transform("raw", lambda x: F.xxhash64(value(x))).alias("t"))
+    # the size is part of the hash, so no window of another size or form is met
+    some = F.transform("t", lambda x, i: F.xxhash64(F.lit("plain"), F.lit(size), x, *[F.get("t", i + k) for k in range(1, size)]))
+    return rows.select("key", F.posexplode(F.slice(some, 1, F.greatest(F.size("t") - (size - 1), F.lit(0)))).alias("at", "h"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """Windows with enough literal tokens: item, item_at, h, item_slots, n (the item's windows)."""
+    """The windows that items are known by: item, item_at, h, item_slots, n (the item's windows), size (of plain ones)."""
     found = windows(items)
     literals = WINDOW - F.aggregate("slots.open", F.lit(0).cast("long"), lambda a, x: a + x)
-    found = found.filter(F.col("slots").isNull() | (literals >= LITERALS))
+    found = found.filter(F.col("slots").isNull() | (literals >= LITERALS)).withColumn("size", F.lit(None).cast("int"))
+    few = tokens(items.join(found.select("key").distinct(), "key", "left_anti")).filter(F.size("raw") > 0) \
+        .select("key", F.least(F.size("raw"), F.lit(WINDOW)).alias("size"))
+    for size in range(1, WINDOW + 1):
+        plain = plain_windows(items.join(few.filter(F.col("size") == size).select("key").distinct(), "key", "left_semi"), size)
+        found = found.unionByName(plain.withColumn("size", F.lit(size)), allowMissingColumns=True)
     sizes = found.groupBy("key").agg(F.count("*").alias("n"))
     return found.join(sizes, "key").select(F.col("key").alias("item"), F.col("at").alias("item_at"), "h",
-                                           F.col("slots").alias("item_slots"), "n")
+                                           F.col("slots").alias("item_slots"), "n", "size")
 
 
 def hits(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """key, item, similarity for every document and item of at least that similarity."""
     known = stored(benchmark_windows(items.filter("key IS NOT NULL").distinct()), "benchmark-windows")
+    plain = [r["size"] for r in known.select("size").distinct().collect() if r["size"]]  # at most WINDOW
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    met = windows(docs).join(known, "h").withColumn("line", F.col("at") - F.col("item_at"))
+    seen = windows(docs, copied=True)
+    for size in plain:
+        seen = seen.unionByName(plain_windows(docs, size), allowMissingColumns=True)
+    met = seen.join(known.drop("size"), "h").withColumn("line", F.col("at") - F.col("item_at"))
     met = stored(met, "template-matches")
     pairs = F.arrays_zip(F.col("item_slots.raw").alias("b"), F.col("slots.raw").alias("d"), F.col("slots.open").alias("o"))
     pairs = F.transform(F.filter(pairs, lambda x: x["o"] == 1), lambda x: F.struct(
@@ -110,8 +154,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Which benchmark items each document holds; one row per row of ``docs``.
 
     Returns key, contaminated, items (sorted array) and similarity (the greatest, 0
-    if none). Null texts are empty and clean; items with a null id or text, or with
-    fewer than five tokens or too few literal ones, match nothing. Rows that share a
+    if none). Null texts are empty and clean; items with a null id or without tokens match
+    nothing. An item of one word is in every document that has the word. Rows that share a
     key (null included) are one document. An empty benchmark leaves all clean.
     """
     rows = pick(docs, key=key, text=text)

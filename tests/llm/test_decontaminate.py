@@ -43,6 +43,18 @@ def test_join_by_shuffle_is_the_same(spark, monkeypatch):
     assert sorted(map(str, decontaminate(docs, known).collect())) == want
 
 
+def test_copies_of_short_items_anywhere(spark):
+    known = ["What is the capital of France?", "How many legs does a spider have?", "Capital of France?", "Why", "7 + 5 = ?",
+             "Anna Berta Clara Dora Emil Fritz Gustav"]
+    places = ["{}", "Some text. {} And more.", "Some text\n{}", "He asked, {} so often.", "> {}"]
+    rows = [(10 * i + j, p.format(x)) for i, x in enumerate(known) for j, p in enumerate(places)]
+    rows += [(90, "Some capital of Spain"), (91, "8 + 5 = ?"), (92, "Anna Berta Carl Dora Egon Fritz Gustav"), (93, "the capitals of france")]
+    for some in (known, known[:2]):
+        out = decontaminate(documents(spark, rows), items(spark, list(enumerate(some)))).collect()
+        assert all(r["contaminated"] == (r["doc_id"] < 10 * len(some)) for r in out)
+        assert all(r["doc_id"] // 10 in r["items"] for r in out if r["contaminated"])
+
+
 @pytest.mark.skipif(not HAVE, reason="needs the given tables")
 def test_query_against_word_windows(spark):
     from tableprep.llm.queries import op4_decontaminate, table
