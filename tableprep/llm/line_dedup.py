@@ -1,5 +1,8 @@
 """Line dedup: equal lines, and lines within a small edit distance, stay only where they come first.
 
+Lines of ``NEAR_LEAST`` code points may differ by EDITS, lines of ``SHORT_LEAST`` by one, and
+in a pair the shorter line decides; below, lines must be equal.
+
 Equal lines are found by two 64-bit hashes. For lines within ``EDITS`` edits, each line
 is cut into EDITS + 1 segments of even length; after that many edits one segment still
 stands somewhere in the other line. Every line puts its segments into an index by
@@ -35,8 +38,10 @@ from .common import grid, pick, small_batches, stored
 EDITS = 2
 #: Lines shorter than this (without outer white space) always stay.
 LEAST = 10
-#: Shorter lines are compared for equality only.
+#: Shorter lines may differ by one edit only.
 NEAR_LEAST = 40
+#: Shorter lines are compared for equality only.
+SHORT_LEAST = 20
 RUN = 2000
 #: A line with more than one in so many of all occurrences is hot.
 HOT = 10_000
@@ -66,6 +71,11 @@ def places(length: int, other: int, edits: int) -> list[tuple[int, int, int]]:
     return found
 
 
+def allowed(length: int, edits: int) -> int:
+    """Edits that may lie between a line of ``length`` and one as long or longer."""
+    return edits if length >= NEAR_LEAST else min(edits, 1) if length >= SHORT_LEAST else 0
+
+
 def line_keys(edits: int = EDITS):
     """The function that makes key rows (k, h) of lines: h is the line's hash, its last bit 1 for a lookup."""
     plans: dict[int, tuple[list, list]] = {}
@@ -74,9 +84,9 @@ def line_keys(edits: int = EDITS):
         if n not in plans:
             if len(plans) > 20_000:
                 plans.clear()
-            own = [(n << 4 | i, 4 * at, 4 * (at + size)) for i, (at, size) in enumerate(cuts(n, edits))]
+            own = [(n << 4 | i, 4 * at, 4 * (at + size)) for i, (at, size) in enumerate(cuts(n, allowed(n, edits)))]
             looked = [(m << 4 | i, 4 * at, 4 * (at + size)) for m in range(n, max(n - edits, 0) - 1, -1)
-                      for i, at, size in places(n, m, edits) if size]
+                      if n - m <= allowed(m, edits) for i, at, size in places(n, m, allowed(m, edits)) if size]
             plans[n] = own, looked
         return plans[n]
 
@@ -184,7 +194,7 @@ def later_lines(lines: list[str], order: list, edits: int) -> np.ndarray:
         i, before = place[r], place[:r]
         near = before[np.abs(length[before] - length[i]) <= edits]
         near = near[np.abs(counts[near] - counts[i]).sum(1) <= 2 * edits]
-        late[i] = any(within(lines[j], lines[i], edits) for j in near)
+        late[i] = any(within(lines[j], lines[i], allowed(min(length[i], length[j]), edits)) for j in near)
     return late
 
 
@@ -213,7 +223,7 @@ def near_lines(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, run: int
 
     ``firsts`` has h and rank, a text that sorts as the first occurrences do.
     """
-    long = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") >= NEAR_LEAST)
+    long = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") >= SHORT_LEAST)
     met = stored(long.mapInArrow(line_keys(edits), "k long, h long").repartition("k").sortWithinPartitions("k")
                  .mapInArrow(shared, "k long, h long"), "shared-segments")
     wanted = stored(met.select("h").distinct().join(firsts, "h").groupBy("h").agg(F.min("rank").alias("rank")), "shared-lines")
@@ -254,8 +264,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     """``docs`` with the text cut to the lines that stay, and n_lines, n_dropped added.
 
     Null texts stay null and empty ones empty, with 0 lines. A line of fewer than
-    ``LEAST`` code points always stays, one of fewer than ``NEAR_LEAST`` goes only if it
-    equals an earlier one. Rows that share a key (null included) are one document: they
+    ``LEAST`` code points always stays, one of fewer than ``SHORT_LEAST`` goes only if it equals
+    an earlier one; if the shorter of two has fewer than ``NEAR_LEAST``, one edit counts. Rows that share a key (null included) are one document: they
     lose the lines of the same numbers. Ties cannot occur: (key, line number) differ.
     """
     small_batches(docs)

@@ -82,3 +82,19 @@ def test_empty_table_copies_and_long_lines(spark):
         [(1, 40_000, 0), (1, 40_000, 0), (2, 0, 1), (3, 0, 1), (4, 40_020, 0)]
     text_keys = spark.createDataFrame([("b", "one line of text"), ("a", "one line of text")], "doc_id string, text string")
     assert sorted((r["doc_id"], r["n_dropped"]) for r in dedup_lines(text_keys).collect()) == [("a", 0), ("b", 1)]
+
+
+def test_short_lines_with_one_edit_go(spark):
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcdefgh ijk") for _ in range(n)) for n in (*range(18, 42), 39, 39, 40, 40)]
+    pool = [edited(rnd, x, k, "abcxyz") for x in base for k in (0, 1, 1, 2)]
+    rnd.shuffle(pool)
+    seen, want = [], {}
+    for i, x in enumerate(pool):
+        free = lambda y: 2 if min(len(x), len(y)) >= 40 else 1 if min(len(x), len(y)) >= 20 else 0
+        want[i] = len(x.strip(" ")) >= 10 and any(distance(x, y) <= free(y) for y in seen)
+        seen.append(x)
+    assert any(want[i] for i, x in enumerate(pool) if len(x) < 39)
+    for run in (2000, 3):
+        out = dedup_lines(documents(spark, list(enumerate(pool)), False), run=run).collect()
+        assert {r["doc_id"]: bool(r["n_dropped"]) for r in out} == want
