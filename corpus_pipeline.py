@@ -38,9 +38,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    found = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
-    return _without(docs, found.filter("doc_id <> component_id"))
+    """One row of each group of near-duplicates: the first by id, then by row number. Rows with a null id stay."""
+    names = docs.columns
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    # stored, so the numbers stay as they are
+    rows = stored(flat.withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    place = F.struct(F.col(f"_{names.index('doc_id')}").alias("id"), "row")
+    known = rows.filter(f"_{names.index('doc_id')} IS NOT NULL").select(place.alias("place"), F.col(f"_{names.index('text')}").alias("text"))
+    gone = simhash.near_duplicates(known, key="place").filter("place <> component_id").select(F.col("place.row").alias("gone"))
+    kept = rows.join(gone, F.col("row") == F.col("gone"), "left_anti")
+    return kept.select(*flat.columns).toDF(*names)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

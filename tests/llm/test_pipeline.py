@@ -41,6 +41,14 @@ def test_near_duplicates(spark):
     assert found == sorted([str(known[i][0]) for i in set(label)] + ["None"])
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    one, two = story(200), story(150, 5)
+    rows = [(1, one), (1, one), (2, two), (2, one + " end"), (3, two), (4, story(90, 3)), (4, story(90, 3))]
+    found = pipeline.drop_near_duplicates(spark, docs(spark, rows), FOLDER)
+    label = groups([brute_print(t) for _, t in rows])
+    assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == sorted(rows[i] for i in set(label))
+
+
 @pytest.mark.skipif(not HAVE, reason="needs the given tables")
 def test_the_given_documents(spark):
     """Every stage on what the one before kept, each against a plain version."""
