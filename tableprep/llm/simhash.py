@@ -5,8 +5,8 @@ differ in at most three bits, there is a segment from which every chain of l
 consecutive segments differs in at most floor(3 l / 4) bits: none in the first, one in
 the first two, two in the first three. The first two of these budgets make a join key
 of 32 bits: the first segment as it is and the second with at most one bit cleared by
-one of the two. Candidates that share a key go through the third budget and the full
-count.
+one of the two. The third budget is not applied: candidates that share a key go straight
+to the full count, which is one operation on the whole 64 bits and decides alone.
 
 Copies have one fingerprint and are one node. Rows that share a key form a run; a run
 gives the links of a spanning forest of its near fingerprints, never all its pairs.
