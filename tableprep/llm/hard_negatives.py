@@ -55,7 +55,7 @@ def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
     lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if len(lengths) and (lengths == dims).all():
-        return flat.reshape(-1, dims)
+        return flat.reshape(len(lengths), dims)
     out = np.zeros((len(lengths), dims))
     out[np.arange(dims) < lengths[:, None]] = flat
     return out
@@ -223,7 +223,7 @@ def _searched(leaves: DataFrame, dims: int, exact, queries: tuple, same: bool, k
                 boxes = [[np.frombuffer(r[c]).astype(exact) for r in rows] for c in ("lo", "hi")]
                 search.tree(*[np.stack(b) for b in boxes], [
                     (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["labels"], np.int64),
-                     np.frombuffer(r["rows"]).reshape(-1, dims).astype(exact) if dims else np.zeros((len(r["ids"]) // 8, 0), exact)) for r in rows])
+                     np.frombuffer(r["rows"]).reshape(len(r["ids"]) // 8, dims).astype(exact)) for r in rows])
 
         for batch in batches:
             for row in batch.to_pylist():

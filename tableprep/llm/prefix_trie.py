@@ -104,22 +104,24 @@ def id_lists(ends: DataFrame) -> DataFrame:
     order = ["depth", "a", "b", "conv"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, at, first, part, size = None, 0, 0, [], 0
-
-        def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"depth": of[0], "a": of[1], "b": of[2], "conv": first, "part": ",".join(part)}])
-
+        of, first, part, size = None, 0, [], 0
+        done, held = [], 0
         for batch in batches:
             for *node, conv in zip(*[batch.column(c).to_pylist() for c in order]):
                 if part and (node != of or size > PIECE):
-                    yield emit()
-                    part, size = [], 0
+                    done.append((*of, first, ",".join(part)))
+                    held, part, size = held + size, [], 0
                 if not part:
                     of, first = node, conv
                 part.append(str(conv))
                 size += len(part[-1]) + 1
+                if held > PIECE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], [*order, "part"])
+                    done, held = [], 0
         if part:
-            yield emit()
+            done.append((*of, first, ",".join(part)))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], [*order, "part"])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
