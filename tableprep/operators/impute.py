@@ -77,13 +77,18 @@ def impute_knn(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5) ->
     if not targets:
         return df
     done, rest = _split_incomplete(df, targets)
-    filled = rest
-    for i, t in enumerate(targets):
-        near = nearest_rows(rest.filter(col(t).isNull()), df.filter(col(t).isNotNull()),
-                            cols, k, "_rid", t)
-        total = F.aggregate("near", F.lit(0.0), lambda s, n: s + n["pay"].cast("double"))
-        fill = near.select(F.col("_rid").alias("_id"), (total / F.size("near")).alias(f"_v{i}"))
-        filled = filled.join(fill, F.col("_rid") == F.col("_id"), "left").drop("_id")
+    # all columns in one search: a column is a group of its own
+    asked = [rest.filter(col(t).isNull()).select(F.lit(i).alias("_col"), F.concat_ws(":", "_rid", F.lit(i)).alias("_ask"),
+                                                 *[col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)]) for i, t in enumerate(targets)]
+    known = [df.filter(col(t).isNotNull()).select(F.lit(i).alias("_col"), col(t).cast("double").alias("_pay"),
+                                                  *[col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)]) for i, t in enumerate(targets)]
+    asked, known = (reduce(DataFrame.unionByName, part) for part in (asked, known))
+    near = nearest_rows(asked, known, [f"_x{j}" for j in range(len(cols))], k, "_ask", "_pay", group="_col")
+    total = F.aggregate("near", F.lit(0.0), lambda s, n: s + n["pay"])
+    key = F.split("_ask", ":")
+    fills = near.select(key[0].cast("long").alias("_id"), key[1].cast("int").alias("_of"), (total / F.size("near")).alias("_v")) \
+        .groupBy("_id").agg(*[F.max(F.when(F.col("_of") == i, F.col("_v"))).alias(f"_v{i}") for i in range(len(targets))])
+    filled = rest.join(fills, F.col("_rid") == F.col("_id"), "left").drop("_id")
     new = {t: F.coalesce(col(t).cast("double"), F.col(f"_v{i}"), F.lit(stats[t]["mean"]))
            for i, t in enumerate(targets)}
     names = df.columns

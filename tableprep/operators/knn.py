@@ -1,11 +1,16 @@
 """Exact k nearest rows for a large set of queries among a large set of donors.
 
-Comparing all pairs does not scale, and neither does a join that emits them.
-Donors are cut into buckets by quantiles of one feature, and a dense bucket is
-cut further into chunks. Each query first looks into its own bucket; the k-th
-distance found there bounds how far away on that feature a nearer donor can be,
-so afterwards it visits only the buckets in that range. Inside a task the
-distances are computed in numpy and only k rows per query and chunk leave it.
+Comparing all pairs does not scale, and neither does a join that emits them. Donors
+are cut into cells of a k-d tree: the side that is longest in units of distance is
+halved until there are cells enough, and each level cuts at quantiles inside its
+parent. Donors that lack a cut feature form trees of their own. There are about as
+many cells as donors in a cell once a table is large, so both grow with its root.
+
+A query first looks into the nearest cell; the k-th distance found there bounds the
+cells that can hold a nearer donor. The tree, one box per cell, is walked for all
+queries of a batch at once, dropping boxes beyond the bound. The ``RING`` nearest cells
+come next, the bound falls, and then what is left within it. Inside a task distances
+are computed in numpy, and only k rows per query and cell leave it.
 
 Distance is Euclidean over the features both rows have, scaled up by the share
 of features missing; ties go to the smaller payload.
@@ -14,100 +19,221 @@ of features missing; ties go to the smaller payload.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from .roles import col
-from .skew import chunk_sizes, grid
+from .skew import grid
 
-DONORS_PER_BUCKET = 2_000
+DONORS_PER_CELL = 2_000
 DONORS_PER_CHUNK = 8_000
 QUERIES_PER_CHUNK = 8_000
-MAX_BUCKETS = 4_096
-NO_PIVOT = -1
+#: Cells of the second round.
+RING = 8
+#: Groups are dealt to so many trees; rows of another group in a cell are passed over.
+TREES = 1_024
 
 
 def nearest_rows(queries: DataFrame, donors: DataFrame, features: Sequence[str], k: int,
                  query_id: str, payload: str, group: str | None = None,
-                 self_id: str | None = None) -> DataFrame:
+                 self_id: str | None = None, visits: list | None = None) -> DataFrame:
     """``query_id, near`` where ``near`` is the sorted array of (d2, pay).
 
     ``payload`` is the donor column returned; ``group`` restricts matches to
     equal values; ``self_id`` names the donor column that identifies the query
-    itself, which is then left out.
+    itself, which is then left out. ``visits`` gets the cells looked into, by round.
     """
     p = len(features)
     feats = [f"_f{i}" for i in range(p)]
     pay_type = donors.schema[payload].dataType.simpleString()
 
     def shaped(df: DataFrame, *extra) -> DataFrame:
-        return df.select(*extra, (col(group).cast("string") if group else F.lit("")).alias("_g"),
-                         *[col(f).cast("double").alias(n) for f, n in zip(features, feats)])
-
-    q = shaped(queries, col(query_id).alias("_q"))
-    d = shaped(donors, col(payload).alias("_pay"),
-               (col(self_id) if self_id else F.lit(None)).cast("string").alias("_self"))
-    pivot, edges = _pivot(q, d, feats)
-    if self_id:
-        d = d.withColumn("_copy", F.lit(1).cast("long"))
-    else:
-        # of equal donors with equal payload only the first k can ever be used
-        d = (d.groupBy("_pay", "_self", "_g", *feats).agg(F.least(F.count("*"), F.lit(k)).alias("_m"))
-             .select("_pay", "_self", "_g", *feats, F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_copy")))
-    # both sides are read in every round
-    q, d = cut_lineage(_bucketed(q, pivot, edges, "_b")), cut_lineage(_bucketed(d, pivot, edges, "_b"))
+        plain = df.select(*extra, F.coalesce(col(group).cast("string"), F.lit("\0")).alias("_g") if group else F.lit("").alias("_g"),
+                          *[col(f).cast("double").alias(n) for f, n in zip(features, feats)])
+        return plain.withColumn("_t", F.pmod(F.xxhash64("_g"), F.lit(TREES)).cast("int"))
 
+    q = cut_lineage(shaped(queries, col(query_id).alias("_q")))
+    d = shaped(donors, col(payload).alias("_pay"), (col(self_id) if self_id else F.lit(None)).cast("string").alias("_self"))
+    # of donors with equal features only the first ones can ever be used
+    first = W.partitionBy("_g", *feats).orderBy("_pay", "_self")
+    d = cut_lineage(d.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + bool(self_id)).drop("_n"))
+    tree, d = _tree(q, d, feats)
+    shared = q.sparkSession.sparkContext.broadcast(tree)
     visit = _visitor(feats, k, pay_type, query_id=queries.schema[query_id].dataType.simpleString())
-    home = visit(q.filter(F.col("_b") != NO_PIVOT), d)
-    # the first round is needed twice (bound and result), so it is stored
-    home = cut_lineage(home.groupBy("_q").agg(_best(k).alias("_near")))
-
-    far = q.join(home, "_q", "left")
-    bound = F.when(F.size("_near") >= k, F.sqrt(F.element_at("_near", k)["d2"]) * (1 + 1e-9))
-    last = len(edges) - 2
-    far = far.select("*", F.when(bound.isNotNull(), F.col(pivot) - bound).alias("_lo"),
-                     F.when(bound.isNotNull(), F.col(pivot) + bound).alias("_hi"))
-    far = _bucketed(_bucketed(far, "_lo", edges, "_blo"), "_hi", edges, "_bhi")
-    # an open bound (too few donors at home, or no pivot value) visits everything
-    first_b = F.when(F.col("_blo") == NO_PIVOT, F.lit(0)).otherwise(F.col("_blo"))
-    last_b = F.when(F.col("_bhi") == NO_PIVOT, F.lit(last)).otherwise(F.col("_bhi"))
-    rest = far.select("_q", "_g", *feats, F.col("_b").alias("_home"),
-                      F.explode(F.concat(F.array(F.lit(NO_PIVOT)), F.sequence(first_b, last_b))).alias("_b"))
-    rest = rest.filter((F.col("_b") != F.col("_home")) | (F.col("_b") == NO_PIVOT)).drop("_home")
-    found = visit(rest, d).unionByName(
-        home.select("_q", F.explode("_near").alias("_n")).select("_q", "_n.d2", "_n.pay"))
-    return found.groupBy("_q").agg(_best(k).alias("near")).withColumnRenamed("_q", query_id)
+    names, q_schema = q.columns, ", ".join(f"{n} {t}" for n, t in q.dtypes)
+
+    def steps(skip: int, take: int | None):
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), 256):
+                    part = batch.iloc[start:start + 256]
+                    at, cell = shared.value.home(part) if take == 1 and not skip else shared.value.within(part, skip, take)
+                    out = part.iloc[at].copy()
+                    out["_b"] = cell
+                    yield out[[*names, "_b"]]
+        return walk
+
+    best = None
+    for skip, take in ((0, 1), (0, RING), (RING, None)):
+        if best is None:
+            asked = q
+        else:
+            bound = F.when(F.size("_near") >= k, F.element_at("_near", k)["d2"])
+            asked = q.join(best.select("_q", bound.alias("_bound")), "_q", "left")
+        stops = cut_lineage(asked.mapInPandas(steps(skip, take), f"{q_schema}, _b int"))
+        counts = stops.groupBy("_b").agg(F.count("*").alias("_c"), F.ceil(F.count("*") / QUERIES_PER_CHUNK).cast("int").alias("_nl"))
+        sizes = broadcast_if_small(counts.join(tree.chunks(q.sparkSession), "_b"))
+        if visits is not None:
+            visits.append(sizes.agg(F.sum("_c")).first()[0] or 0)
+        if sizes.isEmpty():
+            break
+        found = visit(stops, d, sizes.drop("_c"))
+        if best is not None:
+            found = found.unionByName(best.select("_q", F.explode("_near").alias("_n")).select("_q", "_n.d2", "_n.pay"))
+        best = cut_lineage(found.groupBy("_q").agg(_best(k).alias("_near")))
+    if best is None:
+        kinds = dict(queries.dtypes)[query_id]
+        return q.sparkSession.createDataFrame([], f"`{query_id}` {kinds}, near array<struct<d2: double, pay: {pay_type}>>")
+    return best.select(F.col("_q").alias(query_id), F.col("_near").alias("near"))
 
 
 def _best(k: int):
     return F.slice(F.array_sort(F.collect_list(F.struct("d2", "pay"))), 1, k)
 
 
-def _pivot(q: DataFrame, d: DataFrame, feats: Sequence[str]) -> tuple[str, list[float]]:
-    """The feature most queries have, then most donors have, then of widest spread; and its bucket edges."""
-    asked = q.agg(*[F.count(f) for f in feats]).first()
-    row = d.agg(F.count("*"), *[F.count(f) for f in feats], *[F.var_pop(f) for f in feats]).first()
-    n, p = row[0], len(feats)
-    best = max(range(p), key=lambda i: (asked[i], row[1 + i], row[1 + p + i] or 0.0))
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / DONORS_PER_BUCKET)))
-    if buckets == 1:
-        return feats[best], [-math.inf, math.inf]
-    cuts = [i / buckets for i in range(1, buckets)]
-    inner = d.agg(F.percentile_approx(feats[best], cuts, 10 * MAX_BUCKETS)).first()[0]
-    return feats[best], [-math.inf, *sorted(set(inner or [])), math.inf]
+class CellTree:
+    """Boxes of the cells and of the nodes above them, level by level."""
+
+    def __init__(self, cells: pd.DataFrame, feats: Sequence[str], cut: Sequence[str], levels: int):
+        self.feats, self.cut, self.rows = list(feats), list(cut), cells["_rows"].to_numpy()
+        lo = cells[[f"lo{i}" for i in range(len(cut))]].to_numpy(dtype=float)
+        hi = cells[[f"hi{i}" for i in range(len(cut))]].to_numpy(dtype=float)
+        keys = [cells["_t"].to_numpy(), cells["_m"].to_numpy(), *[cells[f"_p{i}"].to_numpy() for i in range(levels)]]
+        self.levels = []
+        for depth in range(2, 3 + levels):
+            new = np.ones(len(cells), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys[:depth]], axis=0)
+            starts = np.flatnonzero(new)
+            if len(starts):
+                self.levels.append((starts, np.fmin.reduceat(lo, starts), np.fmax.reduceat(hi, starts), np.add.reduceat(self.rows, starts)))
+        roots = keys[0][self.levels[0][0]] if self.levels else np.zeros(0, int)
+        self.first = {int(t): (int(np.searchsorted(roots, t)), int(np.searchsorted(roots, t, "right"))) for t in np.unique(roots)}
+
+    def chunks(self, spark) -> DataFrame:
+        """_b, _nr: into how many chunks the donors of a cell are cut."""
+        return spark.createDataFrame(pd.DataFrame({
+            "_b": np.arange(len(self.rows), dtype=np.int32), "_nr": -(-self.rows // DONORS_PER_CHUNK).astype(np.int32)}), "_b int, _nr int")
+
+    def _distance(self, x: np.ndarray, known: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+        """A bound from below of the squared distance of rows ``x`` to the boxes ``node``; infinite if no feature is shared."""
+        _, lo, hi, _ = self.levels[level]
+        gap = np.fmax(np.fmax(lo[node] - x, x - hi[node]), 0.0)
+        lacking = (~np.isnan(x) & np.isnan(lo[node])).sum(1)
+        seen = known - lacking
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, np.nansum(gap * gap, axis=1) * len(self.feats) / seen, np.inf)
+
+    def _asked(self, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x, known = part[self.cut].to_numpy(dtype=float), part[self.feats].notna().sum(axis=1).to_numpy()
+        spans = np.array([self.first.get(int(t), (0, 0)) for t in part["_t"]], dtype=int).reshape(-1, 2)
+        return x, known, spans[:, 0], spans[:, 1]
 
+    def _children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, below = self.levels[level][0], self.levels[level + 1][0]
+        ends = np.append(starts[1:], len(self.rows))
+        return np.searchsorted(below, starts[node]), np.searchsorted(below, ends[node])
 
-def _bucketed(df: DataFrame, source: str, edges: list[float], name: str) -> DataFrame:
-    if len(edges) == 2:
-        return df.withColumn(name, F.when(F.col(source).isNull(), NO_PIVOT).otherwise(0))
-    cut = Bucketizer(splits=edges, inputCol=source, outputCol=name, handleInvalid="keep").transform(df)
-    return cut.withColumn(name, F.when(F.col(source).isNull(), NO_PIVOT).otherwise(F.col(name).cast("int")))
+    @staticmethod
+    def _spread(at: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each ``at`` with every number from a to b."""
+        n = b - a
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), np.repeat(a, n) + offset
+
+    def home(self, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row found by taking the nearest box on every level, the fullest of equals."""
+        x, known, a, b = self._asked(part)
+        at = np.flatnonzero(b > a)
+        a, b = a[at], b[at]
+        for level in range(len(self.levels)):
+            who, node = self._spread(at, a, b)
+            far = self._distance(x[who], known[who], level, node)
+            order = np.lexsort((node, -self.levels[level][3][node], far, who))
+            order = order[np.isfinite(far[order])]
+            at, one = np.unique(who[order], return_index=True)
+            node = node[order][one]
+            if level + 1 < len(self.levels):
+                a, b = self._children(level, node)
+        return (at, node) if len(self.levels) else (at[:0], at[:0])
+
+    def within(self, part: pd.DataFrame, skip: int, take: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Cells within the bound of each row but its home cell, nearest first: ``take`` of them after ``skip``."""
+        own = np.full(len(part), -1)
+        own_at, own_cell = self.home(part)
+        own[own_at] = own_cell
+        x, known, a, b = self._asked(part)
+        bound = part["_bound"].to_numpy(dtype=float)
+        bound = np.where(np.isnan(bound), np.inf, bound * (1 + 1e-9))
+        at = np.arange(len(part))
+        for level in range(len(self.levels)):
+            at, node = self._spread(at, a, b)
+            far = self._distance(x[at], known[at], level, node)
+            near = (far <= bound[at]) & np.isfinite(far)
+            at, node, far = at[near], node[near], far[near]
+            if level + 1 < len(self.levels):
+                a, b = self._children(level, node)
+        if not len(self.levels):
+            return at[:0], at[:0]
+        other = node != own[at]
+        at, node, far = at[other], node[other], far[other]
+        order = np.lexsort((node, far, at))
+        at, node = at[order], node[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = (rank >= skip) & (rank < skip + take if take is not None else True)
+        return at[kept], node[kept]
+
+
+def _slabs(spread: Sequence[float], cells: int) -> list[int]:
+    """Into how many slabs each feature is cut: the longest side is halved until there are ``cells`` cells."""
+    cuts = [1] * len(spread)
+    while math.prod(cuts) < cells and max(spread, default=0.0) > 0:
+        widest = max(range(len(spread)), key=lambda i: (spread[i] / cuts[i], -i))
+        cuts[widest] *= 2
+    return cuts
+
+
+def _tree(q: DataFrame, d: DataFrame, feats: Sequence[str]) -> tuple[CellTree, DataFrame]:
+    """The tree of the donors ``d``, and ``d`` with the number of its cell, ``_b``."""
+    asked = q.agg(F.count("*"), *[F.count(f) for f in feats]).first()
+    row = d.agg(F.count("*"), *[F.count(f) for f in feats], *[F.stddev_pop(f) for f in feats]).first()
+    n, p = row[0], len(feats)
+    size = max(DONORS_PER_CELL, math.isqrt(n))
+    # a feature that few rows have narrows few distances
+    spread = [(row[1 + p + i] or 0.0) * (row[1 + i] / max(n, 1)) * (asked[1 + i] / max(asked[0], 1)) for i in range(p)]
+    slabs = _slabs([s if math.isfinite(s) else 0.0 for s in spread], math.ceil(n / size))
+    cut = sorted((i for i in range(p) if slabs[i] > 1), key=lambda i: -spread[i])
+    placed = d.withColumn("_m", sum((F.when(col(feats[i]).isNull(), 1 << j).otherwise(0) for j, i in enumerate(cut)), F.lit(0)).cast("long"))
+    path = ["_t", "_m"]
+    for j, i in enumerate(cut):
+        f = feats[i]
+        marks = F.percentile_approx(f, [s / slabs[i] for s in range(1, slabs[i])], 100 * slabs[i])
+        edges = placed.groupBy(*path).agg(F.when(F.count("*") > size, marks).alias("_e"))
+        edges = edges.select(*path, F.array_distinct(F.coalesce("_e", F.array().cast("array<double>"))).alias("_e"))
+        slab = F.coalesce(F.size(F.filter("_e", lambda e: e < F.col(f))), F.lit(0))
+        placed = placed.join(broadcast_if_small(edges), path).withColumn(f"_p{j}", slab.cast("int")).drop("_e")
+        path.append(f"_p{j}")
+    boxes = [x for j, i in enumerate(cut) for x in (F.min(feats[i]).alias(f"lo{j}"), F.max(feats[i]).alias(f"hi{j}"))]
+    cells = placed.groupBy(*path).agg(F.count("*").alias("_rows"), *boxes).toPandas().sort_values(path, ignore_index=True)
+    tree = CellTree(cells, feats, [feats[i] for i in cut], len(cut))
+    numbers = d.sparkSession.createDataFrame(cells[path].assign(_b=np.arange(len(cells))), ", ".join(
+        [f"{c} {'long' if c == '_m' else 'int'}" for c in path] + ["_b int"]))
+    return tree, cut_lineage(placed.join(F.broadcast(numbers), path).drop(*path[1:]))
 
 
 def _visitor(feats: Sequence[str], k: int, pay_type: str, query_id: str):
@@ -119,6 +245,8 @@ def _visitor(feats: Sequence[str], k: int, pay_type: str, query_id: str):
         order = np.argsort(right["_pay"].to_numpy(), kind="stable")
         right = right.iloc[order]
         pay, own = right["_pay"].to_numpy(), right["_self"].to_numpy()
+        names, groups = pd.factorize(pd.concat([left["_g"], right["_g"]]))
+        asked_group, donor_group = names[:len(left)], names[len(left):]
         donor = [right[f].to_numpy(dtype=float) for f in feats]
         ids, keys = left["_q"].to_numpy(), left["_q"].astype(str).to_numpy()
         matrix = [left[f].to_numpy(dtype=float) for f in feats]
@@ -137,6 +265,8 @@ def _visitor(feats: Sequence[str], k: int, pay_type: str, query_id: str):
             with np.errstate(divide="ignore", invalid="ignore"):
                 dist = total * p / seen
             dist[seen == 0] = np.inf
+            if len(groups) > 1:
+                dist[asked_group[start:stop, None] != donor_group[None, :]] = np.inf
             if mask_self:
                 dist[keys[start:stop, None] == own[None, :]] = np.inf
             # everything up to the k-th distance, ties included; donors are in
@@ -154,13 +284,11 @@ def _visitor(feats: Sequence[str], k: int, pay_type: str, query_id: str):
             parts.append(pd.DataFrame({"_q": ids[start:stop][rows[kept]], "d2": near[kept], "pay": pay[cols[kept]]}))
         return pd.concat(parts, ignore_index=True)
 
-    def visit(q: DataFrame, d: DataFrame) -> DataFrame:
-        sizes = chunk_sizes(q, d, ["_g", "_b"], QUERIES_PER_CHUNK, DONORS_PER_CHUNK, only_large=False)
-        left, right = grid(q, d, sizes, ["_g", "_b"], F.xxhash64("_q"),
-                           F.xxhash64("_pay", "_self", "_copy", *feats), how="inner")
-        keys = ["_g", "_b", "_cl", "_cr"]
-        return (left.select(*keys, "_q", *feats).groupBy(*keys)
-                .cogroup(right.select(*keys, "_pay", "_self", *feats).groupBy(*keys))
+    def visit(q: DataFrame, d: DataFrame, sizes: DataFrame) -> DataFrame:
+        left, right = grid(q, d, sizes, ["_b"], F.xxhash64("_q"), F.xxhash64("_pay", "_self", *feats), how="inner")
+        keys = ["_b", "_cl", "_cr"]
+        return (left.select(*keys, "_q", "_g", *feats).groupBy(*keys)
+                .cogroup(right.select(*keys, "_pay", "_self", "_g", *feats).groupBy(*keys))
                 .applyInPandas(top_k, f"_q {query_id}, d2 double, pay {pay_type}"))
 
     return visit

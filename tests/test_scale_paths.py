@@ -112,7 +112,7 @@ def brute_force(q, d, feats, k, pay):
 
 @pytest.mark.parametrize("holes", [False, True])
 def test_nearest_rows_equal_brute_force(spark, monkeypatch, holes):
-    monkeypatch.setattr(knn, "DONORS_PER_BUCKET", 25)
+    monkeypatch.setattr(knn, "DONORS_PER_CELL", 25)
     monkeypatch.setattr(knn, "DONORS_PER_CHUNK", 20)
     monkeypatch.setattr(knn, "QUERIES_PER_CHUNK", 7)
     rng = np.random.default_rng(11)
@@ -134,6 +134,38 @@ def test_nearest_rows_equal_brute_force(spark, monkeypatch, holes):
         assert np.allclose(found[i], want[i])
 
 
+def test_nearest_rows_in_eight_equal_features_read_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "DONORS_PER_CELL", 16)
+    rng = np.random.default_rng(3)
+    names = list("abcdefgh")
+    centres = rng.normal(0, 10, (60, 8))
+    d = pd.DataFrame(np.repeat(centres, 40, axis=0) + rng.normal(0, 0.2, (2400, 8)), columns=names).assign(pay=np.arange(2400.0))
+    q = pd.DataFrame(centres[:50] + rng.normal(0, 0.2, (50, 8)), columns=names).assign(qid=np.arange(50))
+    visits = []
+    got = knn.nearest_rows(spark.createDataFrame(q), spark.createDataFrame(d), names, 5, "qid", "pay", visits=visits)
+    found = {r["qid"]: [(n["d2"], n["pay"]) for n in r["near"]] for r in got.collect()}
+    want = brute_force(q, d, names, 5, "pay")
+    assert all(np.allclose(found[i], want[i]) for i in range(50))
+    cells = 2400 / 49  # the larger of 16 and the root of the donors
+    assert visits[0] == 50 and sum(visits) < 50 * cells / 4
+
+
+def test_nearest_rows_of_many_groups_share_trees(spark, monkeypatch):
+    monkeypatch.setattr(knn, "DONORS_PER_CELL", 20)
+    monkeypatch.setattr(knn, "TREES", 2)
+    rng = np.random.default_rng(4)
+    df = pd.DataFrame({"id": np.arange(600), "g": rng.integers(0, 9, 600).astype(str), "x": rng.normal(size=600).round(2), "y": rng.normal(size=600)})
+    df.loc[::7, "y"] = np.nan
+    frame = spark.createDataFrame(df).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    got = {r["id"]: [n["pay"] for n in r["near"]] for r in knn.nearest_rows(frame, frame, ["x", "y"], 3, "id", "id", "g", "id").collect()}
+    for i, one in df.iterrows():
+        same = df[(df.g == one.g) & (df.id != i)]
+        gaps = np.stack([same.x - one.x, same.y - one.y], axis=1)
+        seen = (~np.isnan(gaps)).sum(1)
+        order = sorted(zip(np.nansum(gaps ** 2, axis=1) * 2 / seen, same.id))
+        assert got[i] == [x for _, x in order[:3]]
+
+
 def test_nearest_rows_leave_out_the_row_itself(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (2, 0.1, "a"), (3, 5.0, "a"), (4, 0.05, "b"), (5, 9.0, "b")], "id long, x double, c string")
     got = knn.nearest_rows(df, df, ["x"], 2, "id", "id", group="c", self_id="id")
