@@ -154,15 +154,31 @@ def _(t):
     return outliers.outliers(t.events_dirty.select("event_id", "value"), "zscore", "remove", ["value"])
 
 
-@check("outlier_iforest_facts", """SELECT true AS planted_gone, true AS share_kept FROM (SELECT count(*) FROM events)""")
-def _(t):
-    """Events with every 500th value made extreme: none of those stays, and about 95 % of the rows do."""
-    planted = F.when(F.col("event_id") % 500 == 7, F.lit(1e5) + F.col("event_id")).otherwise(F.col("value"))
-    data = t.events.select("event_id", planted.alias("value"))
-    kept = outliers.outliers(data, "isolation_forest", "remove", ["value"])
-    share = kept.count() / data.count()
-    return kept.agg((F.count_if(F.col("event_id") % 500 == 7) == 0).alias("planted_gone"),
-                    F.lit(0.93 <= share <= 0.97).alias("share_kept"))
+@check("outlier_iforest_facts", """SELECT count(*) FILTER (event_id % 500 = 7) AS planted_removed,
+  count(*) FILTER (event_id % 500 <> 7 AND value BETWEEN (SELECT quantile_cont(value, 0.25) FROM events) AND (SELECT quantile_cont(value, 0.75) FROM events)) AS middle_kept
+FROM events""")
+def _(t):
+    """Events with every 500th value made extreme: none of those stays, and the middle half of the others does."""
+    is_planted = F.col("event_id") % 500 == 7
+    lo, hi = t.events.agg(F.percentile("value", [0.25, 0.75])).first()[0]
+    data = t.events.select("event_id", F.when(is_planted, F.lit(1e5) + F.col("event_id")).otherwise(F.col("value")).alias("value"))
+    kept = outliers.outliers(data, "isolation_forest", "remove", ["value"]).select(F.lit(1).alias("n"), "*")
+    planted = data.filter(is_planted).select(F.lit(0).alias("n"), "*")
+    return kept.unionByName(planted).agg(
+        (F.count_if(is_planted & (F.col("n") == 0)) - F.count_if(is_planted & (F.col("n") == 1))).alias("planted_removed"),
+        F.count_if(~is_planted & F.col("value").between(lo, hi)).alias("middle_kept"))
+
+
+_DISCRETE = "CASE WHEN l_orderkey % 100 = 7 THEN 1000 ELSE l_quantity END"
+
+
+@check("outlier_iforest_discrete", f"""SELECT CAST(quantity AS DOUBLE) AS quantity, count(*) AS n FROM (SELECT {_DISCRETE} AS quantity FROM lineitem)
+WHERE quantity BETWEEN 6 AND 45 GROUP BY quantity""")
+def _(t):
+    """A column of 50 values with a hundredth of the rows planted far off: all of these go, all inner values stay whole."""
+    data = t.lineitem.select(F.expr(_DISCRETE).cast("double").alias("quantity"))
+    kept = outliers.outliers(data, "isolation_forest", "remove", ["quantity"])
+    return kept.filter("quantity BETWEEN 6 AND 45 OR quantity > 50").groupBy("quantity").agg(F.count("*").alias("n"))
 
 
 @check("outlier_iforest_remove")

@@ -53,17 +53,37 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
+def draw_rows(df: DataFrame, cols: Sequence[str], wanted: int, seed: int = 42) -> np.ndarray:
+    """``wanted`` rows of ``cols`` without nulls (all, if fewer), drawn evenly and the same for any partitioning.
+
+    Equal rows are counted first, so each copy has a key of its own and values come in their
+    shares: a row that is there once has a hash as its key, of ``m`` copies a binomial number
+    falls below the threshold, with that many even keys. The smallest keys win. Only about
+    four times ``wanted`` keys are made, however many copies a value has.
+    """
+    names = [f"_{i}" for i in range(len(cols))]
+    data = df.select(*[col(c).cast("double").alias(n) for c, n in zip(cols, names)]).na.drop()
+    rows = data.count()
+    share = min(1.0, (4 * wanted + 1000) / max(rows, 1))
+    counts = data.groupBy(*names).agg(F.count("*").alias("_m")).withColumn("_h", F.xxhash64(F.lit(seed), *names))
+
+    @F.pandas_udf("array<double>")
+    def keys(copies: pd.Series, hashed: pd.Series) -> pd.Series:
+        out = []
+        for m, h in zip(copies, hashed):
+            rng = np.random.default_rng([seed & 0xFFFFFFFF, int(h) & 0xFFFFFFFFFFFFFFFF])
+            out.append(rng.random(int(rng.binomial(m, share)) if share < 1.0 else int(m)) * share)
+        return pd.Series(out)
+
+    lone = (F.col("_h").bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("_u")
+    once = counts.filter("_m = 1").select(*names, lone).filter(F.col("_u") < share)
+    more = counts.filter("_m > 1").select(*names, F.explode(keys("_m", "_h")).alias("_u"))
+    return once.unionByName(more).orderBy("_u", *names).limit(wanted).drop("_u").toPandas().to_numpy(dtype=float)
+
+
 def fit_forest(df: DataFrame, cols: Sequence[str], trees: int = 100, size: int = 256, seed: int = 42) -> dict:
     """Grow the trees from at most ``trees * size`` rows."""
-    data = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).na.drop()
-    rows, wanted = data.count(), trees * size
-    # rows are drawn by a hash of their values: the same ones whatever the partitions; equal rows are drawn together
-    hashed = data.withColumn("_h", F.xxhash64(F.lit(seed), *data.columns).bitwiseAND((1 << 62) - 1))
-    share = min(1.0, (4 * wanted + 1000) / max(rows, 1))
-    likely = hashed.filter(F.col("_h") <= int(share * ((1 << 62) - 1)))
-    if share < 1.0 and likely.count() < wanted:  # a few values hold most of the rows
-        likely = hashed
-    pool = likely.orderBy("_h", *data.columns).limit(wanted).drop("_h").toPandas().to_numpy(dtype=float)
+    pool = draw_rows(df, cols, trees * size, seed)
     # order of the pool must not depend on how the rows were partitioned
     pool = pool[np.lexsort(pool.T[::-1])]
     rng = np.random.default_rng(seed)

@@ -1,10 +1,10 @@
 """Exact k nearest rows for a large set of queries among a large set of donors.
 
 Comparing all pairs does not scale, and neither does a join that emits them. Donors
-are cut into cells of a k-d tree: the side that is longest in units of distance is
-halved until there are cells enough, and each level cuts at quantiles inside its
-parent. Donors that lack a cut feature form trees of their own. There are about as
-many cells as donors in a cell once a table is large, so both grow with its root.
+are cut into cells of a k-d tree: each node with too many donors is cut at quantiles of
+the feature that spreads widest in it among those that queries have; donors that lack
+the feature form a part of their own. There are about as many cells as donors in a cell
+once a table is large, so both grow with its root.
 
 A query first looks into the nearest cell; the k-th distance found there bounds the
 cells that can hold a nearer donor. The tree, one box per cell, is walked for all
@@ -36,6 +36,8 @@ DONORS_PER_CHUNK = 8_000
 QUERIES_PER_CHUNK = 8_000
 #: Cells of the second round.
 RING = 8
+#: Parts of a node.
+FAN = 16
 #: Groups are dealt to so many trees; rows of another group in a cell are passed over.
 TREES = 1_024
 
@@ -110,20 +112,21 @@ def _best(k: int):
 class CellTree:
     """Boxes of the cells and of the nodes above them, level by level."""
 
-    def __init__(self, cells: pd.DataFrame, feats: Sequence[str], cut: Sequence[str], levels: int):
-        self.feats, self.cut, self.rows = list(feats), list(cut), cells["_rows"].to_numpy()
-        lo = cells[[f"lo{i}" for i in range(len(cut))]].to_numpy(dtype=float)
-        hi = cells[[f"hi{i}" for i in range(len(cut))]].to_numpy(dtype=float)
-        keys = [cells["_t"].to_numpy(), cells["_m"].to_numpy(), *[cells[f"_p{i}"].to_numpy() for i in range(levels)]]
+    def __init__(self, cells: pd.DataFrame, feats: Sequence[str], path: Sequence[str]):
+        self.feats, self.rows = list(feats), cells["_rows"].to_numpy()
+        # a feature that some donor of a cell lacks says nothing about the cell
+        lo = cells[[f"lo{i}" for i in range(len(feats))]].to_numpy(dtype=float)
+        hi = cells[[f"hi{i}" for i in range(len(feats))]].to_numpy(dtype=float)
+        keys = [cells[c].to_numpy() for c in path]
         self.levels = []
-        for depth in range(2, 3 + levels):
+        for depth in range(1, 1 + len(path)):
             new = np.ones(len(cells), bool)
             new[1:] = np.any([k[1:] != k[:-1] for k in keys[:depth]], axis=0)
             starts = np.flatnonzero(new)
             if len(starts):
-                self.levels.append((starts, np.fmin.reduceat(lo, starts), np.fmax.reduceat(hi, starts), np.add.reduceat(self.rows, starts)))
+                self.levels.append((starts, np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts), np.add.reduceat(self.rows, starts)))
         roots = keys[0][self.levels[0][0]] if self.levels else np.zeros(0, int)
-        self.first = {int(t): (int(np.searchsorted(roots, t)), int(np.searchsorted(roots, t, "right"))) for t in np.unique(roots)}
+        self.first = {int(t): (i, i + 1) for i, t in enumerate(roots)}
 
     def chunks(self, spark) -> DataFrame:
         """_b, _nr: into how many chunks the donors of a cell are cut."""
@@ -131,16 +134,15 @@ class CellTree:
             "_b": np.arange(len(self.rows), dtype=np.int32), "_nr": -(-self.rows // DONORS_PER_CHUNK).astype(np.int32)}), "_b int, _nr int")
 
     def _distance(self, x: np.ndarray, known: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
-        """A bound from below of the squared distance of rows ``x`` to the boxes ``node``; infinite if no feature is shared."""
+        """A bound from below of the squared distance of rows ``x`` to the boxes ``node``; infinite for rows without features."""
         _, lo, hi, _ = self.levels[level]
         gap = np.fmax(np.fmax(lo[node] - x, x - hi[node]), 0.0)
-        lacking = (~np.isnan(x) & np.isnan(lo[node])).sum(1)
-        seen = known - lacking
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(seen > 0, np.nansum(gap * gap, axis=1) * len(self.feats) / seen, np.inf)
+            return np.where(known > 0, np.nansum(gap * gap, axis=1) * len(self.feats) / known, np.inf)
 
     def _asked(self, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        x, known = part[self.cut].to_numpy(dtype=float), part[self.feats].notna().sum(axis=1).to_numpy()
+        x = part[self.feats].to_numpy(dtype=float)
+        known = (~np.isnan(x)).sum(1)
         spans = np.array([self.first.get(int(t), (0, 0)) for t in part["_t"]], dtype=int).reshape(-1, 2)
         return x, known, spans[:, 0], spans[:, 1]
 
@@ -199,40 +201,42 @@ class CellTree:
         return at[kept], node[kept]
 
 
-def _slabs(spread: Sequence[float], cells: int) -> list[int]:
-    """Into how many slabs each feature is cut: the longest side is halved until there are ``cells`` cells."""
-    cuts = [1] * len(spread)
-    while math.prod(cuts) < cells and max(spread, default=0.0) > 0:
-        widest = max(range(len(spread)), key=lambda i: (spread[i] / cuts[i], -i))
-        cuts[widest] *= 2
-    return cuts
-
-
 def _tree(q: DataFrame, d: DataFrame, feats: Sequence[str]) -> tuple[CellTree, DataFrame]:
     """The tree of the donors ``d``, and ``d`` with the number of its cell, ``_b``."""
-    asked = q.agg(F.count("*"), *[F.count(f) for f in feats]).first()
-    row = d.agg(F.count("*"), *[F.count(f) for f in feats], *[F.stddev_pop(f) for f in feats]).first()
-    n, p = row[0], len(feats)
+    n = d.count()
     size = max(DONORS_PER_CELL, math.isqrt(n))
     # a feature that few rows have narrows few distances
-    spread = [(row[1 + p + i] or 0.0) * (row[1 + i] / max(n, 1)) * (asked[1 + i] / max(asked[0], 1)) for i in range(p)]
-    slabs = _slabs([s if math.isfinite(s) else 0.0 for s in spread], math.ceil(n / size))
-    cut = sorted((i for i in range(p) if slabs[i] > 1), key=lambda i: -spread[i])
-    placed = d.withColumn("_m", sum((F.when(col(feats[i]).isNull(), 1 << j).otherwise(0) for j, i in enumerate(cut)), F.lit(0)).cast("long"))
-    path = ["_t", "_m"]
-    for j, i in enumerate(cut):
-        f = feats[i]
-        marks = F.percentile_approx(f, [s / slabs[i] for s in range(1, slabs[i])], 100 * slabs[i])
-        edges = placed.groupBy(*path).agg(F.when(F.count("*") > size, marks).alias("_e"))
-        edges = edges.select(*path, F.array_distinct(F.coalesce("_e", F.array().cast("array<double>"))).alias("_e"))
-        slab = F.coalesce(F.size(F.filter("_e", lambda e: e < F.col(f))), F.lit(0))
-        placed = placed.join(broadcast_if_small(edges), path).withColumn(f"_p{j}", slab.cast("int")).drop("_e")
-        path.append(f"_p{j}")
-    boxes = [x for j, i in enumerate(cut) for x in (F.min(feats[i]).alias(f"lo{j}"), F.max(feats[i]).alias(f"hi{j}"))]
-    cells = placed.groupBy(*path).agg(F.count("*").alias("_rows"), *boxes).toPandas().sort_values(path, ignore_index=True)
-    tree = CellTree(cells, feats, [feats[i] for i in cut], len(cut))
-    numbers = d.sparkSession.createDataFrame(cells[path].assign(_b=np.arange(len(cells))), ", ".join(
-        [f"{c} {'long' if c == '_m' else 'int'}" for c in path] + ["_b int"]))
+    asked = F.broadcast(q.groupBy("_t").agg(*[(F.count(f) / F.count("*")).alias(f"_a{i}") for i, f in enumerate(feats)]))
+    placed, path = d, ["_t"]
+    marks = [s / FAN for s in range(1, FAN)]
+    whole = [x for i, f in enumerate(feats) for x in (F.when(F.count(f) == F.count("*"), F.min(f)).alias(f"lo{i}"),
+                                                      F.when(F.count(f) == F.count("*"), F.max(f)).alias(f"hi{i}"))]
+    likely, cells = n, None  # rows of the largest node, as far as quantiles tell
+    while cells is None:
+        parts = placed.groupBy(*path).agg(
+            F.count("*").alias("_rows"), *[x for i, f in enumerate(feats) for x in (
+                (F.stddev_pop(f) * F.count(f) / F.count("*")).alias(f"_s{i}"), F.percentile_approx(f, marks, 100 * FAN).alias(f"_e{i}"),
+                F.max(f).alias(f"_x{i}"))]).filter(F.col("_rows") > 2 * size).join(asked, "_t")
+        # every mark, or fewer if few parts are enough; a mark at the top cuts nothing off
+        step = F.greatest(F.floor(F.lit(FAN) * size / F.col("_rows")), F.lit(1))
+        useful = lambda top: lambda e, n: (e < top) & ((n + 1) % step == 0)
+        ways = [F.struct((F.col(f"_s{i}") * F.col(f"_a{i}")).alias("spread"), F.lit(-i).alias("_"),
+                         F.array_distinct(F.filter(f"_e{i}", useful(F.col(f"_x{i}")))).alias("cuts")) for i in range(len(feats))]
+        best = F.array_max(F.filter(F.array(*ways), lambda w: (w["spread"] > 0) & (F.size(w["cuts"]) > 0)))
+        edges = cut_lineage(parts.select(*path, best.alias("_w")).filter("_w IS NOT NULL").select(*path, F.negative("_w._").alias("_k"), "_w.cuts"))
+        last = edges.isEmpty()
+        if not last:
+            x = F.element_at(F.array(*feats), F.coalesce("_k", F.lit(0)) + 1)
+            part = F.when(F.col("_k").isNull(), 0).when(x.isNull(), -1).otherwise(F.size(F.filter("cuts", lambda e: e < x)))
+            placed = placed.join(broadcast_if_small(edges, cut=False), path, "left").withColumn(f"_p{len(path)}", part).drop("_k", "cuts")
+            path.append(f"_p{len(path)}")
+            likely = likely * 1.5 / FAN
+        if last or likely <= 2 * size:
+            cells = placed.groupBy(*path).agg(F.count("*").alias("_rows"), *whole).toPandas().sort_values(path, ignore_index=True)
+            if not last and len(cells) and cells["_rows"].max() > 4 * size:
+                cells = None  # equal values are in the way: go on
+    tree = CellTree(cells, feats, path)
+    numbers = d.sparkSession.createDataFrame(cells[path].assign(_b=np.arange(len(cells))), ", ".join(f"{c} int" for c in [*path, "_b"]))
     return tree, cut_lineage(placed.join(F.broadcast(numbers), path).drop(*path[1:]))
 
 

@@ -79,11 +79,12 @@ def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
     return df.repartition(cores, *(keys or df.columns)) if rows <= SPREAD_ROWS else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = 500_000, cut: bool = True) -> DataFrame:
     """Store a side table and mark it for broadcast if it has at most ``rows`` rows.
 
     Meant for narrow tables of counts and keys; a larger one stays an ordinary
-    join side, which adaptive execution may split.
+    join side, which adaptive execution may split. ``cut=False`` takes a table
+    that is stored already.
     """
-    stored = cut_lineage(df)
+    stored = cut_lineage(df) if cut else df
     return F.broadcast(stored) if stored.count() <= rows else stored

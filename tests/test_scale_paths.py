@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tableprep.operators import balance, encode, fuzzy, impute, knn, lookup, merge, ordered, profile, quantiles
+from tableprep.operators import balance, encode, forest, fuzzy, impute, knn, lookup, merge, ordered, profile, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -251,3 +251,29 @@ def test_balance_is_repeatable(spark):
         a = balance.balance(df, "c", method, "id")
         b = balance.balance(df.repartition(5), "c", method, "id")
         assert a.count() == size and a.exceptAll(b).count() == 0
+
+
+def test_forest_rows_come_in_their_shares_for_any_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(1, 51, 60_000).astype(float), np.full(600, 1000.0)])
+    pools, flags = [], []
+    for parts in (1, 4, 16):
+        df = spark.createDataFrame(pd.DataFrame({"x": rng.permutation(x)})).repartition(parts)
+        pools.append(np.sort(forest.draw_rows(df, ["x"], 25_600)[:, 0]))
+        found = forest.isolation_flags(df, ["x"], 0.01).filter("_outlier").groupBy("x").count().collect()
+        flags.append(sorted((r["x"], r["count"]) for r in found))
+    assert all(np.array_equal(pools[0], p) for p in pools) and flags[0] == flags[1] == flags[2]
+    values, counts = np.unique(pools[0], return_counts=True)
+    assert len(pools[0]) == 25_600 and len(values) == 51
+    want = np.array([np.mean(x == v) for v in values]) * 25_600
+    assert np.all(np.abs(counts - want) < 5 * np.sqrt(want))
+    # the quantile of the scores lies among ordinary rows, so few of them can go besides the planted ones
+    assert dict(flags[0]).get(1000.0, 600) in (0, 600) and sum(n for v, n in flags[0] if v < 1000) < 0.05 * len(x)
+
+
+def test_forest_rows_of_few_and_of_equal_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0)] * 50 + [(None, 1.0), (3.0, 4.0)], "a double, b double")
+    assert sorted(map(tuple, forest.draw_rows(df, ["a", "b"], 1000))) == [(1.0, 2.0)] * 50 + [(3.0, 4.0)]
+    many = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 7.5).otherwise(F.col("id") % 90_000).alias("a"))
+    pool = forest.draw_rows(many, ["a"], 6_000)[:, 0]
+    assert len(pool) == 6_000 and abs(np.mean(pool == 7.5) - 1 / 3) < 0.03
