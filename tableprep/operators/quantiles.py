@@ -4,8 +4,11 @@ Spark's ``percentile`` keeps every distinct value of a group in one buffer, so
 it is used only up to a checked number of cells. Above that a mergeable sketch
 first brackets each wanted rank between two values; then one pass counts rows,
 keeping values apart only inside the brackets, which hold a few ten-thousandths
-of the table, and the ranks are read off the running counts. The sketch's error
-bound makes the result exact; a rank outside its bracket would raise an error.
+of the table. A bracket with more than ``BRACKET`` values is narrowed by rank
+selection: its values are cut into ``PARTS``, the part that holds the rank is kept,
+and so on. Ranks are then read off side by side, each from its own few values; no task
+sees those of a whole column. The sketch's error bound makes the result exact; a
+rank outside its bracket would raise an error.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, spread
+from ..session import broadcast_if_small, cut_lineage, spread
 from .roles import col, melt
 
 DIRECT_CELLS = 500_000
 BROADCAST_GROUPS = 100_000
+#: Different values from which one rank is read off, and parts a larger bracket is cut into.
+BRACKET = 50_000
+PARTS = 64
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -71,27 +77,63 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     near = data.join(F.broadcast(sketch) if known else broadcast_if_small(sketch), same)
     v, edges = F.col("_v"), [F.col(f"_e{i}") for i in range(len(bounds))]
     inside = reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi in zip(edges[::2], edges[1::2])])
-    # place among the edges, then the value itself inside a bracket: a total order
-    # in which all values of a gap share one entry that sorts before the next edge
+    # place among the edges tells the gaps between brackets apart; all values of a gap share one entry
     place = sum(((v > e).cast("int") for e in edges), F.lit(0))
-    counts = (near.select(*[col(b) for b in by], "_n", place.alias("_p"), F.when(inside, v).alias("_v"))
-              .groupBy(*[col(b) for b in by], "_n", "_p", "_v").agg(F.count("*").alias("_c")))
-    run = W.partitionBy(*[col(b) for b in by]).orderBy("_p", F.col("_v").asc_nulls_first())
-    counts = counts.withColumn("_hi", F.sum("_c").over(run)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("_lo") <= rank) & (rank < F.col("_hi"))
-        return F.max(F.when(hit, F.coalesce("_v", F.raise_error(F.lit("rank outside its bracket")).cast("double"))))
-
-    picks = []
+    names = [f"_k{i}" for i in range(len(by))]
+    counts = (near.select(*[col(b).alias(k) for b, k in zip(by, names)], "_n", *edges, place.alias("_p"), v.alias("_x"), F.when(inside, v).alias("_v"))
+              .groupBy(*names, "_n", *edges, "_p", "_v").agg(F.count("*").alias("_c"), F.min("_x").alias("_first")))
+    # values between two edges of a bracket are at most this many, by the sketch's error
+    bounded = rows * 8 / accuracy <= BRACKET
+    if not bounded:
+        counts = cut_lineage(counts)
+    below = counts.groupBy(*names, "_n").agg(*[
+        F.sum(F.when(F.col("_first") < lo, F.col("_c")).otherwise(0)).alias(f"_b{i}") for i, lo in enumerate(edges[::2])])
+    ranks = []
     for i, p in enumerate(probs):
         spot = F.lit(p) * (F.col("_n") - 1)
-        picks += [at(F.floor(spot)).alias(f"_a{i}"), at(F.ceil(spot)).alias(f"_z{i}")]
-    found = counts.groupBy(*[col(b) for b in by], "_n").agg(*picks)
+        ranks += [F.struct(F.lit(2 * i + j).alias("_j"), (at - F.col(f"_b{i}")).alias("_rank")) for j, at in enumerate((F.floor(spot), F.ceil(spot)))]
+    ranks = below.select(*[F.col(k).alias("w" + k) for k in names], "_n", F.inline(F.array(*ranks)))
+    holds = [F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(edges[::2], edges[1::2])) for _ in (0, 1)]
+    values = counts.filter("_v IS NOT NULL").select(*names, "_v", "_c", F.posexplode(F.array(*holds)).alias("_j", "_in")).filter("_in IS NOT NULL").drop("_in")
+    picked = _at_rank(values, ranks, names, bounded)
+    got = picked.groupBy(*names).agg(*[F.max(F.when(F.col("_j") == j, F.col("_v"))).alias(f"_q{j}") for j in range(2 * len(probs))])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("s" + k)) for k in names])
+    total = below.select(*[F.col(k).alias("s" + k) for k in names], "_n")
+    found = total.join(got, same, "left")
     out = []
     for i, p in enumerate(probs):
         part = F.lit(p) * (F.col("_n") - 1)
         part = part - F.floor(part)
-        a, z = F.col(f"_a{i}"), F.col(f"_z{i}")
+        a, z = [F.coalesce(f"_q{j}", F.raise_error(F.lit("rank outside its bracket")).cast("double")) for j in (2 * i, 2 * i + 1)]
         out.append(F.when(a == z, a).otherwise(a * (1 - part) + z * part))
-    return found.select(*[col(b) for b in by], F.col("_n").alias("n"), F.array(*out).alias("q"))
+    return found.select(*[F.col("s" + k).alias(b) for k, b in zip(names, by)], F.col("_n").alias("n"), F.array(*out).alias("q"))
+
+
+def _at_rank(values: DataFrame, ranks: DataFrame, names: Sequence[str], bounded: bool) -> DataFrame:
+    """names, _j, _v: of the different values (names, _j, _v, count _c) the one at ``_rank`` (from 0, copies counted)."""
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("w" + k)) for k in names] + [F.col("_j") == F.col("wj")])
+    wanted = ranks.withColumnRenamed("_j", "wj").drop("_n")
+    while not bounded:
+        values = cut_lineage(values)
+        sizes = values.groupBy(*names, "_j").agg(F.count("*").alias("_many"), F.percentile_approx(
+            "_v", [s / PARTS for s in range(1, PARTS)], 100 * PARTS).alias("_cuts"))
+        if (sizes.agg(F.max("_many")).first()[0] or 0) <= BRACKET:
+            break
+        wanted = cut_lineage(wanted)
+        cut = sizes.select(*[F.col(k).alias("c" + k) for k in names], F.col("_j").alias("cj"), F.when(
+            F.col("_many") > BRACKET, F.array_distinct("_cuts")).otherwise(F.array().cast("array<double>")).alias("_cuts"))
+        here = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("c" + k)) for k in names] + [F.col("_j") == F.col("cj")])
+        parted = values.join(broadcast_if_small(cut), here).withColumn("_part", F.size(F.filter("_cuts", lambda e: e < F.col("_v")))) \
+            .select(*names, "_j", "_v", "_c", "_part")
+        parted = cut_lineage(parted)
+        held = parted.groupBy(*names, "_j", "_part").agg(F.sum("_c").alias("_sum"))
+        run = W.partitionBy(*names, "_j").orderBy("_part")  # at most PARTS rows
+        held = held.withColumn("_before", F.sum("_sum").over(run) - F.col("_sum"))
+        chosen = held.join(wanted, same).filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_sum"))) \
+            .select(*["w" + k for k in names], "wj", F.col("_part").alias("_one"), (F.col("_rank") - F.col("_before")).alias("_rank"))
+        chosen = cut_lineage(chosen)
+        values = parted.join(broadcast_if_small(chosen.drop("_rank"), cut=False), same & (F.col("_part") == F.col("_one"))).select(*names, "_j", "_v", "_c")
+        wanted = chosen.drop("_one")
+    run = W.partitionBy(*names, "_j").orderBy("_v")  # at most BRACKET values
+    at = values.withColumn("_hi", F.sum("_c").over(run)).join(wanted, same)
+    return at.filter((F.col("_hi") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_hi"))).select(*names, "_j", "_v")

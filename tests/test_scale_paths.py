@@ -253,6 +253,23 @@ def test_balance_is_repeatable(spark):
         assert a.count() == size and a.exceptAll(b).count() == 0
 
 
+def test_quantiles_of_a_crowded_bracket_are_selected(spark, monkeypatch):
+    """A million values within one bracket, none of a column in one window."""
+    x = np.random.default_rng(9).permutation(1_000_000) / 7.0
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(8)
+    monkeypatch.setattr(quantiles, "BRACKET", 300)
+    held = []
+    real = quantiles._at_rank
+    monkeypatch.setattr(quantiles, "_at_rank", lambda values, *rest: held.append(values) or real(values, *rest))
+    got = quantiles.quantile_table(df, ["x"], [0.1, 0.5, 0.999], direct_cells=0)["x"]
+    assert np.allclose(got, np.quantile(x, [0.1, 0.5, 0.999]), rtol=1e-12)
+    # all values in one bracket: rank selection alone
+    values = df.select(F.lit("x").alias("_k0"), F.lit(0).alias("_j"), F.col("x").alias("_v"), F.lit(2).cast("long").alias("_c"))
+    for rank in (0, 1, 777_777, 1_999_999):
+        ranks = spark.createDataFrame([("x", 1, 0, rank)], "w_k0 string, _n long, _j int, _rank long")
+        assert [r["_v"] for r in real(values, ranks, ["_k0"], False).collect()] == [np.sort(x)[rank // 2]]
+
+
 def test_forest_rows_come_in_their_shares_for_any_partitions(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.integers(1, 51, 60_000).astype(float), np.full(600, 1000.0)])
