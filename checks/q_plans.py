@@ -162,8 +162,8 @@ _REPORT = union([_report_sql("events_dup", DIRTY, 4, _note("events_dup", DIRTY))
                  _report_sql("region", ["r_regionkey", "r_name"], 2, _note("region", ["r_regionkey", "r_name"]))])
 
 
-def _report(t):
-    return report.report_table({"events_dup": t.events_dup, "customer_dirty": t.customer_dirty, "region": t.region})
+def _report(t, sizes=None):
+    return report.report_table({"events_dup": t.events_dup, "customer_dirty": t.customer_dirty, "region": t.region}, sizes)
 
 
 @check("report_table", _REPORT)
@@ -171,8 +171,10 @@ def _(t):
     return _report(t).drop("bytes")
 
 
-@check("report_lines", f"""SELECT name AS key, '### ' || name || chr(10) || '- **Shape:** ' || format('{{:,}}', rows) || ' rows x ' || columns || ' columns' || chr(10) ||
-  '- **Data Types:** ' || types || ' unique types' || chr(10) || '- **Data Quality Score:** ' || printf('%.1f', score) || '/100' || chr(10) ||
-  '- **Missing Values:** ' || format('{{:,}}', missing) || chr(10) || '- **Duplicate Rows:** ' || format('{{:,}}', duplicates) AS text FROM ({_REPORT})""")
+@check("report_lines", f"""SELECT '' AS key, '# 3 dataset(s), 2024-05-01' AS text UNION ALL
+SELECT name AS key, '## ' || name || ', score ' || printf('%.1f', score) || chr(10) ||
+  format('{{:,}}', rows) || ' rows in ' || columns || ' columns of ' || types || ' type(s)' || CASE WHEN name = 'region' THEN ', 2 KB' ELSE '' END || chr(10) ||
+  format('{{:,}}', duplicates) || ' repeated rows, ' || format('{{:,}}', missing) || ' empty cells' ||
+  CASE WHEN missing_columns <> '' THEN ' (' || missing_columns || ')' ELSE '' END AS text FROM ({_REPORT})""")
 def _(t):
-    return report.report_lines(_report(t)).drop("part")
+    return report.report_lines(_report(t, {"region": 2048}), made="2024-05-01").drop("part")

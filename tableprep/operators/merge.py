@@ -1,10 +1,10 @@
 """Merges of two tables and concatenation of many.
 
 Missing keys match each other. Spark picks the join: adaptive execution
-broadcasts a side that turns out small. In tables large enough to have them,
-keys with very many rows are found first and joined apart, each cut into a grid
-of chunks, because adaptive execution cannot split every side of every kind of
-outer join.
+broadcasts a side that turns out small. Keys with very many rows are found first, by
+a summary of the most frequent ones, and salted, because adaptive execution cannot
+split every side of every kind of outer join. Each side is read twice at most: its
+keys for the summary, and its rows for the join.
 """
 
 from __future__ import annotations
@@ -14,13 +14,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage
 from .ordered import with_position
 from .roles import col
 from .skew import row_hash
 
 HOT_ROWS = 1_000_000
+#: Chunks that the largest keys are cut into; pairs of key and chunk that are counted, and reported.
+CHUNKS = 64
+TRACKED_PAIRS = 200_000
+TOP_PAIRS = 20_000
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -134,49 +138,78 @@ def _same(lk: Sequence[str], rk: Sequence[str]) -> Column:
 
 def _equi_join(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str], how: str,
                split_hot: bool = True) -> DataFrame:
-    """Null-safe join on key columns of different names; keys above HOT_ROWS rows go through a grid."""
-    hot = _hot_keys(l_in, r_in, lk, rk) if split_hot else None
+    """Null-safe join on key columns of different names; keys above HOT_ROWS rows are salted.
+
+    Rows of such a key lie in chunks by a hash of the row, and meet every chunk of the other side.
+    Each chunk was seen to hold rows, so a row of an outer join finds its partners in all
+    cells it goes to, or, where the other side is not cut, goes to one cell: one join of
+    the wanted kind does for all keys. Equal rows stay in one chunk.
+    """
+    kinds = _common_types(l_in, r_in, lk, rk)
+    hot = _hot_keys(l_in, r_in, lk, rk, kinds) if split_hot else None
     if hot is None:
         return l_in.join(r_in, _same(lk, rk), how)
-    names = [f"h{i}" for i in range(len(lk))]
-    l_hot = l_in.join(hot, _same(lk, names))
-    r_hot = r_in.join(hot, _same(rk, names))
-    parts = [l_in.join(hot, _same(lk, names), "left_anti").join(r_in.join(hot, _same(rk, names), "left_anti"), _same(lk, rk), how)]
-    cells = []
-    for side, own, other, n, m, kept in ((l_hot, "cl", "cr", "nl", "nr", l_in), (r_hot, "cr", "cl", "nr", "nl", r_in)):
-        met = side.filter("nl > 0 AND nr > 0")
-        chunks = lambda c: F.ceil(F.col(c) / HOT_ROWS)
-        cells.append(met.select(*kept.columns, "key", F.pmod(row_hash(kept), chunks(n)).cast("int").alias(own),
-                                F.explode(F.sequence(F.lit(0), chunks(m).cast("int") - 1)).alias(other)))
-    parts.append(cells[0].join(cells[1], ["key", "cl", "cr"]).select(*l_in.columns, *r_in.columns))
-    if how in ("left", "outer"):
-        parts.append(l_hot.filter("nr = 0").select(*l_in.columns))
-    if how in ("right", "outer"):
-        parts.append(r_hot.filter("nl = 0").select(*r_in.columns))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def _hot_keys(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str]) -> DataFrame | None:
-    """Keys with more than HOT_ROWS rows on a side, with their counts; None if there are none.
-
-    There are at most (rows of both tables) / HOT_ROWS of them.
+
+    def salted(df: DataFrame, keys: Sequence[str], own: str, other: str, cells: tuple[str, str]) -> DataFrame:
+        h1, h2 = _key_hashes(keys, kinds)
+        met = df.join(F.broadcast(hot), (h1 == F.col("h1")) & (h2 == F.col("h2")), "left")
+        one = F.coalesce(F.col(own), F.array(F.lit(0)))
+        chunk = F.pmod(row_hash(df), F.coalesce(F.col(f"n_{own}"), F.lit(1))).cast("int")
+        return met.select(*df.columns, F.when(F.array_contains(one, chunk), chunk).otherwise(F.get(one, F.lit(0))).alias(cells[0]),
+                          F.explode(F.coalesce(F.col(other), F.array(F.lit(0)))).alias(cells[1]))
+
+    left = salted(l_in, lk, "left_chunks", "right_chunks", ("la", "lb"))
+    right = salted(r_in, rk, "right_chunks", "left_chunks", ("rb", "ra"))
+    return left.join(right, _same([*lk, "la", "lb"], [*rk, "ra", "rb"]), how).select(*l_in.columns, *r_in.columns)
+
+
+def _common_types(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str]) -> list[str | None]:
+    """The type in which values of a pair of keys are hashed alike; None where both have one type."""
+    out: list[str | None] = []
+    for a, b in zip(lk, rk):
+        pair = [l_in.schema[a].dataType, r_in.schema[b].dataType]
+        whole, numbers = (all(isinstance(t, kind) for t in pair) for kind in (T.IntegralType, T.NumericType))
+        out.append(None if pair[0] == pair[1] else "bigint" if whole else "double" if numbers else "string")
+    return out
+
+
+def _key_hashes(keys: Sequence[str], kinds: Sequence[str | None]) -> tuple[Column, Column]:
+    """128 bits that stand for the values of a key."""
+    values = [F.col(k) if t is None else F.col(k).cast(t) for k, t in zip(keys, kinds)]
+    return F.xxhash64(*values), F.xxhash64(F.lit(1), *values)
+
+
+def _heavy(df: DataFrame, keys: Sequence[str], kinds: Sequence[str | None]) -> dict[tuple[int, int], tuple[int, list[int]]]:
+    """Keys with more than HOT_ROWS rows: into how many chunks they are cut, and the chunks seen to hold rows.
+
+    One narrow scan with a mergeable summary of the most frequent pairs of key and chunk, of fixed
+    size: beyond 10^10 rows it finds the keys that hold about a thousandth of the table.
     """
-    if max(l_in.count(), r_in.count()) <= HOT_ROWS:
-        return None
-    names = [f"h{i}" for i in range(len(lk))]
-    count = lambda df, keys, n: df.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, names)]).agg(F.count("*").alias(n))
-    a, b = count(l_in, lk, "nl"), count(r_in, rk, "nr")
-    hot = cut_lineage(a.filter(F.col("nl") > HOT_ROWS).select(*names).unionByName(
-        b.filter(F.col("nr") > HOT_ROWS).select(*names)).distinct())
-    if hot.isEmpty():
+    h1, h2 = _key_hashes(keys, kinds)
+    item = F.concat_ws(":", h1, h2, F.pmod(row_hash(df), F.lit(CHUNKS)))
+    found = df.select(item.alias("item")).agg(F.expr(f"approx_top_k(item, {TOP_PAIRS}, {TRACKED_PAIRS})")).first()[0]
+    by_key: dict[tuple[int, int], dict[int, int]] = {}
+    for pair in found or []:
+        a, b, chunk = map(int, pair["item"].split(":"))
+        by_key.setdefault((a, b), {})[chunk] = pair["count"]
+    out = {}
+    for key, chunks in by_key.items():
+        rows, n = sum(chunks.values()), 1
+        while n < CHUNKS and n * HOT_ROWS < rows:
+            n *= 2
+        if n > 1:
+            out[key] = n, sorted({c % n for c in chunks})
+    return out
+
+
+def _hot_keys(l_in: DataFrame, r_in: DataFrame, lk: Sequence[str], rk: Sequence[str], kinds: Sequence[str | None]) -> DataFrame | None:
+    """h1, h2 and the chunks of either side for keys with more than HOT_ROWS rows on a side; None if there are none."""
+    left, right = _heavy(l_in, lk, kinds), _heavy(r_in, rk, kinds)
+    if not left and not right:
         return None
-    few = hot.select(*[F.col(h).alias(f"f{i}") for i, h in enumerate(names)])
-    wanted = F.broadcast(few)
-    match = _same(names, [f"f{i}" for i in range(len(names))])
-    stacked = (a.join(wanted, match, "left_semi").withColumn("nr", F.lit(0).cast("long"))
-               .unionByName(b.join(wanted, match, "left_semi").withColumn("nl", F.lit(0).cast("long"))))
-    sizes = stacked.groupBy(*names).agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr"))
-    return F.broadcast(cut_lineage(sizes.withColumn("key", F.monotonically_increasing_id())))
+    rows = [(*key, *left.get(key, (None, None)), *right.get(key, (None, None))) for key in {*left, *right}]
+    return l_in.sparkSession.createDataFrame(
+        rows, "h1 long, h2 long, n_left_chunks int, left_chunks array<int>, n_right_chunks int, right_chunks array<int>")
 
 
 def merge_positional(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str],

@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,20 +43,100 @@ def long_form(df: DataFrame, cols: Sequence[str], dtype: str = "string") -> Data
     return melt(df.select(*[col(c).cast(dtype).alias(c) for c in cols]), cols)
 
 
-def shape(df: DataFrame) -> DataFrame:
+class Facts:
+    """Aggregates of one table: what was asked for is computed together, in one scan, when the first answer is read.
+
+    Operators name what they need with ``ask``; those that share an instance share the scan,
+    and an aggregate asked for twice is computed once. Answers are a few numbers per column.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df, self._open, self._known, self.scans = df, {}, {}, 0
+
+    def ask(self, what: str, column: str, *args) -> "Facts":
+        """Register ``what`` (rows, missing, bytes, or one of ``MOMENTS``) of a column."""
+        if (what, column) not in self._known:
+            self._open[what, column] = _EXPRESSIONS[what](self.df, column)
+        return self
+
+    def ask_rows(self) -> "Facts":
+        return self.ask("rows", "")
+
+    def ask_missing(self) -> "Facts":
+        for c in self.df.columns:
+            self.ask("missing", c)
+        return self.ask_rows()
+
+    def ask_moments(self, cols: Sequence[str]) -> "Facts":
+        for c in cols:
+            for what in MOMENTS:
+                self.ask(what, c)
+        return self.ask_rows()
+
+    def ask_bytes(self) -> "Facts":
+        for c in self.df.columns:
+            self.ask("bytes", c)
+        return self
+
+    def __getitem__(self, key: tuple[str, str]):
+        if key not in self._known:
+            names = list(self._open)
+            row = self.df.agg(*[self._open[n].alias(f"f{i}") for i, n in enumerate(names)]).first()
+            self._known.update(zip(names, row))
+            self._open, self.scans = {}, self.scans + 1
+        return self._known[key]
+
+    @property
+    def rows(self) -> int:
+        return self["rows", ""]
+
+
+MOMENTS = ("count", "mean", "std", "pstd", "min", "max")
+_WIDTH = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
+
+def _bytes(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.sum(F.octet_length(col(name))), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.sum(F.size(col(name)).cast("long") * _WIDTH.get(type(kind.elementType), 8)), F.lit(0)).cast("long")
+    return F.count(col(name)) * _WIDTH.get(type(kind), 8)
+
+
+_EXPRESSIONS = {
+    "rows": lambda df, c: F.count("*"),
+    "missing": lambda df, c: F.count(F.when(col(c).isNull(), 1)),
+    "bytes": _bytes,
+    "count": lambda df, c: F.count(col(c).cast("double")),
+    "mean": lambda df, c: F.avg(col(c).cast("double")),
+    "std": lambda df, c: F.stddev_samp(col(c).cast("double")),
+    "pstd": lambda df, c: F.stddev_pop(col(c).cast("double")),
+    "min": lambda df, c: F.min(col(c).cast("double")),
+    "max": lambda df, c: F.max(col(c).cast("double")),
+}
+
+
+def shape(df: DataFrame, facts: Facts | None = None) -> DataFrame:
+    if facts is not None:
+        return _small(df, [(facts.ask_rows().rows, len(df.columns))], "rows long, columns int")
     return df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns)))
 
 
-def missing_counts(df: DataFrame, digits: int | None = None) -> DataFrame:
+def missing_counts(df: DataFrame, digits: int | None = None, facts: Facts | None = None) -> DataFrame:
     """column, missing, missing_pct."""
     names = df.columns
-    one = df.agg(F.count("*").alias("_n"),
-                 *[F.count(F.when(col(c).isNull(), 1)).alias(c) for c in names])
-    pct = F.col("missing") / F.col("_n") * 100
+    if facts is not None:
+        n = facts.ask_missing().rows
+        found = _small(df, [(n, c, facts["missing", c]) for c in names], "_n long, column string, missing long")
+    else:
+        one = df.agg(F.count("*").alias("_n"),
+                     *[F.count(F.when(col(c).isNull(), 1)).alias(c) for c in names])
+        found = melt(one, names, "column", "missing", ["_n"])
+    pct = F.try_divide("missing", "_n") * 100
     if digits is not None:
         pct = F.round(pct, digits)
-    return (melt(one, names, "column", "missing", ["_n"])
-            .select("column", "missing", pct.alias("missing_pct")))
+    return found.select("column", "missing", pct.alias("missing_pct"))
 
 
 def missing_total(df: DataFrame) -> DataFrame:
@@ -68,42 +148,24 @@ def missing_chart(df: DataFrame) -> DataFrame:
     return missing_counts(df).filter("missing > 0").select("column", "missing").orderBy("missing", "column")
 
 
-_WIDTH = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
-
-
-def memory_estimate(df: DataFrame) -> DataFrame:
+def memory_estimate(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Bytes per column: text length, or fixed width times filled rows."""
-    sizes = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            size = F.coalesce(F.sum(F.octet_length(col(f.name))), F.lit(0))
-        elif isinstance(f.dataType, T.ArrayType):
-            width = _WIDTH.get(type(f.dataType.elementType), 8)
-            size = F.coalesce(F.sum(F.size(col(f.name)).cast("long") * width), F.lit(0))
-        else:
-            size = F.count(col(f.name)) * _WIDTH.get(type(f.dataType), 8)
-        sizes.append(size.cast("long").alias(f.name))
-    return melt(df.agg(*sizes), df.columns, "column", "bytes")
+    if facts is not None:
+        facts.ask_bytes()
+        return _small(df, [(c, facts["bytes", c]) for c in df.columns], "column string, bytes long")
+    return melt(df.agg(*[_bytes(df, c).alias(c) for c in df.columns]), df.columns, "column", "bytes")
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
+def moments(df: DataFrame, cols: Sequence[str], facts: Facts | None = None) -> dict[str, dict]:
     """count, mean, std (n-1), pstd, min, max and rows, per column, in one pass."""
-    aggs = [F.count("*")]
-    for c in cols:
-        v = col(c).cast("double")
-        aggs += [F.count(v), F.avg(v), F.stddev_samp(v), F.stddev_pop(v), F.min(v), F.max(v)]
-    row = df.agg(*[a.alias(f"m{i}") for i, a in enumerate(aggs)]).first()
-    keys = ["count", "mean", "std", "pstd", "min", "max"]
-    out = {c: dict(zip(keys, row[1 + 6 * i:7 + 6 * i])) for i, c in enumerate(cols)}
-    for stats in out.values():
-        stats["rows"] = row[0]
-    return out
+    facts = (Facts(df) if facts is None else facts).ask_moments(cols)
+    return {c: {**{m: facts[m, c] for m in MOMENTS}, "rows": facts.rows} for c in cols}
 
 
-def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> dict[str, dict]:
+def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True, facts: Facts | None = None) -> dict[str, dict]:
     """Moments and quartiles (``q25``, ``q50``, ``q75``) per column."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    stats = moments(df, cols)
+    stats = moments(df, cols, facts)
     rows = stats[cols[0]]["rows"] if cols else 0
     for c, q in quantile_table(df, cols, [0.25, 0.5, 0.75], rows=rows, exact=exact).items():
         stats[c].update(zip(("q25", "q50", "q75"), q))
@@ -151,20 +213,21 @@ def modes(df: DataFrame, cols: Sequence[str], dtype: str = "string") -> dict[str
 def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
     """Numeric summary, and unique/top/freq for text columns."""
     text = categorical_columns(df)
-    nums = describe_numeric(df, exact=exact)
+    facts = Facts(df).ask_missing().ask_moments(numeric_columns(df))
+    nums = describe_numeric(df, stats=numeric_stats(df, exact=exact, facts=facts))
     if not text:
         return nums.select("*", F.lit(None).cast("long").alias("unique"),
                            F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"))
-    filled = frequencies(df, text).groupBy("column").agg(F.sum("n").alias("count"))
-    tops = _top(frequencies(df, text)).join(filled, "column")
+    filled = _small(df, [(c, facts.rows - facts["missing", c]) for c in text], "column string, count long")
+    tops = _top(frequencies(df, text)).join(F.broadcast(filled), "column")
     return nums.unionByName(tops, allowMissingColumns=True)
 
 
 def snapshot(df: DataFrame) -> DataFrame:
     """Compact facts per column: type, missing %, rounded moments, cardinality."""
-    facts = moments(df, numeric_columns(df))
-    base = missing_counts(df, 1).select("column", "missing_pct")
-    nums = _small(df, [(c, *(s[k] for k in ("mean", "std", "min", "max"))) for c, s in facts.items()],
+    facts = Facts(df).ask_missing().ask_moments(numeric_columns(df))
+    base = missing_counts(df, 1, facts).select("column", "missing_pct")
+    nums = _small(df, [(c, *(s[k] for k in ("mean", "std", "min", "max"))) for c, s in moments(df, numeric_columns(df), facts).items()],
                   "column string, mean double, std double, min double, max double")
     nums = nums.select("column", *[F.round(m, 2).alias(m) for m in ("mean", "std", "min", "max")])
     text = categorical_columns(df, booleans=False)
@@ -290,10 +353,11 @@ def pair_sums(df: DataFrame, cols: Sequence[str], centre: Sequence[float]) -> np
     return out.reshape(4, p, p)
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = None,
+                       facts: Facts | None = None) -> DataFrame:
     """x, y, r for all ordered pairs; nulls are left out pair by pair."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    stats = moments(df, cols)
+    stats = moments(df, cols, facts)
     n, s, ss, sp = pair_sums(df, cols, [stats[c]["mean"] or 0.0 for c in cols])
     with np.errstate(divide="ignore", invalid="ignore"):
         var = ss - s * s / n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import duplicate_rows, missing_counts, missing_total, nunique
+from .profile import Facts, duplicate_rows, missing_counts, nunique
 from .roles import categorical_columns, col, melt
 from .skew import beside
 
@@ -43,16 +43,14 @@ def quality_issues(df: DataFrame, ratio: float = 0.5) -> DataFrame:
     return missing.unionByName(repeats).unionByName(constant).unionByName(many)
 
 
-def quality_score(df: DataFrame, weights: tuple = WEIGHTS_A, digits: int | None = None) -> DataFrame:
+def quality_score(df: DataFrame, weights: tuple = WEIGHTS_A, digits: int | None = None, facts: Facts | None = None) -> DataFrame:
     """One row: rows, columns, missing, duplicates and the weighted score out of 100."""
-    width = len(df.columns)
-    facts = beside(beside(df.agg(F.count("*").alias("rows")), missing_total(df)), duplicate_rows(df))
+    facts = (Facts(df) if facts is None else facts).ask_missing()
+    n, width, missing = facts.rows, len(df.columns), sum(facts["missing", c] for c in df.columns)
     a, b, c, d = weights
-    rows = F.col("rows")
-    filled = 1 - F.col("missing") / F.greatest(rows * width, F.lit(1))
-    score = (F.greatest(filled, F.lit(0.0)) * a
-             + F.greatest(1 - F.col("duplicates") / F.greatest(rows, F.lit(1)), F.lit(0.0)) * b
-             + F.least(rows / 1000, F.lit(1.0)) * c + min(width / 10, 1) * d)
+    certain = max(1 - missing / max(n * width, 1), 0.0) * a + min(n / 1000, 1.0) * c + min(width / 10, 1) * d
+    score = F.greatest(1 - F.col("duplicates") / max(n, 1), F.lit(0.0)) * b + F.lit(certain)
     if digits is not None:
         score = F.round(score, digits)
-    return facts.select("rows", F.lit(width).alias("columns"), "missing", "duplicates", score.alias("score"))
+    return duplicate_rows(df).select(F.lit(n).cast("long").alias("rows"), F.lit(width).alias("columns"), F.lit(missing).cast("long").alias("missing"),
+                                     "duplicates", score.alias("score"))

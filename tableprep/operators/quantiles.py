@@ -13,6 +13,7 @@ rank outside its bracket would raise an error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage, spread
-from .roles import col, melt
+from ..session import SPREAD_ROWS, broadcast_if_small, cut_lineage, spread
+from .roles import col
 
 DIRECT_CELLS = 500_000
 BROADCAST_GROUPS = 100_000
+#: Columns whose quantiles are found in one pass.
+COLUMNS = 32
 #: Different values from which one rank is read off, and parts a larger bracket is cut into.
 BRACKET = 50_000
 PARTS = 64
@@ -43,11 +46,59 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         row = df.agg(*[pick(col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(cols)]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
     wide = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
-    long = melt(spread(wide, rows).toDF(*cols), cols)
-    found = {r["column"]: list(r["q"]) for r in
-             grouped_quantiles(long, ["column"], "value", probs, rows * len(cols), direct_cells,
-                               groups=len(cols)).collect()}
-    return {c: found.get(c, [None] * len(probs)) for c in cols}
+    if rows <= SPREAD_ROWS:  # three passes over few rows: dealt to all cores once
+        wide = cut_lineage(spread(wide, rows))
+    out = {}
+    for start in range(0, len(cols), COLUMNS):
+        names = wide.columns[start:start + COLUMNS]
+        out.update(zip(cols[start:start + COLUMNS], _side_by_side(wide.select(*names), probs, rows)))
+    return out
+
+
+def _side_by_side(wide: DataFrame, probs: list[float], rows: int) -> list[list[float | None]]:
+    """Exact quantiles of all columns of ``wide`` in three passes; only values inside brackets leave their rows."""
+    accuracy, bounds = _sketched(rows, probs)
+    names, p = wide.columns, len(probs)
+    row = wide.agg(*[x.alias(f"{k}{c}") for c in names for k, x in (
+        ("n", F.count(c)), ("a", F.min(c)), ("z", F.max(c)), ("e", F.percentile_approx(c, bounds, accuracy)))]).first()
+    edges = []  # per column and quantile: a value not above the rank's, and one not below
+    for c in names:
+        ends = [row["a" + c], row["z" + c]] * p if row["n" + c] < accuracy else row["e" + c]
+        edges.append(list(zip(ends[::2], ends[1::2])) if ends and ends[0] is not None else [])
+    below = wide.agg(*[F.count(F.when(F.col(c) < lo, 1)).alias(f"b{i}_{j}") for i, c in enumerate(names) for j, (lo, _) in enumerate(edges[i])],
+                     F.lit(0).alias("_")).first()
+    held = [F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.struct(F.lit(i * p + j).alias("_k0"), F.col(c).alias("_v")))
+            for i, c in enumerate(names) for j, (lo, hi) in enumerate(edges[i])]
+    if not held:
+        return [[None] * p for _ in names]
+    values = wide.select(F.inline(F.filter(F.array(*held), lambda h: h.isNotNull()))).groupBy("_k0", "_v").agg(F.count("*").alias("_c"))
+    values = values.select("_k0", "_v", "_c", F.explode(F.array(F.lit(0), F.lit(1))).alias("_j"))
+    ranks = []
+    for i, c in enumerate(names):
+        for j in range(len(edges[i])):
+            spot = probs[j] * (row["n" + c] - 1)
+            ranks += [(i * p + j, k, at - below[f"b{i}_{j}"]) for k, at in enumerate((math.floor(spot), math.ceil(spot)))]
+    ranks = wide.sparkSession.createDataFrame([(a, 0, k, r) for a, k, r in ranks], "w_k0 int, _n long, _j int, _rank long")
+    found = {(r["_k0"], r["_j"]): r["_v"] for r in _at_rank(values, ranks, ["_k0"], rows * 8 / accuracy <= BRACKET).collect()}
+    out = []
+    for i, c in enumerate(names):
+        got = []
+        for j in range(p):
+            if not edges[i]:
+                got.append(None)
+                continue
+            spot = probs[j] * (row["n" + c] - 1)
+            a, z, part = found[i * p + j, 0], found[i * p + j, 1], spot - math.floor(spot)
+            got.append(a if a == z else a * (1 - part) + z * part)
+        out.append(got)
+    return out
+
+
+def _sketched(rows: int, probs: list[float]) -> tuple[int, list[float]]:
+    """The accuracy of the sketch, and the probabilities that bracket each of ``probs``."""
+    accuracy = 10_000 if rows <= 10**9 else 100_000
+    slack = 3 / accuracy
+    return accuracy, [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
 
 
 def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
@@ -62,9 +113,7 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     rows = data.count() if rows is None else rows
     if rows <= direct_cells:
         return data.groupBy(*[col(b) for b in by]).agg(F.count("*").alias("n"), F.percentile("_v", probs).alias("q"))
-    accuracy = 10_000 if rows <= 10**9 else 100_000
-    slack = 3 / accuracy
-    bounds = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
+    accuracy, bounds = _sketched(rows, probs)
     sketch = data.groupBy(*[col(b) for b in by]).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                    F.percentile_approx("_v", bounds, accuracy).alias("_e"))
     # in a small group the slack is less than a few ranks, so all of it is kept apart

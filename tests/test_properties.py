@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tableprep.operators import balance, forest, impute, outliers, reduce, select
+from tableprep.operators import balance, forest, impute, outliers, profile, reduce, select
 from tableprep.plans import charts, prepare, report, routing
 from tableprep.sources import inventory
 
@@ -152,5 +152,17 @@ def test_inventory_and_report(spark, tmp_path):
     assert facts["t1"]["rows"] == 10 and facts["t2"]["missing"] == {"id": 0, "c": 3} and facts["t1"]["bytes"] > 0
     inventory.write_inventory(found, str(tmp_path / "inv"))
     assert spark.read.parquet(str(tmp_path / "inv")).count() == 2
-    lines = report.report_lines(report.report_table({"t2": spark.read.parquet(str(tmp_path / "t2"))})).first()["text"]
-    assert "- **Shape:** 5 rows x 2 columns" in lines and "- **Missing Values:** 3" in lines
+    lines = report.report_lines(report.report_table({"t2": spark.read.parquet(str(tmp_path / "t2"))})).orderBy("part").collect()
+    assert lines[0]["text"] == "# 1 dataset(s)" and "5 rows in 2 columns" in lines[1]["text"] and "3 empty cells (c=3)" in lines[1]["text"]
+
+
+def test_facts_share_one_scan(spark):
+    df = spark.createDataFrame([(1, 2.0, "ab"), (2, None, None), (3, 4.0, "c")], "a long, b double, c string")
+    facts = profile.Facts(df).ask_missing().ask_bytes().ask_moments(["a", "b"])
+    assert facts.rows == 3 and facts["missing", "b"] == 1 and facts["bytes", "c"] == 3 and facts["mean", "a"] == 2.0
+    assert profile.moments(df, ["a", "b"], facts)["b"]["max"] == 4.0
+    assert {r["column"]: r["missing"] for r in profile.missing_counts(df, facts=facts).collect()} == {"a": 0, "b": 1, "c": 1}
+    assert [r["bytes"] for r in profile.memory_estimate(df, facts).collect()] == [24, 16, 3]
+    assert facts.scans == 1
+    empty = df.filter("a > 9")
+    assert [tuple(r)[1:] for r in profile.missing_counts(empty, facts=profile.Facts(empty)).collect()] == [(0, None)] * 3

@@ -226,6 +226,25 @@ def test_merges_with_hot_keys(spark, monkeypatch, how, limit):
     assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_merges_with_hot_keys_are_one_salted_join_of_two_reads(spark, monkeypatch, tmp_path, how):
+    monkeypatch.setattr(merge, "HOT_ROWS", 20)
+    spark.range(900).selectExpr("CAST(CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS int) AS k", "id AS x").write.parquet(str(tmp_path / "l"))
+    spark.range(60).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id + 880 END AS k", "id AS y").write.parquet(str(tmp_path / "r"))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in "lr")
+    jobs = []
+    real = merge._heavy
+    monkeypatch.setattr(merge, "_heavy", lambda *a: jobs.append(a) or real(*a))
+    got = merge.merge(left, right, "k", "k", how)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert len(jobs) == 2 and initial.count("FileScan") == 2 and "Union" not in initial
+    assert sum(initial.count(j) for j in ("SortMergeJoin", "ShuffledHashJoin")) + initial.count("BroadcastHashJoin") == 3
+    want = left.toPandas().merge(right.toPandas(), on="k", how=how)
+    rows = lambda p: sorted(tuple(-1.0 if pd.isna(v) else float(v) for v in r) for r in p[["k", "x", "y"]].itertuples(index=False))
+    assert rows(got.toPandas()) == rows(want)
+
+
 def test_sample_prefilter_changes_nothing(spark, numbers, monkeypatch):
     from tableprep.operators import filters
     _, df = numbers
