@@ -85,6 +85,17 @@ def _(t):
     return impute.impute_iterative(t.lineitem_gaps, cols)
 
 
+@check("impute_iterative_pair", """WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS me, stddev_pop(l_extendedprice) AS se FROM lineitem_gaps),
+z AS (SELECT (l_quantity - mq) / sq AS y, (l_extendedprice - me) / se AS x FROM lineitem_gaps, s WHERE l_quantity IS NOT NULL),
+g AS (SELECT sum(x * x) + 0.001 AS a, sum(x) AS b, count(*) + 0.001 AS d, sum(x * y) AS u, sum(y) AS v FROM z)
+SELECT l_orderkey, l_linenumber, l_extendedprice, round(coalesce(l_quantity, ((a * v - b * u) + (u * d - b * v) * (l_extendedprice - me) / se) / (a * d - b * b) * sq + mq), 4) AS l_quantity
+FROM lineitem_gaps, s, g""")
+def _(t):
+    """One target and one predictor without nulls: the chain is one ridge regression."""
+    data = t.lineitem_gaps.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return rounded(impute.impute_iterative(data, ["l_extendedprice", "l_quantity"]), ["l_quantity"], 4)
+
+
 @check("impute_drop", "SELECT event_id, user_id, event_type, value FROM events_dirty WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL")
 def _(t):
     return impute.impute(t.events_dirty.drop("ts"), "drop", cat_strategy=None)
@@ -198,9 +209,24 @@ def _(t):
     return rounded(outliers.power_transform(data, ["price"], lambdas={"price": 0.5}), ["price"], 6)
 
 
-@check("outlier_power_fitted")
+def _search(steps: int = 4) -> str:
+    """The exponent of largest likelihood of a positive column: a grid, refined three times."""
+    parts = ["f AS (SELECT count(*) AS n, sum(ln(o_totalprice + 1)) AS slope FROM orders)",
+             "g0 AS (SELECT -4 + 0.25 * i AS lam FROM range(33) AS r(i))"]
+    for s in range(steps):
+        parts.append(f"""l{s} AS (SELECT lam, -n / 2.0 * ln(var_pop(CASE WHEN lam = 0 THEN ln(o_totalprice + 1) ELSE pow(o_totalprice + 1, lam) / lam END))
+  + (lam - 1) * slope AS ll FROM orders, g{s}, f GROUP BY lam, n, slope)""")
+        parts.append(f"b{s} AS (SELECT arg_max(lam, ll) AS lam FROM l{s})")
+        parts.append(f"g{s + 1} AS (SELECT lam + {0.25 / 8 ** (s + 1)!r} * i AS lam FROM b{s}, range(-8, 9) AS r(i))")
+    return ", ".join(parts)
+
+
+@check("outlier_power_fitted", f"""WITH {_search()},
+y AS (SELECT o_orderkey, (pow(o_totalprice + 1, lam) - 1) / lam AS y FROM orders, b3)
+SELECT o_orderkey, round((y - (SELECT avg(y) FROM y)) / (SELECT stddev_pop(y) FROM y), 4) AS o_totalprice FROM y""")
 def _(t):
-    return outliers.outliers(t.orders.select("o_orderkey", "o_totalprice"), "iqr", "transform", ["o_totalprice"])
+    data = t.orders.select("o_orderkey", "o_totalprice")
+    return rounded(outliers.outliers(data, "iqr", "transform", ["o_totalprice"]), ["o_totalprice"], 4)
 
 
 @check("outlier_flags", "SELECT event_id, " + ", ".join(
@@ -261,7 +287,7 @@ SELECT p_partkey, CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 1 ELS
 FROM part JOIN l ON p_name = v, s""")
 def _(t):
     first = t.part.agg(F.min("p_brand")).first()[0]
-    wide = encode.encode_onehot(t.part.select("p_partkey", "p_brand", "p_name"), "p_name", wide=20)
+    wide = encode.encode_onehot(t.part.select("p_partkey", "p_brand", "p_name"), "p_name", form="vector")
     both = encode.encode(wide.select("*"), "onehot", ["p_brand"])
     return both.select("p_partkey", F.col(f"`p_brand_{first}`").alias("first_brand"),
                        F.col("p_name_onehot.size").alias("size"), F.col("p_name_onehot.one").alias("one"))

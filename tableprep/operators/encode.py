@@ -14,8 +14,8 @@ from .profile import nunique
 from .roles import categorical_columns, col, replace_columns
 from .skew import beside
 
-# more categories than this become one sparse column instead of a column each
-WIDE = 2_000
+# a table cannot have more columns than this of one category each; the vector form takes any number
+MOST_COLUMNS = 20_000
 BELOW_LIMIT = ("onehot", "ordinal", "binary")
 
 
@@ -23,29 +23,33 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {r["column"]: r["unique"] for r in nunique(df, cols).collect()} if cols else {}
 
 
-def _levels(df: DataFrame, column: str, most: int) -> list[str] | None:
-    """The sorted values; None if there are more than ``most``."""
+def _levels(df: DataFrame, column: str) -> list[str]:
+    """The sorted values, which become names of columns."""
     rows = (df.select(col(column).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-            .orderBy("v").limit(most + 1).collect())
-    return [r["v"] for r in rows] if len(rows) <= most else None
+            .orderBy("v").limit(MOST_COLUMNS + 1).collect())
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"{column!r} has more than {MOST_COLUMNS} categories: use form='vector', or max_categories")
+    return [r["v"] for r in rows]
 
 
-def encode_onehot(df: DataFrame, column: str, drop_first: bool = False, wide: int = WIDE) -> DataFrame:
+def encode_onehot(df: DataFrame, column: str, drop_first: bool = False, form: str = "columns") -> DataFrame:
     """0/1 columns ``<column>_<value>`` in value order at the end; null is all zero.
 
-    With more than ``wide`` values there is one column ``<column>_onehot`` instead: the
-    size of the 0/1 vector and the place of its one (null if it is all zero).
+    With ``form="vector"`` there is one column ``<column>_onehot`` instead: the
+    size of the 0/1 vector and the place of its one (null if it is all zero). The
+    form is the caller's choice and never follows the number of categories.
     """
+    if form not in ("columns", "vector"):
+        raise ValueError(f"unknown form {form!r}")
     text = col(column).cast("string")
-    levels = _levels(df, column, wide)
     kept = [col(c) for c in df.columns if c != column]
-    if levels is None:
+    if form == "vector":
         size = df.agg(F.count_distinct(text).alias("n")).first()["n"]
         coded = _coded(df, column, text, BROADCAST_ROWS)
         first = 1 if drop_first else 0
         place = F.when(F.col("_code") >= first, F.col("_code") - first)
         return coded.select(*kept, F.struct(F.lit(size - first).alias("size"), place.alias("one")).alias(f"{column}_onehot"))
-    levels = levels[1 if drop_first else 0:]
+    levels = _levels(df, column)[1 if drop_first else 0:]
     return df.select(*kept, *[F.coalesce((text == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in levels])
 
 
@@ -101,8 +105,8 @@ def encode_target(df: DataFrame, column: str, target: str, broadcast_rows: int =
 
 def encode(df: DataFrame, method: str = "onehot", cols: Sequence[str] | None = None,
            max_categories: int | None = None, drop_first: bool = False, target: str | None = None,
-           log: list[str] | None = None) -> DataFrame:
-    """Encode the categorical columns.
+           log: list[str] | None = None, form: str = "columns") -> DataFrame:
+    """Encode the categorical columns; ``form`` is that of one-hot.
 
     With ``max_categories`` one-hot, ordinal and binary apply to columns with at
     most that many values, and label, frequency and target to columns with more;
@@ -121,7 +125,7 @@ def encode(df: DataFrame, method: str = "onehot", cols: Sequence[str] | None = N
                 log.append(f"{c} not encoded: {counts.get(c, 0)} categories")
             continue
         if method == "onehot":
-            df = encode_onehot(df, c, drop_first)
+            df = encode_onehot(df, c, drop_first, form)
         elif method == "label":
             df = encode_label(df, c)
         elif method == "ordinal":

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .profile import missing_counts, nunique, value_counts
-from .roles import categorical_columns, col, is_numeric
+from .roles import FLOATS, categorical_columns, col, is_numeric, nan_to_null
 from .skew import beside
 
 FILTER_FIRST = 10_000_000
@@ -36,10 +36,25 @@ def comparison(column: str, dtype: T.DataType, op: str, value) -> Column:
 
 
 def filter_compare(df: DataFrame, column: str, op: str, value) -> DataFrame:
-    """Rows that satisfy the comparison; ``!=`` keeps rows with a null."""
+    """Rows that satisfy the comparison; ``!=`` keeps rows with a null.
+
+    On a table just read, the comparison is made on the stored columns, so it reaches the
+    scan for float columns too; NaN counts as missing there as well.
+    """
+    stored = df.__dict__.get("_with_nan")
+    if stored is not None and column in stored.columns:
+        return nan_to_null(stored.filter(stored_comparison(column, stored.schema[column].dataType, op, value)))
     return df.filter(comparison(column, df.schema[column].dataType, op, value))
 
 
+def stored_comparison(column: str, dtype: T.DataType, op: str, value) -> Column:
+    """``comparison`` for a column that may hold NaN for missing values."""
+    keep = comparison(column, dtype, op, value)
+    if isinstance(dtype, FLOATS):
+        keep = (keep | F.isnan(col(column))) if op == "!=" else (keep & ~F.isnan(col(column)))
+    return keep
+
+
 def filter_summary(df: DataFrame, column: str, op: str, value) -> DataFrame:
     """Row counts before and after the filter."""
     kept = filter_compare(df, column, op, value).agg(F.count("*").alias("filtered_rows"))

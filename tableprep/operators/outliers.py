@@ -73,21 +73,41 @@ def _transform(method: str):
     raise ValueError(f"unknown power transform {method!r}")
 
 
-def _transformed(x: np.ndarray, lam: float, method: str) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        if method == "box-cox":
-            return np.log(x) if lam == 0 else (np.power(x, lam) - 1) / lam
-        up = np.log1p(x) if lam == 0 else (np.power(x + 1, lam) - 1) / lam
-        down = -np.log1p(-x) if lam == 2 else -(np.power(1 - x, 2 - lam) - 1) / (2 - lam)
-        return np.where(x >= 0, up, down)
+def _scaled_powers(x: np.ndarray, lam: float, method: str, shift: float, offsets: bool) -> np.ndarray:
+    """The transform of ``x`` times exp(-shift), without its constant terms unless ``offsets``.
+
+    Constants do not change a variance while all values have one sign, and leaving them out keeps small powers apart.
+    """
+    one = math.exp(-shift) if offsets else 0.0
+    if method == "box-cox":
+        return np.log(x) if lam == 0 else (np.exp(lam * np.log(x) - shift) - one) / lam
+    size = np.log1p(np.abs(x))
+    up = size * math.exp(-shift) if lam == 0 else (np.exp(np.where(x >= 0, lam * size, shift) - shift) - one) / lam
+    down = -size * math.exp(-shift) if lam == 2 else -(np.exp(np.where(x < 0, (2 - lam) * size, shift) - shift) - one) / (2 - lam)
+    return np.where(x >= 0, up, down)
+
+
+def _shift(lam: float, method: str, least: float, most: float) -> float:
+    """The largest exponent that values between ``least`` and ``most`` have, so powers stay below one."""
+    if method == "box-cox":
+        return 0.0 if lam == 0 else max(lam * math.log(least), lam * math.log(most))
+    ends = []
+    if most >= 0 and lam != 0:
+        ends += [lam * math.log1p(most), lam * math.log1p(max(least, 0.0))]
+    if least < 0 and lam != 2:
+        ends += [(2 - lam) * math.log1p(-least), (2 - lam) * math.log1p(max(-most, 0.0))]
+    return max(ends, default=0.0)
 
 
 def _power_sums(df: DataFrame, cols: Sequence[str], grids: dict[str, list[float]], method: str,
-                centres: dict[str, float]) -> np.ndarray:
-    """Per column and exponent: rows, sums of the transformed value and its square about a centre, and the slope."""
+                stats: dict[str, dict]) -> np.ndarray:
+    """Per column and exponent: rows, sums of the scaled transform and its square about a centre, and the slope."""
     data = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
     size = len(grids[cols[0]])
-    middle = {c: [_transformed(np.array([centres[c]]), g, method)[0] for g in grids[c]] for c in cols}
+    ends = {c: (stats[c]["min"], stats[c]["max"]) for c in cols}
+    shifts = {c: [_shift(g, method, *ends[c]) for g in grids[c]] for c in cols}
+    mixed = {c: ends[c][0] < 0 <= ends[c][1] for c in cols}
+    middle = {c: [_scaled_powers(np.array([stats[c]["mean"]]), g, method, s, mixed[c])[0] for g, s in zip(grids[c], shifts[c])] for c in cols}
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(cols), size, 4))
@@ -95,42 +115,55 @@ def _power_sums(df: DataFrame, cols: Sequence[str], grids: dict[str, list[float]
             for i, c in enumerate(cols):
                 x = batch.iloc[:, i].to_numpy(dtype=float)
                 x = x[~np.isnan(x)]
-                with np.errstate(all="ignore"):
-                    slope = np.log(x).sum() if method == "box-cox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
-                    for j, lam in enumerate(grids[c]):
-                        y = _transformed(x, lam, method) - middle[c][j]
-                        total[i, j] += (len(x), y.sum(), (y * y).sum(), slope)
+                slope = np.log(x).sum() if method == "box-cox" else (np.sign(x) * np.log1p(np.abs(x))).sum()
+                for j, lam in enumerate(grids[c]):
+                    y = _scaled_powers(x, lam, method, shifts[c][j], mixed[c]) - middle[c][j]
+                    total[i, j] += (len(x), y.sum(), (y * y).sum(), slope)
         yield pd.DataFrame({"k": np.arange(total.size), "s": total.ravel()})
 
     out = np.zeros(len(cols) * size * 4)
     for r in data.mapInPandas(partial, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
         out[r["k"]] = r["s"]
-    return out.reshape(len(cols), size, 4)
+    out = out.reshape(len(cols), size, 4)
+    return np.concatenate([out, np.array([shifts[c] for c in cols])[:, :, None]], axis=2)
 
 
 def fit_power(df: DataFrame, cols: Sequence[str], method: str = "yeo-johnson") -> dict[str, float]:
-    """The exponent of largest log-likelihood per column: a grid, refined three times."""
+    """The exponent of largest log-likelihood per column: a grid that moves until its best lies inside, refined three times.
+
+    Variances are summed from powers scaled by their largest exponent and compared as logarithms, so no
+    exponent overflows. A column without two different values keeps exponent 1.
+    """
     _transform(method)
-    if not cols:
-        return {}
-    stats = moments(df, cols)
+    stats = moments(df, cols) if cols else {}
     if method == "box-cox" and any(s["min"] is not None and s["min"] <= 0 for s in stats.values()):
         raise ValueError("box-cox needs values above zero")
-    centres = {c: s["mean"] if s["mean"] is not None else 1.0 for c, s in stats.items()}
-    grids = {c: [round(-4 + 0.25 * i, 10) for i in range(33)] for c in cols}
-    step, best = 0.25, {}
-    for _ in range(4):
-        sums = _power_sums(df, cols, grids, method, centres)
-        for i, c in enumerate(cols):
+    best = dict.fromkeys(cols, 1.0)
+    open_ = [c for c in cols if stats[c]["min"] is not None and stats[c]["min"] < stats[c]["max"]]
+    grids, fine = {c: [round(-4 + 0.25 * i, 10) for i in range(33)] for c in open_}, {c: 0.25 for c in open_}
+    while open_:
+        # columns are at different steps; those with grids of one length share a pass
+        now = [c for c in open_ if len(grids[c]) == len(grids[open_[0]])]
+        for c, sums in zip(now, _power_sums(df, now, grids, method, stats)):
             values = []
-            for lam, (n, s, ss, slope) in zip(grids[c], sums[i]):
-                var = (ss - s * s / n) / n if n else 0.0
+            for lam, (n, s, ss, slope, shift) in zip(grids[c], sums):
+                var = (ss - s * s / n) / n
                 if np.isfinite(var) and var > 0:
-                    values.append((-n / 2 * math.log(var) + (lam - 1) * slope, lam))
-            best[c] = max(values)[1] if values else 1.0
-        fine = step / 8
-        grids = {c: [round(best[c] + fine * i, 10) for i in range(-8, 9)] for c in cols}
-        step = fine
+                    values.append((-n / 2 * (math.log(var) + 2 * shift) + (lam - 1) * slope, lam))
+            if not values:
+                open_.remove(c)
+                continue
+            best[c], ends = max(values)[1], (grids[c][0], grids[c][-1])
+            known = [lam for _, lam in values]
+            if best[c] in ends and len(known) == len(grids[c]):  # the best may lie beyond
+                width, step = (ends[1] - ends[0]), grids[c][1] - grids[c][0]
+                low = best[c] - step if best[c] == ends[1] else best[c] + step - width
+                grids[c] = [round(low + step * i, 10) for i in range(len(grids[c]))]
+            elif fine[c] <= 0.25 / 512:
+                open_.remove(c)
+            else:
+                fine[c] /= 8
+                grids[c] = [round(best[c] + fine[c] * i, 10) for i in range(-8, 9)]
     return best
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+FLOATS = (T.DoubleType, T.FloatType)
+
+
 def col(name: str) -> Column:
     """Column by exact name, also where the name holds spaces, dots or hats."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -49,12 +52,18 @@ def melt(df: DataFrame, names: Sequence[str], variable: str = "column", value: s
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """One notion of a missing value: NaN becomes null in every float column."""
-    return df.select(*[
+    """One notion of a missing value: NaN becomes null in every float column.
+
+    The result knows the frame it was made from, so a comparison can be placed below
+    the change, where the scan takes it (see ``filters.filter_compare``).
+    """
+    out = df.select(*[
         F.when(~F.isnan(col(f.name)), col(f.name)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else col(f.name)
+        if isinstance(f.dataType, FLOATS) else col(f.name)
         for f in df.schema.fields
     ])
+    out._with_nan = df
+    return out
 
 
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:

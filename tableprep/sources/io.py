@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import file_ext
-from ..operators.filters import comparison
+from ..operators.filters import stored_comparison
 from ..operators.roles import col, nan_to_null
 
 MAX_BYTES = 104_857_600
@@ -35,13 +35,8 @@ def read_parquet(spark: SparkSession, path: str, where: Sequence[tuple] = ()) ->
     """Parquet with NaN as null. Comparisons in ``where`` (column, op, value) are made on the
     stored columns, so that they also skip row groups for float columns."""
     df = spark.read.parquet(path)
-    floats = (T.DoubleType, T.FloatType)
     for column, op, value in where:
-        dtype = df.schema[column].dataType
-        keep = comparison(column, dtype, op, value)
-        if isinstance(dtype, floats):
-            keep = (keep | F.isnan(col(column))) if op == "!=" else (keep & ~F.isnan(col(column)))
-        df = df.filter(keep)
+        df = df.filter(stored_comparison(column, df.schema[column].dataType, op, value))
     return nan_to_null(df)
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tableprep.operators import balance, encode, forest, fuzzy, impute, knn, lookup, merge, ordered, profile, quantiles
+from tableprep.operators import balance, encode, forest, fuzzy, impute, knn, lookup, merge, ordered, outliers, profile, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -313,3 +313,48 @@ def test_forest_rows_of_few_and_of_equal_rows(spark):
     many = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 7.5).otherwise(F.col("id") % 90_000).alias("a"))
     pool = forest.draw_rows(many, ["a"], 6_000)[:, 0]
     assert len(pool) == 6_000 and abs(np.mean(pool == 7.5) - 1 / 3) < 0.03
+
+
+@pytest.mark.parametrize("lam,method", [(-7.0, "yeo-johnson"), (9.0, "yeo-johnson"), (-12.0, "box-cox"), (0.5, "yeo-johnson")])
+def test_power_exponents_far_out_are_found(spark, lam, method):
+    """Values whose transform is even about its middle: the likelihood on a dense grid in long doubles has the same best."""
+    from statistics import NormalDist
+    z = np.array([NormalDist().inv_cdf((i + 0.5) / 4000) for i in range(4000)])
+    y = 1.0 + 0.1 * z if lam > 0 else (0.5 + 0.05 * z - 1) / lam  # lam * y + 1 stays above zero
+    x = np.power(lam * y + 1, 1 / lam) - (1 if method == "yeo-johnson" else 0)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = outliers.fit_power(df, ["x"], method)["x"]
+    assert abs(got - lam) < 0.1
+
+    def likelihood(g):
+        size = np.log1p(x.astype(np.longdouble)) if method == "yeo-johnson" else np.log(x.astype(np.longdouble))
+        t = np.exp(g * size) / g
+        return -len(x) / 2 * np.log(t.var()) + (g - 1) * size.sum()
+
+    near = [got + d / 2048 for d in range(-40, 41)]
+    assert abs(near[int(np.argmax([likelihood(g) for g in near]))] - got) <= 1 / 1024
+
+
+def test_power_of_flat_mixed_and_missing_columns(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"flat": 3.0, "mixed": rng.normal(0, 5, 500), "big": rng.lognormal(300, 2, 500), "gone": np.nan})
+    df = spark.createDataFrame(pdf).withColumn("gone", F.lit(None).cast("double"))
+    got = outliers.fit_power(df, ["flat", "mixed", "big", "gone"])
+    assert got["flat"] == 1.0 and got["gone"] == 1.0 and 0.7 < got["mixed"] < 1.3 and abs(got["big"]) < 0.2
+
+
+def test_comparisons_on_floats_reach_the_scan(spark, tmp_path):
+    from tableprep.operators import filters
+    from tableprep.sources import io
+    nan = float("nan")
+    spark.createDataFrame([(1, 1.0), (2, nan), (3, None), (4, 9.0)], "id long, x double").write.parquet(str(tmp_path / "t"))
+    df = io.read_parquet(spark, str(tmp_path / "t"))
+    for op, want in ((">", [4]), ("<=", [1]), ("!=", [1, 2, 3]), ("==", [4])):
+        got = filters.filter_compare(df, "x", op, 9.0 if op in ("!=", "==") else 5)
+        assert sorted(r["id"] for r in got.collect()) == want
+        pushed = got._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
+        assert op == "!=" or "(x," in pushed
+    twice = filters.filter_compare(filters.filter_compare(df, "x", ">", 0), "id", "<", 4)
+    assert [tuple(r) for r in twice.collect()] == [(1, 1.0)]
+    assert "LessThan(id,4)" in twice._jdf.queryExecution().executedPlan().toString()
+    assert [r["x"] for r in filters.filter_compare(df, "id", "==", 2).collect()] == [None]

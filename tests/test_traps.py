@@ -139,7 +139,7 @@ def test_encoders(spark):
     assert encode.encode(df, "binary").columns == ["id", "c"]
     with pytest.raises(ValueError):
         encode.encode_binary(df, "c")
-    wide = encode.encode_onehot(df, "c", wide=2)
+    wide = encode.encode_onehot(df, "c", form="vector")
     assert rows(wide.select("id", "c_onehot.size", "c_onehot.one"), "id", "size", "one") == [(1, 3, 1), (2, 3, 0), (3, 3, None), (4, 3, 2)]
     log = []
     encode.encode(df, "onehot", max_categories=2, log=log)
