@@ -31,7 +31,7 @@ from ..session import broadcast_if_small, cut_lineage
 from .roles import col
 from .skew import grid
 
-DONORS_PER_CELL = 2_000
+DONORS_PER_CELL = 8_000
 DONORS_PER_CHUNK = 8_000
 QUERIES_PER_CHUNK = 8_000
 #: Cells of the second round.
