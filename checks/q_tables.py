@@ -54,6 +54,29 @@ def _(t):
     return read.unionByName(bad.agg(F.lit("rejected").alias("status"), F.count("*").alias("n"), F.lit(0.0).alias("balance")))
 
 
+@check("read_csv_latin1", "SELECT c_custkey, concat(c_mktsegment, chr(233), chr(252)) AS name FROM customer")
+def _(t):
+    named = t.customer.select("c_custkey", F.concat("c_mktsegment", F.lit("\u00e9\u00fc")).alias("name"))
+    path = t.workspace()
+    # one part of the files in each encoding
+    named.filter("c_custkey % 2 = 0").write.option("header", True).csv(f"{path}/a")
+    named.filter("c_custkey % 2 = 1").write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/b")
+    return io.read_csv(t.spark, f"{path}/*").withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@check("read_csv_line_breaks", """
+SELECT o_orderkey, o_custkey, concat(o_orderstatus, chr(10), o_orderpriority, ', "', o_orderstatus, '"') AS note, o_totalprice FROM orders""")
+def _(t):
+    note = F.concat("o_orderstatus", F.lit("\n"), "o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')).alias("note")
+    told = t.orders.select("o_orderkey", "o_custkey", note, "o_totalprice")
+    path = t.workspace()
+    # quoted headers in two orders, one with a column that nobody asks for
+    writer = lambda df: df.write.option("header", True).option("escape", '"').option("quoteAll", True)
+    writer(told.filter("o_orderkey % 3 = 0").select("note", "o_totalprice", "o_orderkey", "o_custkey")).csv(f"{path}/a")
+    writer(told.filter("o_orderkey % 3 > 0").withColumn("more", F.lit("x"))).csv(f"{path}/b")
+    return io.read_csv_with_rejects(t.spark, f"{path}/*", told.schema)[0]
+
+
 @check("check_files")
 def _(t):
     path = t.workspace()
