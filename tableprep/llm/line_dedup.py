@@ -163,20 +163,29 @@ def within(a: str, b: str, edits: int) -> bool:
     while hi < n - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
         hi += 1
     a, b = a[lo:len(a) - hi], b[lo:len(b) - hi]
-    places_of: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places_of[c] = places_of.get(c, 0) | 2 << i
-    rows = [(2 << e) - 1 for e in range(edits + 1)]  # bit i: i letters of a read
-    for c in b:
-        at, before, above = places_of.get(c, 0), 0, 0
+    # bit i of a row: with j letters of b, j - edits + i letters of a are read; no integer is wider than the band
+    full = (1 << 2 * edits + 1) - 1
+    rows = [((2 << e) - 1) << edits & full for e in range(edits + 1)]
+    # for each letter its places in the band of column j, as they were at the column it was last seen in
+    seen: dict[str, tuple[int, int]] = {}
+    for i, c in enumerate(a[:edits]):
+        seen[c] = seen.get(c, (0, 0))[0] | 1 << edits + i, 0
+    for j, c in enumerate(b):
+        if j + edits < len(a):
+            x = a[j + edits]
+            bits, since = seen.get(x, (0, j))
+            seen[x] = bits >> j - since | 1 << 2 * edits, j
+        bits, since = seen.get(c, (0, j))
+        at, before, above = bits >> j - since, 0, 0
         for e, now in enumerate(rows):
-            new = (now << 1) & at
+            new = now & at
             if e:
-                new |= before | before << 1 | above << 1
-            before, above, rows[e] = now, new, new
+                new |= before | before >> 1 | above << 1
+            before, above, rows[e] = now, new, new & full
         if not rows[-1]:
             return False
-    return bool(rows[-1] >> len(a) & 1)
+    # of lines this near only one place of the last column counts
+    return bool(rows[-1] >> len(a) - len(b) + edits & 1)
 
 
 def later_lines(lines: list[str], order: list, edits: int) -> np.ndarray:
