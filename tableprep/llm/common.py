@@ -13,6 +13,8 @@ from tableprep.session import checkpoint_dir
 BATCH = "4m"
 #: Words are separated by space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of a sieve, of 64 bits each.
+SIEVE = 1 << 19
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +54,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
 
 
+def sieve(keys: DataFrame, key: str, words: int = SIEVE) -> DataFrame:
+    """A table of at most ``words`` rows, so a broadcast of a known size, that knows every value of the 64-bit ``key``.
+
+    Each key sets one bit of 64 * ``words``; see ``passed``. Beyond that many keys it only lets more through.
+    """
+    at = F.xxhash64(key)
+    return keys.select(F.pmod(at, F.lit(words)).cast("int").alias("sieve_word"),
+                       F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`, 1), 64) as int))").alias("bit")) \
+        .groupBy("sieve_word").agg(F.bit_or("bit").alias("sieve_bits"))
+
+
+def passed(rows: DataFrame, key: str, known: DataFrame, words: int = SIEVE, out: bool = False) -> DataFrame:
+    """``rows`` whose ``key`` may be known to the sieve (all that are, and a few more); with ``out`` the other rows.
+
+    Rows are left where they are: nothing is shuffled.
+    """
+    named = rows.withColumn("sieve_at", F.pmod(F.xxhash64(key), F.lit(words)).cast("int"))
+    set_bit = F.expr(f"shiftright(sieve_bits, cast(pmod(xxhash64(`{key}`, 1), 64) as int)) & 1") == 1
+    met = named.join(F.broadcast(known), F.col("sieve_at") == F.col("sieve_word"), "left")
+    seen = F.coalesce(set_bit, F.lit(False))
+    return met.filter(~seen if out else seen).select(*rows.columns)
+
+
 def grid(rows: DataFrame, key: str, member: str, run: int, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``cell``: keys of more than ``run`` members fall into the cells of a grid.
 

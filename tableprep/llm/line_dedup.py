@@ -13,9 +13,8 @@ EDITS + 1 - i as seen from the right end. Equal lengths need only moves to the r
 since the other line sees the same match as a move to the left.
 
 Only hashes are shuffled: a run of lines that share a key, of which one is indexed,
-gives its members, and only these lines' texts are fetched for the bit-parallel check
-(an automaton of EDITS + 1 rows, whose states lie in the band of EDITS around the
-diagonal). A run gives one row per line that has an earlier near line, never its
+gives its members, and only these lines' texts are fetched for the banded bit-parallel check
+(an automaton of EDITS + 1 rows of 2 * EDITS + 1 bits, which move along the diagonal). A run gives one row per line that has an earlier near line, never its
 pairs. Runs of more than ``RUN`` lines are cut into chunks that meet in the cells of
 a grid, so every pair is still compared.
 
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grid, pick, small_batches, stored
+from .common import grid, passed, pick, sieve, small_batches, stored
 
 EDITS = 2
 #: Lines shorter than this (without outer white space) always stay.
@@ -235,9 +234,12 @@ def near_lines(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, run: int
     long = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") >= SHORT_LEAST)
     met = stored(long.mapInArrow(line_keys(edits), "k long, h long").repartition("k").sortWithinPartitions("k")
                  .mapInArrow(shared, "k long, h long"), "shared-segments")
-    wanted = stored(met.select("h").distinct().join(firsts, "h").groupBy("h").agg(F.min("rank").alias("rank")), "shared-lines")
-    texts = long.select("line", F.xxhash64("line").bitwiseAND(F.lit(-2)).alias("h")).join(wanted, "h") \
-        .groupBy("h").agg(F.min("line").alias("line"), F.first("rank").alias("rank"))
+    # lines that share no segment stay out of the next shuffles
+    known = stored(sieve(met.select("h"), "h"), "sieve")
+    wanted = stored(met.select("h").distinct().join(passed(firsts, "h", known), "h").groupBy("h").agg(F.min("rank").alias("rank")), "shared-lines")
+    hashed = long.select("line", F.xxhash64("line").bitwiseAND(F.lit(-2)).alias("h"))
+    # one text per hash leaves a task, so copies of a common line do not meet
+    texts = passed(hashed, "h", known).groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h")
     texts = stored(texts, "shared-texts")
     return grid(met, "k", "h", run).join(texts, "h").select("k", "cell", "h", "line", "rank") \
         .repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(verified(edits), "h long").distinct()
@@ -254,14 +256,16 @@ def dropped_lines(rows: DataFrame, edits: int = EDITS, run: int = RUN) -> DataFr
     rank = F.concat(F.when(place.isNull(), "0").otherwise(F.concat(F.lit("1"), place.cast("string"))), F.lit("\x00"),
                     F.lpad(F.hex(F.col("first.no").cast("long")), 16, "0"))
     near = stored(near_lines(rows, firsts.select("h", rank.alias("rank")), edits, run).withColumn("near", F.lit(True)), "near-lines")
-    known = firsts.join(near, "h", "left").filter("n > 1 OR near")
+    known = stored(firsts.join(near, "h", "left").filter("n > 1 OR near"), "known-lines")
     # lines that make up more than a HOT-th of all, so fewer than HOT of them, meet their facts by broadcast;
     # their rows then have a key of their own in the join by shuffle, where they find nothing
     edge = max((firsts.agg(F.sum("n")).first()[0] or 0) / HOT, run)
     facts = [F.col("first.key").alias("fk"), F.col("first.no").alias("fn"), F.coalesce("near", F.lit(False)).alias("near")]
     hot = known.filter(F.col("n") > edge).select("h", "h2", F.struct(*facts).alias("hot"))
     rest = known.filter(F.col("n") <= edge).select(F.col("h").alias("rh"), F.col("h2").alias("rh2"), F.struct(*facts).alias("rest"))
-    spread = lines.select("key", "no", "h", "h2").join(F.broadcast(hot), ["h", "h2"], "left") \
+    # only lines that occur again or are near another go on
+    again = passed(lines.select("key", "no", "h", "h2"), "h", stored(sieve(known.select("h"), "h"), "sieve"))
+    spread = again.join(F.broadcast(hot), ["h", "h2"], "left") \
         .withColumn("j", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("key", "no"))) \
         .join(rest, (F.col("j") == F.col("rh")) & (F.col("h2") == F.col("rh2")), "left")
     met = spread.select("key", "no", F.coalesce("hot", "rest").alias("m")).filter("m IS NOT NULL")
@@ -283,7 +287,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     t, k = f"_{names.index(text)}", f"_{names.index(key)}"
     gone = dropped_lines(pick(docs, key=key, text=text), edits, run)
     lines = F.split(F.col(t), "\n", -1)
-    joined = flat.join(gone, F.col(k).eqNullSafe(F.col("key")), "left")
+    # only documents that lose lines, and a few more, are shuffled
+    gone = stored(gone, "lines-gone")
+    losers = stored(sieve(gone.select("key"), "key"), "sieve")
+    joined = passed(flat, k, losers).join(gone, F.col(k).eqNullSafe(F.col("key")), "left") \
+        .unionByName(passed(flat, k, losers, out=True), allowMissingColumns=True)
     # kept numbers by set difference, so a text of many lines costs its length
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")),
                                     lambda i: F.get("lines", i)), "\n")
