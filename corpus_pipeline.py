@@ -19,7 +19,11 @@ LEAST_SCORE = 0.35
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a known language; the rest goes (no letters, or no language fits)."""
+    """Documents whose text is in a known language; the rest goes (no letters, or no language fits).
+
+    Null and empty texts go, repeated rows share their fate, texts of any length are read whole; languages that tie
+    are decided as in ``langid``. An empty table stays empty. Further columns pass through under their names.
+    """
     model = langid.learn(docs)
     names = docs.columns
     found = langid.identify(docs, model).toDF(*[f"_{i}" for i in range(len(names))], "lang_pred", "score", "ambiguous")
@@ -28,7 +32,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; documents of which no word is left go."""
+    """Documents without their repeated lines; documents of which no word is left go.
+
+    Null and empty texts lose nothing and stay. Of equal lines the one with the smallest (doc_id, line number) stays;
+    rows that share a doc_id, null included, lose the same lines. n_chars is counted anew where lines went.
+    """
     names = docs.columns
     cut = line_dedup.dedup_lines(docs).toDF(*[f"_{i}" for i in range(len(names))], "n_lines", "n_dropped")
     text, chars = f"_{names.index('text')}", f"_{names.index('n_chars')}"
@@ -51,20 +59,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items.
+
+    Rows with a null id, a null or an empty text stay; rows that share an id go together. Texts are searched whole.
+    """
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.filter("contaminated AND doc_id IS NOT NULL"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences; null and empty texts give the end mark alone, repeated rows are packed each."""
     return packing.pack(docs, word_tokenizer())
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose key is in ``gone``; rows with a null key stay."""
-    gone = pick(gone, gone_id="doc_id").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """``docs`` without the rows whose key is in ``gone``; rows with a null key stay. Columns are taken by place."""
+    names = docs.columns
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    gone = pick(gone, gone="doc_id").distinct()
+    return flat.join(gone, F.col(f"_{names.index('doc_id')}") == F.col("gone"), "left_anti").toDF(*names)
 
 
 STAGES = [("language_id", keep_languages), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates),
