@@ -71,6 +71,32 @@ def test_the_given_documents(spark):
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").count() == 0
 
 
+CLASHES = ["DOC_ID", "gone_id", "gone", "key", "row", "component_id", "contaminated", "score", "lang_pred", "n_lines", "a.b"]
+
+
+@pytest.mark.skipif(not HAVE, reason="needs the given tables")
+def test_clashing_columns_pass_every_filter(spark):
+    rows = [(1, story(60)), (2, story(60)), (3, story(80, 3)), (None, story(70, 5)), (4, None), (5, "")]
+    plain = docs(spark, rows)
+    wide = plain.toDF(*[f"c{i}" for i in range(5)])
+    wide = wide.selectExpr("*", *[f"'{c}' AS x{i}" for i, c in enumerate(CLASHES)]).toDF(*plain.columns, *CLASHES)
+    for _, stage in pipeline.STAGES[:-1]:
+        want = sorted(str(tuple(r)) for r in stage(spark, plain, FOLDER).collect())
+        out = stage(spark, wide, FOLDER)
+        assert out.columns == [*plain.columns, *CLASHES]
+        found = out.toDF(*[f"c{i}" for i in range(len(out.columns))]).collect()
+        assert {tuple(r)[5:] for r in found} <= {tuple(CLASHES)}
+        assert sorted(str(tuple(r)[:5]) for r in found) == want
+
+
+@pytest.mark.skipif(not HAVE, reason="needs the given tables")
+def test_empty_documents_pass_every_stage(spark):
+    now = docs(spark, [])
+    for _, stage in pipeline.STAGES:
+        now = stage(spark, now, FOLDER)
+        assert now.count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
