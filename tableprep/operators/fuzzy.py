@@ -25,6 +25,9 @@ from .roles import col
 from .skew import chunk_sizes, grid
 
 TEXTS_PER_CHUNK = 5_000
+TUPLES_PER_CHUNK = 5_000
+#: A column that leads to at most so many right tuples needs no better one.
+FEW = 100
 
 
 def similar_texts(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
@@ -147,14 +150,49 @@ def fuzzy_key_map(left: DataFrame, right: DataFrame, left_on: str, right_on: str
     return merge(keyed, other, "_merge_key", "_merge_key", how, suffixes).drop("_merge_key")
 
 
+def _near_values(left: DataFrame, right: DataFrame, similar: float) -> DataFrame:
+    """``a, b``: distinct values alike; two empty texts are."""
+    near = similar_texts(left, right, similar).filter(similarity(F.col("a"), F.col("b")) >= similar)
+    empty = left.filter("a = ''").join(right.filter("b = ''"), F.col("a") == F.col("b"))
+    return near.unionByName(empty.select("a", "b"))
+
+
+def _link_columns(lt: DataFrame, rt: DataFrame, lk: Sequence[str], rk: Sequence[str], wanted: int,
+                  similar: float) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Left tuples with ``_use``, the ``wanted`` columns that lead to the fewest right tuples, and the near values per column.
+
+    How many right tuples a column leads to is counted. Columns with more values come first,
+    and only tuples without ``wanted`` columns of at most ``FEW`` right tuples go on to the next.
+    """
+    kinds = rt.agg(*[F.approx_count_distinct(k).alias(k) for k in rk]).first()
+    state = lt.withColumn("_costs", F.array().cast("array<struct<n:bigint,c:int>>"))
+    is_open = F.size(F.filter("_costs", lambda o: o["n"] <= FEW)) < wanted
+    nears = {}
+    for i in sorted(range(len(lk)), key=lambda i: (-kinds[rk[i]], i)):
+        values = state.filter(is_open & F.col(lk[i]).isNotNull()).groupBy(F.col(lk[i]).alias("a")).agg(F.count("*").alias("_n"))
+        values = cut_lineage(values)
+        held = rt.filter(F.col(rk[i]).isNotNull()).groupBy(F.col(rk[i]).alias("b")).agg(F.count("*").alias("m"))
+        nears[i] = cut_lineage(_near_values(values.select("a"), held.select("b"), similar))
+        table = nears[i].join(held, "b").groupBy("a").agg(F.sum("m").alias("_to")).join(values, "a") \
+            .select(F.col("a").alias("_key"), "_n", "_to")
+        option = F.struct(F.coalesce("_to", F.lit(0)).cast("bigint").alias("n"), F.lit(i).alias("c"))
+        met = lookup(state, lk[i], table, "_to")
+        state = cut_lineage(met.withColumn("_costs", F.when(is_open, F.array_append("_costs", option)).otherwise(F.col("_costs"))).drop("_to"))
+        if state.filter(is_open).isEmpty():
+            break
+    use = F.transform(F.slice(F.array_sort("_costs"), 1, wanted), lambda o: o["c"])
+    return state.select(*lk, use.alias("_use")), nears
+
+
 def fuzzy_record_link(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
                       similar: float = 0.85, suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """All row pairs where enough column pairs are alike; every match is kept.
 
     A column pair counts when its similarity reaches ``similar``, and a row pair
-    is kept when at least that share of its columns count. Candidates come from
-    the columns one at a time: with m misses allowed, any m + 1 columns hold one
-    that is alike.
+    is kept when at least that share of its columns count. With m misses allowed, any
+    m + 1 columns hold one that is alike: each left tuple of keys takes its candidates from
+    the m + 1 columns that lead to the fewest right tuples, and the others only verify. A
+    value that many tuples share is cut into a grid of chunks. A null is like nothing.
     """
     n = len(left_on)
     need = math.ceil(similar * n - 1e-9)
@@ -164,17 +202,23 @@ def fuzzy_record_link(left: DataFrame, right: DataFrame, left_on: Sequence[str],
     r = right.select(F.struct(*[col(c) for c in right.columns]).alias("_r"), *[key(col(c)).alias(k) for c, k in zip(right_on, rk)])
     # rows meet through distinct key tuples, so repeated keys are compared once
     lt, rt = cut_lineage(l.select(*lk).distinct()), cut_lineage(r.select(*rk).distinct())
+    tuples, nears = _link_columns(lt, rt, lk, rk, n - need + 1, similar)
+    alike = [F.col(x).isNotNull() & F.col(y).isNotNull() & (similarity(F.col(x), F.col(y)) >= similar) for x, y in zip(lk, rk)]
+    total = F.size(F.filter("_alike", lambda x: x))
     hits = None
-    for a, b in list(zip(lk, rk))[:n - need + 1]:
-        near = similar_texts(lt.filter(F.col(a).isNotNull()).select(F.col(a).alias("a")).distinct(),
-                             rt.filter(F.col(b).isNotNull()).select(F.col(b).alias("b")).distinct(), similar)
-        near = near.filter(similarity(F.col("a"), F.col("b")) >= similar)
-        alike = [F.coalesce((similarity(F.col(x), F.col(y)) >= similar).cast("int"), F.lit(0)) for x, y in zip(lk, rk)]
-        total = reduce(lambda x, y: x + y, alike)
-        found = (lt.join(near, F.col(a) == F.col("a")).join(rt, (F.col(b) == F.col("b")) & (total >= need))
-                 .select(*lk, *rk, total.alias("matched")))
+    for i, near in nears.items():
+        led = cut_lineage(tuples.filter(F.array_contains("_use", i)).join(near, F.col(lk[i]) == F.col("a")).select(*lk, "_use", "b"))
+        other = rt.filter(F.col(rk[i]).isNotNull()).withColumn("b", F.col(rk[i]))
+        sizes = chunk_sizes(led, other, ["b"], TUPLES_PER_CHUNK, TUPLES_PER_CHUNK)
+        a, b = grid(led, other, sizes, ["b"], F.xxhash64(*lk), F.xxhash64(*rk))
+        cell = ["b", "_cl", "_cr"]
+        a = a.toDF(*[f"_to_{c}" if c in cell else c for c in a.columns])
+        # a pair that an earlier column of the tuple leads to as well is found there
+        elsewhere = F.exists("_use", lambda j: (j < i) & F.get("_alike", j))
+        meet = reduce(lambda x, y: x & y, [F.col(f"_to_{c}") == F.col(c) for c in cell])
+        found = a.join(b, meet).withColumn("_alike", F.array(*alike)).filter((total >= need) & ~elsewhere) \
+            .select(*lk, *rk, total.alias("matched"))
         hits = found if hits is None else hits.unionByName(found)
-    hits = hits.distinct() if n - need + 1 > 1 else hits
     same = lambda names, side: reduce(lambda x, y: x & y, [F.col(f"h.{k}").eqNullSafe(F.col(f"{side}.{k}")) for k in names])
     rows = (hits.alias("h").join(l.alias("l"), same(lk, "l")).join(r.alias("r"), same(rk, "r"))
             .select("l._l", "r._r", "h.matched"))

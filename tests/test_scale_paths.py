@@ -1,5 +1,7 @@
 """Paths meant for tables that do not fit one task, forced on small data and checked by brute force."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -211,6 +213,45 @@ def test_record_link_allows_misses_over_many_columns(spark):
     assert [r["matched"] for r in fuzzy.fuzzy_record_link(left, right, names, names).collect()] == [6]
 
 
+@pytest.mark.parametrize("chunk, few", [(5_000, 100), (7, 0)])
+def test_record_link_equals_brute_force(spark, monkeypatch, chunk, few):
+    monkeypatch.setattr(fuzzy, "TUPLES_PER_CHUNK", chunk)
+    monkeypatch.setattr(fuzzy, "FEW", few)
+    rng, names = random.Random(11), ["c0", "c1", "c2"]
+    pool = [None, "", "red", "green house", "green  Mouse", "blue water", "blue waters", "stone", "old road", "new road"]
+    made = lambda: [tuple(rng.choice(pool) if rng.random() < 0.3 else f"fixed value {i}" for i in range(3)) for _ in range(40)]
+    a, b = made(), made()
+    schema = ", ".join(f"{n} string" for n in names)
+    left = spark.createDataFrame([(i, *x) for i, x in enumerate(a)], "i int, " + schema)
+    right = spark.createDataFrame([(i, *x) for i, x in enumerate(b)], "j int, " + schema)
+    plain = lambda t: None if t is None else " ".join(t.lower().split())
+
+    def matched(x, y):
+        pairs = [(plain(u), plain(v)) for u, v in zip(x, y) if u is not None and v is not None]
+        return sum(not (u or v) or 1 - edit(u, v) / max(len(u), len(v)) >= 0.6 for u, v in pairs)
+
+    want = sorted((i, j, matched(x, y)) for i, x in enumerate(a) for j, y in enumerate(b) if matched(x, y) >= 2)
+    got = sorted((r["i"], r["j"], r["matched"]) for r in fuzzy.fuzzy_record_link(left, right, names, names, 0.6).collect())
+    assert got == want and len(want) > 20
+
+
+def test_record_link_takes_candidates_from_the_selective_column(spark, monkeypatch):
+    """25 towns, named first, lead to a 25th of all rows, the names to one each."""
+    monkeypatch.setattr(fuzzy, "FEW", 1)
+    counts = []
+    for rows in (100, 400):
+        df = spark.range(rows).select(F.md5(F.col("id").cast("string")).alias("name"),
+                                      F.concat(F.lit("town "), F.chr(65 + F.col("id") % 25), F.chr(66 + F.col("id") % 25)).alias("town"))
+        on = ["town", "name"]
+        keys = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)])
+        other = df.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(on)])
+        tuples, nears = fuzzy._link_columns(keys, other, ["_k0", "_k1"], ["_m0", "_m1"], 1, 0.85)
+        led = [tuples.filter(F.array_contains("_use", i)).join(near, F.col(f"_k{i}") == F.col("a"))
+               .join(other, F.col("b") == F.col(f"_m{i}")).count() for i, near in nears.items()]
+        counts.append(sum(led))
+    assert counts == [100, 400]
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
 @pytest.mark.parametrize("limit", [20, 10 ** 6])
 def test_merges_with_hot_keys(spark, monkeypatch, how, limit):
