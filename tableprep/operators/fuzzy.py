@@ -26,8 +26,8 @@ from .skew import chunk_sizes, grid
 
 TEXTS_PER_CHUNK = 5_000
 TUPLES_PER_CHUNK = 5_000
-#: A column that leads to at most so many right tuples needs no better one.
-FEW = 100
+#: A column that leads to at most so many right tuples needs no better one: verifying them costs less than a search.
+FEW = 1_000
 
 
 def similar_texts(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:

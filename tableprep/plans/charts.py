@@ -23,6 +23,9 @@ from ..session import broadcast_if_small, cut_lineage
 
 GRID_POINTS = 200
 DENSITY_GROUPS = 1000
+#: A group of more rows is cut into chunks of about so many.
+DENSITY_ROWS = 1_000_000
+KERNELS = "grp string, i int, t double"
 
 
 # a null group is no text: groups travel as "n" or "v" and the text, and are read back at the end
@@ -100,36 +103,71 @@ def multi_box(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return box(profile.long_form(df, cols, "double"), "value", "column", groups=len(cols))
 
 
+def _kernels(values: np.ndarray, h: float, lo: float, hi: float, points: int) -> np.ndarray:
+    """Kernels of all values at each grid point, added up."""
+    grid = lo - 3 * h + np.arange(points) * (hi - lo + 6 * h) / (points - 1)
+    values, times = np.unique(values, return_counts=True)
+    total = np.zeros(points)
+    for at in range(0, len(values), 4096):
+        z = (grid - values[at:at + 4096, None]) / h
+        total += times[at:at + 4096] @ np.exp(-0.5 * z * z)
+    return total
+
+
+def _kernel_frame(grp: str, total: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"grp": grp, "i": np.arange(len(total), dtype="int32"), "t": total})
+
+
 def _kernel_sums(data: DataFrame, facts: dict[str, tuple], points: int) -> DataFrame:
     """grp, i, t: kernels of all values at the grid points, added up batch by batch.
 
     ``facts`` has h, lo and hi of every group. A task hands on ``points`` numbers per group.
     """
-    grids = {g: (h, lo - 3 * h + np.arange(points) * (hi - lo + 6 * h) / (points - 1)) for g, (h, lo, hi) in facts.items()}
-
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {}
         for batch in batches:
             for g, v in batch.groupby("grp")["v"]:
-                if g not in grids:
-                    continue
-                h, grid = grids[g]
-                values, times = np.unique(v.to_numpy(dtype=float), return_counts=True)
-                total = sums.setdefault(g, np.zeros(points))
-                for at in range(0, len(values), 4096):
-                    z = (grid - values[at:at + 4096, None]) / h
-                    total += times[at:at + 4096] @ np.exp(-0.5 * z * z)
+                if g in facts:
+                    sums[g] = sums.get(g, 0) + _kernels(v.to_numpy(dtype=float), *facts[g], points)
         for g, total in sums.items():
-            yield pd.DataFrame({"grp": g, "i": np.arange(points, dtype="int32"), "t": total})
+            yield _kernel_frame(g, total)
+
+    return data.mapInPandas(partial, KERNELS)
 
-    return data.mapInPandas(partial, "grp string, i int, t double").groupBy("grp", "i").agg(F.sum("t").alias("t"))
+
+def _kernel_sums_by_chunk(data: DataFrame, facts: DataFrame, points: int) -> DataFrame:
+    """The same sums for any number of groups: one shuffle brings the rows of a group, or of each of its chunks, together.
+
+    A task goes through its groups in order and holds one of them; it hands on ``points`` numbers for each.
+    """
+    chunk = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / DENSITY_ROWS)).cast("int")
+    rows = data.join(broadcast_if_small(facts, cut=False), "grp").withColumn("c", chunk) \
+        .repartition("grp", "c").sortWithinPartitions("grp").select("grp", "v", "h", "lo", "hi")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = None, None
+        for batch in batches:
+            done = []
+            for g, part in batch.groupby("grp"):
+                sums = _kernels(part["v"].to_numpy(dtype=float), *part[["h", "lo", "hi"]].iloc[0], points)
+                if g != held:
+                    if total is not None:
+                        done.append(_kernel_frame(held, total))
+                    held, total = g, 0
+                total = total + sums
+            if done:
+                yield pd.concat(done)
+        if total is not None:
+            yield _kernel_frame(held, total)
+
+    return rows.mapInPandas(partial, KERNELS)
 
 
 def kde(df: DataFrame, x: str, by: str | None = None, points: int = GRID_POINTS) -> DataFrame:
     """Gaussian density on a grid three bandwidths beyond the data, bandwidth by Scott's rule.
 
-    The facts of up to ``DENSITY_GROUPS`` groups go to the tasks as numbers; with more
-    groups, data and facts meet by an ordinary join on the group.
+    Tasks add up kernels. The facts of up to ``DENSITY_GROUPS`` groups go to them as numbers and rows
+    stay where they are; rows of more groups are shuffled once, large groups in chunks.
     """
     group = _group(col(by)) if by else F.lit("vall")
     data = df.select(group.alias("grp"), col(x).cast("double").alias("v")).filter("v IS NOT NULL")
@@ -141,10 +179,8 @@ def kde(df: DataFrame, x: str, by: str | None = None, points: int = GRID_POINTS)
     if len(known) <= DENSITY_GROUPS:
         sums = _kernel_sums(data, {r["grp"]: (r["h"], r["lo"], r["hi"]) for r in known}, points)
     else:
-        z = (at - F.col("v")) / F.col("h")
-        counts = data.groupBy("grp", "v").agg(F.count("*").alias("m")).join(facts, "grp")
-        spread = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        sums = spread.groupBy("grp", "i").agg(F.sum(F.col("m") * F.exp(-0.5 * z * z)).alias("t"))
+        sums = _kernel_sums_by_chunk(data, facts, points)
+    sums = sums.groupBy("grp", "i").agg(F.sum("t").alias("t"))
     out = sums.join(facts, "grp").select("grp", "i", at.alias("x"), (
         F.col("t") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
     return _ungroup(out)

@@ -208,6 +208,13 @@ def test_density_of_many_groups_is_the_same(spark, monkeypatch):
     few = shape(charts.kde(df, "v", "g", 20))
     monkeypatch.setattr(charts, "DENSITY_GROUPS", 1)
     assert shape(charts.kde(df, "v", "g", 20)) == few
+    # groups in chunks of about seven rows, and a few rows a batch
+    monkeypatch.setattr(charts, "DENSITY_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert shape(charts.kde(df, "v", "g", 20)) == few
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_modes_and_samples_go_by_the_own_order(spark):
