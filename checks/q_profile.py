@@ -100,6 +100,14 @@ def _(t):
     return profile.snapshot(t.orders_dirty)
 
 
+@check("snapshot_first_rows", union(f"""SELECT '{c}' AS "column", (
+  SELECT string_agg(coalesce(CAST({c} AS VARCHAR), 'null'), ' | ' ORDER BY o_orderkey)
+  FROM (SELECT * FROM orders_dirty ORDER BY o_orderkey LIMIT 3)) AS "first\"""" for c in _ORDER_COLS))
+def _(t):
+    found = profile.snapshot(t.orders_dirty, order_by=["o_orderkey"])
+    return found.select("column", F.array_join("first", " | ", "null").alias("first"))
+
+
 def outlier_sql(table: str, cols: list[str]) -> str:
     return union(f"""SELECT '{c}' AS "column", coalesce((SELECT count(*) FROM {table}, (
   SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS a, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS b FROM {table}) q

@@ -105,6 +105,21 @@ def _(t):
     return found.select("name", "rows", "columns", "missing_total")
 
 
+# types by their names in SQL; fixed values
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz", "DATE": "date",
+          "FLOAT[]": "array<float>"}
+
+
+@check("inventory_columns", union(f"""SELECT '{n}' AS name, d.column_name AS "column",
+  CASE d.column_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())} END AS type, r.rows - f.filled AS missing
+FROM (SELECT * FROM (DESCRIBE {n})) d JOIN (UNPIVOT (SELECT count(COLUMNS(*)) FROM {n}) ON COLUMNS(*) INTO NAME name VALUE filled) f
+ON f.name = d.column_name CROSS JOIN (SELECT count(*) AS rows FROM {n}) r""" for n in NAMES))
+def _(t):
+    found = inventory.dataset_inventory(t.spark, {n: t.path(n) for n in NAMES})
+    return found.select("name", "types", F.explode("missing").alias("column", "missing")).select(
+        "name", "column", F.element_at("types", F.col("column")).alias("type"), "missing")
+
+
 @check("files_total", f"""SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(rows) AS BIGINT) AS rows,
   CAST(sum(columns) AS BIGINT) AS columns FROM (
   {union(f"SELECT count(*) AS rows, {_WIDTH[n]} AS columns FROM {n}" for n in NAMES)})""")

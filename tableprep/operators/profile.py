@@ -223,8 +223,17 @@ def describe_all(df: DataFrame, exact: bool = True) -> DataFrame:
     return nums.unionByName(tops, allowMissingColumns=True)
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """Compact facts per column: type, missing %, rounded moments, cardinality."""
+def first_values(df: DataFrame, order_by: Sequence[str], n: int = 3) -> DataFrame:
+    """column, first: the values of the first ``n`` rows in the order of ``order_by``, as texts; ties go by the other columns."""
+    rest = [f.name for f in df.schema.fields if f.name not in order_by and f.dataType.typeName() not in ("map", "variant")]
+    top = df.orderBy(*[col(c) for c in [*order_by, *rest]]).limit(n)
+    # the rows are in one partition, in order; a struct keeps nulls
+    lists = top.agg(*[F.collect_list(F.struct(col(c).cast("string").alias("v"))).alias(c) for c in df.columns])
+    return melt(lists, df.columns, "column", "first").select("column", F.col("first.v").alias("first"))
+
+
+def snapshot(df: DataFrame, order_by: Sequence[str] | None = None, first: int = 3) -> DataFrame:
+    """Compact facts per column: type, missing %, rounded moments, cardinality; with ``order_by`` also the first values."""
     facts = Facts(df).ask_missing().ask_moments(numeric_columns(df))
     base = missing_counts(df, 1, facts).select("column", "missing_pct")
     nums = _small(df, [(c, *(s[k] for k in ("mean", "std", "min", "max"))) for c, s in moments(df, numeric_columns(df), facts).items()],
@@ -232,7 +241,8 @@ def snapshot(df: DataFrame) -> DataFrame:
     nums = nums.select("column", *[F.round(m, 2).alias(m) for m in ("mean", "std", "min", "max")])
     text = categorical_columns(df, booleans=False)
     card = frequencies(df, text).groupBy("column").agg(F.count("*").alias("cardinality"))
-    return base.join(F.broadcast(nums), "column", "left").join(F.broadcast(card), "column", "left")
+    out = base.join(F.broadcast(nums), "column", "left").join(F.broadcast(card), "column", "left")
+    return out.join(F.broadcast(first_values(df, order_by, first)), "column", "left") if order_by else out
 
 
 def iqr_outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,

@@ -12,12 +12,14 @@ from ..operators.roles import col
 
 
 def table_facts(df: DataFrame, name: str) -> DataFrame:
-    """name, rows, columns, column_names, types, missing per column and in total."""
+    """name, rows, columns, column_names, types, missing per column and in total, first row as JSON (null if there is none)."""
     nulls = [F.count(F.when(col(c).isNull(), 1)) for c in df.columns]
     types = F.create_map(*[F.lit(v) for f in df.schema.fields for v in (f.name, f.dataType.simpleString())])
     missing = F.create_map(*[v for c, n in zip(df.columns, nulls) for v in (F.lit(c), n)])
     facts = df.agg(F.count("*").alias("rows"), sum(nulls, F.lit(0)).alias("missing_total"), missing.alias("missing"))
-    return facts.select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"),
+    # of many files the one that Spark reads first; a split or two is read, not the table
+    first = df.select(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("row")).first()
+    return facts.select(F.lit(name).alias("name"), F.lit(first and first["row"]).cast("string").alias("first_row"), "rows", F.lit(len(df.columns)).alias("columns"),
                         F.array(*[F.lit(c) for c in df.columns]).alias("column_names"), types.alias("types"),
                         "missing", "missing_total")
 

@@ -146,16 +146,26 @@ def test_routing(spark):
 
 def test_inventory_and_report(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "t1"))
-    spark.range(5).selectExpr("id", "CASE WHEN id > 2 THEN 'a' END AS c").write.parquet(str(tmp_path / "t2"))
+    spark.range(5).selectExpr("id", "CASE WHEN id > 2 THEN 'a' END AS c").coalesce(1).write.parquet(str(tmp_path / "t2"))
     found = inventory.dataset_inventory(spark, {"t1": str(tmp_path / "t1"), "t2": str(tmp_path / "t2")})
     facts = {r["name"]: r for r in found.collect()}
     assert facts["t1"]["rows"] == 10 and facts["t2"]["missing"] == {"id": 0, "c": 3} and facts["t1"]["bytes"] > 0
+    spark.range(0).write.parquet(str(tmp_path / "t3"))
+    empty = inventory.dataset_inventory(spark, {"t3": str(tmp_path / "t3")}).first()
+    assert facts["t2"]["first_row"] == '{"id":0,"c":null}' and empty["first_row"] is None and empty["rows"] == 0
     inventory.write_inventory(found, str(tmp_path / "inv"))
     assert spark.read.parquet(str(tmp_path / "inv")).count() == 2
     lines = report.report_lines(report.report_table({"t2": spark.read.parquet(str(tmp_path / "t2"))})).orderBy("part").collect()
     assert lines[0]["text"] == "# 1 dataset(s)" and "5 rows in 2 columns" in lines[1]["text"] and "3 empty cells (c=3)" in lines[1]["text"]
 
 
+def test_snapshot_shows_first_rows(spark):
+    df = spark.createDataFrame([(2, None, [1]), (1, "b", [2]), (1, "a", None), (3, "z", [4])], "k int, c string, l array<int>")
+    got = {r["column"]: r["first"] for r in profile.snapshot(df, order_by=["k"]).collect()}
+    assert got == {"k": ["1", "1", "2"], "c": ["a", "b", None], "l": [None, "[2]", "[1]"]}
+    assert [r["first"] for r in profile.first_values(df.filter("k > 9"), ["k"]).collect()] == [[]] * 3
+
+
 def test_facts_share_one_scan(spark):
     df = spark.createDataFrame([(1, 2.0, "ab"), (2, None, None), (3, 4.0, "c")], "a long, b double, c string")
     facts = profile.Facts(df).ask_missing().ask_bytes().ask_moments(["a", "b"])
