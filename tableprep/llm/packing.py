@@ -8,7 +8,7 @@ at the end of a range is cut into sequences whose lengths are powers of two, the
 largest first, and these need no padding. So there is none at all.
 
 Tokens are made once and stored as 16-bit numbers; range bounds and sorting work on
-the stored table. A task holds one Arrow batch. Ties on the curve are split by key, so
+the stored table. A task holds a few Arrow batches. Ties on the curve are split by key, so
 many copies of one document spread over as many ranges as their number asks for.
 """
 
@@ -18,23 +18,27 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, small_batches, stored
 
-#: Words that a tokenizer of words parts into one piece of letters and perhaps a point or comma.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+#: Letters of one code point in either case, and signs, that a tokenizer of words may part: checked for each tokenizer.
+LETTERS = "".join(c for c in map(chr, range(256)) if re.match("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", c))
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PLAIN = f"^[{LETTERS}]+[{re.escape(SIGNS)}]*$"
 LENGTH = 4096
 END = 2
 DIMS, CELL_BITS = 3, 8
 #: Words whose tokens a worker remembers in each half of its memory; when one is full the other is forgotten.
 MEMORY = 400_000
-#: Code points whose words are looked up at once; longer texts are cut at a space.
-SLICE = 1 << 19
+#: Code points (or bytes of Arrow batches) whose words are looked up at once; longer texts are cut at a space.
+SLICE = 1 << 24
 _encoders: dict[str, Callable] = {}
 
 
@@ -42,7 +46,8 @@ def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     """Texts to their token ids as little-endian 16-bit numbers, each with END.
 
     White space parts tokens in every public word tokenizer of this kind, so a text's
-    ids are those of its white-space parts in a row; parts seen before are looked up.
+    ids are those of its white-space parts in a row; parts seen before are looked up, and
+    words that differ only in case or in signs at the end share the ids of their letters.
     """
     if path in _encoders:
         return _encoders[path]
@@ -53,48 +58,77 @@ def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     if model.get_vocab_size() > 1 << 16:
         raise ValueError("token ids do not fit 16 bits")
     recent, older = {"": b""}, {}
-    end = np.array([END], "<u2").tobytes()
+    end, letters, none = np.array([END], "<u2").tobytes(), frozenset(LETTERS), pa.scalar("", pa.large_string())
 
     last = np.zeros(1 << 16, bool)  # ids of pieces that end a word
     last[[i for piece, i in model.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def together(parts: list[str]) -> list[bytes]:
-        """Ids of plain words, encoded as one text and cut where words end; none if the ends do not add up."""
-        ids = np.array(model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u2")
+    def together(stems: list[str]) -> list[bytes]:
+        """Ids of runs of letters, encoded as one text and cut where words end; none if the ends do not add up."""
+        ids = np.array(model.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.flatnonzero(last[ids]) + 1
-        words = np.cumsum([2 if p[-1] in ".," else 1 for p in parts])
-        if not len(ends) or len(ends) != words[-1] or ends[-1] != len(ids):
+        if not len(ends) or len(ends) != len(stems) or ends[-1] != len(ids):
             return []
-        cuts, raw = (2 * ends[words - 1]).tolist(), ids.tobytes()
+        cuts, raw = (2 * ends).tolist(), ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def learned(missing: set[str]) -> None:
+    def single(parts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u2").tobytes() for x in model.encode_batch_fast(parts, add_special_tokens=False)]
+
+    # letters of either case have the same ids if the tokenizer says so of each
+    fold = model.normalizer is not None and model.normalizer.normalize_str(LETTERS) == pc.utf8_lower(LETTERS).as_py()
+    # an added token could stand inside a plain word
+    whole = any(re.fullmatch(PLAIN, "a" + t.content) for t in model.get_added_tokens_decoder().values())
+    tails: dict[str, bytes | None] = {}
+
+    def tail(signs: str) -> bytes | None:
+        """Ids of signs after letters; None if the tokenizer does not part them from the letters."""
+        if signs not in tails:
+            if len(tails) >= 10_000:
+                tails.clear()
+            a, e, alone, after, beside = single(["a", "\u00e9", signs, "a" + signs, "\u00e9" + signs])
+            tails[signs] = alone if (after, beside) == (a + alone, e + alone) else None
+        return tails[signs]
+
+    def learned(missing: list[str]) -> None:
         """Puts all missing words into ``recent``."""
-        nonlocal recent, older
-        back = {p: older[p] for p in missing if p in older}
-        recent.update(back)
-        new = [p for p in missing if p not in back]
-        plain = [p for p in new if PLAIN.fullmatch(p)]
+        recent.update({p: older[p] for p in missing if p in older})
+        new = [p for p in missing if p not in recent]
+        plain = [p for p in new if letters.issuperset(p)]
         for at in range(0, len(plain), 4096):
             recent.update(zip(plain[at:at + 4096], together(plain[at:at + 4096])))
         other = [p for p in new if p not in recent]
-        for part, found in zip(other, model.encode_batch_fast(other, add_special_tokens=False)):
-            recent[part] = np.array(found.ids, "<u2").tobytes()
+        recent.update(zip(other, single(other)))
+
+    def ids_of(words: pa.Array) -> pa.Array:
+        """Ids of different words: those of their letters, looked up or learned, and of the signs after them."""
+        plain = pc.match_substring_regex(words, "^$" if whole else PLAIN)
+        signs = pc.if_else(plain, pc.utf8_ltrim(words, characters=LETTERS), none).dictionary_encode()
+        ends = [tail(x) for x in signs.dictionary.to_pylist()]
+        plain = pc.and_(plain, pa.array([x is not None for x in ends], pa.bool_()).take(signs.indices))
+        stems = pc.utf8_rtrim(words, characters=SIGNS)
+        known = pc.if_else(plain, pc.utf8_lower(stems) if fold else stems, words).dictionary_encode()
+        names = known.dictionary.to_pylist()
+        got = list(map(recent.get, names))
+        missing = [p for p, g in zip(names, got) if g is None]
+        if missing:
+            learned(missing)
+            got = [recent[p] if g is None else g for p, g in zip(names, got)]
+        ends = pa.array([x or b"" for x in ends], pa.large_binary()).take(signs.indices)
+        return pc.binary_join_element_wise(pa.array(got, pa.large_binary()).take(known.indices), ends, pa.scalar(b"", pa.large_binary()))
 
     def group(slices: list[str]) -> list[bytes]:
-        """Ids of some slices; their unknown words are encoded together."""
+        """Ids of some slices; each different word is looked up once, unknown ones are encoded together."""
         nonlocal recent, older
         if len(recent) >= MEMORY:  # words in use come back from the older half
             recent, older = {"": b""}, recent
-        parts = [t.split(" ") for t in slices]
-        got = [list(map(recent.get, x)) for x in parts]
-        holes = [i for i, x in enumerate(got) if None in x]
-        missing = {p for i in holes for p, g in zip(parts[i], got[i]) if g is None}
-        if missing:
-            learned(missing)
-            for i in holes:
-                got[i] = [recent[p] if g is None else g for p, g in zip(parts[i], got[i])]
-        return [b"".join(x) for x in got]
+        parts = pc.split_pattern(pa.array(slices, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        # the ids of all words in a row, and where those of each slice begin
+        _, at, raw = ids_of(coded.dictionary).take(coded.indices).buffers()
+        at = np.frombuffer(at, np.int64)[parts.offsets.to_numpy()].tolist()
+        raw = raw.to_pybytes() if raw else b""
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def encode(texts: list[str | None]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
@@ -177,13 +211,21 @@ def tokenized(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table = encoder(path), signs()
-        for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, len(batch), 256):
-                ids = encode(texts[at:at + 256].to_pylist())
+
+        def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = iter(encode([t for batch in held for t in batch.column("text").to_pylist()]))
+            for batch in held:
+                own = list(islice(ids, len(batch)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key")[at:at + 256], pa.array(curve_key(ids, table)), pa.array(ids, pa.binary())],
-                    ["key", "curve", "ids"])
+                    [batch.column("key"), pa.array(curve_key(own, table)), pa.array(own, pa.binary())], ["key", "curve", "ids"])
+
+        held = []
+        for batch in batches:  # a few batches share their look-ups
+            held.append(batch)
+            if sum(x.nbytes for x in held) >= SLICE:
+                yield from made(held)
+                held = []
+        yield from made(held)
 
     return rows.mapInArrow(run, f"key {kind.simpleString()}, curve long, ids binary")
 

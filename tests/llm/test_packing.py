@@ -27,6 +27,37 @@ def test_encoder_equals_the_tokenizer(model, monkeypatch):
         assert np.frombuffer(got, "<u2").tolist() == want, text
 
 
+def test_words_share_the_ids_of_their_letters(model, monkeypatch):
+    import tokenizers
+
+    given = []
+
+    class Counting:
+        def __init__(self, path):
+            self.own = model
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return self.own.encode_batch_fast(texts, **more)
+
+    Counting.from_file = Counting
+    packing._encoders.clear()
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    rng = np.random.default_rng(5)
+    stems = ["".join(rng.choice(list("aeiounrstlé\u00e7\u00df"), 9)) for _ in range(400)]
+    texts = [" ".join(f(x) + end for x in stems) for f in (str, str.capitalize) for end in ("", ",", ".", "***", "!?", "'", "'s")]
+    texts += ["\u00c9A\u00d6\u00dd\u00ff. \u00b5m, \u00d7y \u00f7z A\u0301b.", "it's. don't' <|endoftext|>. a<|endoftext|>"]
+    encode = packing.encoder(word_tokenizer())
+    packing._encoders.clear()
+    for text, got in zip(texts, encode(texts)):
+        assert np.frombuffer(got, "<u2").tolist() == model.encode(text, add_special_tokens=False).ids + [packing.END], text
+    # letters go to the tokenizer once, not for each case and sign; apostrophes are left to it
+    assert sum(map(len, given)) < 2 * sum(map(len, stems)) + sum(len(t) for t in texts if "'" in t)
+
+
 def test_hilbert_visits_neighbours():
     for dims, bits in ((2, 3), (3, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
