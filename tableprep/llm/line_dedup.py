@@ -290,7 +290,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     # only documents that lose lines, and a few more, are shuffled
     gone = stored(gone, "lines-gone")
     losers = stored(sieve(gone.select("key"), "key"), "sieve")
-    joined = passed(flat, k, losers).join(gone, F.col(k).eqNullSafe(F.col("key")), "left") \
+    # by shuffle also where Spark would broadcast, so the disk of a small run tells that of a large one
+    joined = passed(flat, k, losers).join(gone.hint("merge"), F.col(k).eqNullSafe(F.col("key")), "left") \
         .unionByName(passed(flat, k, losers, out=True), allowMissingColumns=True)
     # kept numbers by set difference, so a text of many lines costs its length
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")),

@@ -84,6 +84,16 @@ def test_empty_table_copies_and_long_lines(spark):
     assert sorted((r["doc_id"], r["n_dropped"]) for r in dedup_lines(text_keys).collect()) == [("a", 0), ("b", 1)]
 
 
+def test_documents_meet_their_lines_by_shuffle_at_any_size(spark, capsys):
+    docs = [(i, f"a line that all share\nline {i} that stays for good, number {(i or 0) ** 2 * 977}") for i in [*range(5), 3, None, None]]
+    out = dedup_lines(documents(spark, docs, False))
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2  # the two sieves
+    assert sorted((str(r["doc_id"]), r["n_dropped"]) for r in out.collect()) == \
+        [("0", 1), ("1", 1), ("2", 1), ("3", 1), ("3", 1), ("4", 1), ("None", 0), ("None", 0)]
+
+
 def test_short_lines_with_one_edit_go(spark):
     rnd = random.Random(9)
     base = ["".join(rnd.choice("abcdefgh ijk") for _ in range(n)) for n in (*range(18, 42), 39, 39, 40, 40)]
