@@ -38,7 +38,7 @@ DIMS, CELL_BITS = 3, 8
 #: Words whose tokens a worker remembers in each half of its memory; when one is full the other is forgotten.
 MEMORY = 400_000
 #: Code points (or bytes of Arrow batches) whose words are looked up at once; longer texts are cut at a space.
-SLICE = 1 << 24
+SLICE = 1 << 22
 _encoders: dict[str, Callable] = {}
 
 
@@ -218,6 +218,8 @@ def tokenized(rows: DataFrame, path: str) -> DataFrame:
                 own = list(islice(ids, len(batch)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key"), pa.array(curve_key(own, table)), pa.array(own, pa.binary())], ["key", "curve", "ids"])
+            # workers stay for later stages: free memory goes back
+            pa.default_memory_pool().release_unused()
 
         held = []
         for batch in batches:  # a few batches share their look-ups
