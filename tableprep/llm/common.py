@@ -42,10 +42,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written as Parquet to the shared folder and read from there."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df``, written as Parquet (with ``options`` of the writer) to the shared folder and read from there."""
     spark, folder = df.sparkSession, work_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
