@@ -77,11 +77,11 @@ def impute_knn(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5) ->
     if not targets:
         return df
     done, rest = _split_incomplete(df, targets)
-    # all columns in one search: a column is a group of its own
+    # all columns in one search: a column is a group of its own, in which no row asks for its values
     asked = [rest.filter(col(t).isNull()).select(F.lit(i).alias("_col"), F.concat_ws(":", "_rid", F.lit(i)).alias("_ask"),
                                                  *[col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)]) for i, t in enumerate(targets)]
     known = [df.filter(col(t).isNotNull()).select(F.lit(i).alias("_col"), col(t).cast("double").alias("_pay"),
-                                                  *[col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)]) for i, t in enumerate(targets)]
+                                                  *[(F.lit(None) if c == t else col(c)).cast("double").alias(f"_x{j}") for j, c in enumerate(cols)]) for i, t in enumerate(targets)]
     asked, known = (reduce(DataFrame.unionByName, part) for part in (asked, known))
     near = nearest_rows(asked, known, [f"_x{j}" for j in range(len(cols))], k, "_ask", "_pay", group="_col")
     total = F.aggregate("near", F.lit(0.0), lambda s, n: s + n["pay"])

@@ -12,6 +12,10 @@ queries of a batch at once, dropping boxes beyond the bound. The ``RING`` neares
 come next, the bound falls, and then what is left within it. Inside a task distances
 are computed in numpy, and only k rows per query and cell leave it.
 
+A query that has one feature needs no tree: its nearest rows are those with the k + 1
+values next to its own on either side. Donors and queries are sorted along the feature in
+slices, and each slice knows the values at the ends of the others.
+
 Distance is Euclidean over the features both rows have, scaled up by the share
 of features missing; ties go to the smaller payload.
 """
@@ -20,9 +24,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +46,11 @@ RING = 8
 FAN = 16
 #: Groups are dealt to so many trees; rows of another group in a cell are passed over.
 TREES = 1_024
+#: Rows of a slice of a sorted feature, and the most neighbours that are looked up there.
+ROWS_PER_SLICE = 200_000
+LINE_K = 32
+#: The number of the group null.
+NO_GROUP = -(1 << 40)
 
 
 def nearest_rows(queries: DataFrame, donors: DataFrame, features: Sequence[str], k: int,
@@ -62,12 +73,29 @@ def nearest_rows(queries: DataFrame, donors: DataFrame, features: Sequence[str],
 
     q = cut_lineage(shaped(queries, col(query_id).alias("_q")))
     d = shaped(donors, col(payload).alias("_pay"), (col(self_id) if self_id else F.lit(None)).cast("string").alias("_self"))
+    parts, whole = [], group is None or dict(donors.dtypes)[group] in ("tinyint", "smallint", "int")
+    if whole and not self_id and pay_type == "double" and k <= LINE_K:
+        found, q = _on_lines(q, d, feats, k)
+        parts += [] if found is None else [found]
+    if not parts or not q.isEmpty():
+        best = _in_cells(q, d, feats, k, pay_type, query_id=queries.schema[query_id].dataType.simpleString(),
+                         copies=k + bool(self_id), visits=visits)
+        parts += [] if best is None else [best]
+    if not parts:
+        kinds = dict(queries.dtypes)[query_id]
+        return q.sparkSession.createDataFrame([], f"`{query_id}` {kinds}, near array<struct<d2: double, pay: {pay_type}>>")
+    return reduce(DataFrame.unionByName, parts).select(F.col("_q").alias(query_id), F.col("_near").alias("near"))
+
+
+def _in_cells(q: DataFrame, d: DataFrame, feats: Sequence[str], k: int, pay_type: str, query_id: str,
+              copies: int, visits: list | None) -> DataFrame | None:
+    """``_q, _near`` by the tree; ``copies`` donors with equal features are kept."""
     # of donors with equal features only the first ones can ever be used
     first = W.partitionBy("_g", *feats).orderBy("_pay", "_self")
-    d = cut_lineage(d.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + bool(self_id)).drop("_n"))
+    d = cut_lineage(d.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= copies).drop("_n"))
     tree, d = _tree(q, d, feats)
     shared = q.sparkSession.sparkContext.broadcast(tree)
-    visit = _visitor(feats, k, pay_type, query_id=queries.schema[query_id].dataType.simpleString())
+    visit = _visitor(feats, k, pay_type, query_id=query_id)
     names, q_schema = q.columns, ", ".join(f"{n} {t}" for n, t in q.dtypes)
 
     def steps(skip: int, take: int | None):
@@ -99,10 +127,121 @@ def nearest_rows(queries: DataFrame, donors: DataFrame, features: Sequence[str],
         if best is not None:
             found = found.unionByName(best.select("_q", F.explode("_near").alias("_n")).select("_q", "_n.d2", "_n.pay"))
         best = cut_lineage(found.groupBy("_q").agg(_best(k).alias("_near")))
-    if best is None:
-        kinds = dict(queries.dtypes)[query_id]
-        return q.sparkSession.createDataFrame([], f"`{query_id}` {kinds}, near array<struct<d2: double, pay: {pay_type}>>")
-    return best.select(F.col("_q").alias(query_id), F.col("_near").alias("near"))
+    return best
+
+
+def _on_lines(q: DataFrame, d: DataFrame, feats: Sequence[str], k: int) -> tuple[DataFrame | None, DataFrame]:
+    """``_q, _near`` of the queries with one feature, and the other queries.
+
+    A line is one feature of one group. Its values lie in slices, sorted also by payload, so that a value
+    that many donors have is spread. A query whose last value looked at is as far as its k-th neighbour, by
+    rounding, is handed on with the others.
+    """
+    p = len(feats)
+    known = reduce(lambda a, b: a + b, [(F.col(f).isNotNull() & ~F.isnan(f)).cast("int") for f in feats])
+    asked, others = q.filter(known == 1), q.filter(known > 1)
+    if asked.isEmpty():
+        return None, others
+    number = F.coalesce(F.expr("try_cast(_g AS bigint)"), F.lit(NO_GROUP)) * p
+
+    def points(df: DataFrame, name: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct((number + i).alias("_line"), F.col(f).alias("_x")) for i, f in enumerate(feats)]))
+        return df.select(name, each.alias("_at")).select(name, "_at.*").filter(F.abs("_x") < float("inf"))
+
+    spots = points(asked, "_q")
+    lines = broadcast_if_small(spots.select("_line").distinct())
+    rows = points(d, "_pay").join(lines, "_line", "left_semi").select("_line", "_x", "_pay", F.lit(False).alias("_ask"))
+    rows = rows.unionByName(spots.select("_line", "_x").distinct().select("_line", "_x", F.lit(None).cast("double").alias("_pay"), F.lit(True).alias("_ask")))
+    n, cores = rows.count(), q.sparkSession.sparkContext.defaultParallelism
+    slices = max(-(-n // ROWS_PER_SLICE), min(cores, -(-n // 10_000)), 1)
+    shape = "_line bigint, _x double, _pay double, _ask boolean, _part int, _edge boolean"
+    sliced = cut_lineage(rows.repartitionByRange(slices, "_line", "_x", "_pay").mapInPandas(_slice(k), shape))
+    ends = sliced.filter("_edge").select("_line", "_x", "_pay", "_part").toPandas().sort_values("_line", ignore_index=True)
+    ends = q.sparkSession.sparkContext.broadcast({c: ends[c].to_numpy() for c in ends.columns})
+    cells = [f"{c}{i}" for c in ("_d", "_p") for i in range(k)]
+    found = cut_lineage(sliced.drop("_edge").mapInPandas(_search(ends, k, p), f"_line bigint, _x double, _sure boolean, {', '.join(f'{c} double' for c in cells)}"))
+    near = F.filter(F.array(*[F.struct(F.col(f"_d{i}").alias("d2"), F.col(f"_p{i}").alias("pay")) for i in range(k)]), lambda n: n["d2"].isNotNull())
+    met = spots.join(found.select("_line", "_x", "_sure", near.alias("_near")), ["_line", "_x"])
+    if not found.filter("NOT _sure").isEmpty():
+        others = others.unionByName(q.join(met.filter("NOT _sure").select("_q"), "_q", "left_semi"))
+    return met.filter(F.col("_sure") & (F.size("_near") > 0)).select("_q", "_near"), others
+
+
+def _runs(line: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the run of equal values that each sorted row is in, and its place there."""
+    new = np.ones(len(x), bool)
+    new[1:] = (line[1:] != line[:-1]) | (x[1:] != x[:-1])
+    run = np.cumsum(new) - 1
+    return run, np.arange(len(x)) - np.flatnonzero(new)[run]
+
+
+def _slice(k: int):
+    """Rows of a slice: queries, and of each value the donors with the k smallest payloads, the values at both ends marked."""
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = list(batches)
+        if not own:
+            return
+        own = pd.concat(own, ignore_index=True).assign(_part=TaskContext.get().partitionId(), _edge=False)
+        yield own[own["_ask"]]
+        own = own[~own["_ask"]]
+        own = own.iloc[np.lexsort((own["_pay"], own["_x"], own["_line"]))]
+        line = own["_line"].to_numpy()
+        run, place = _runs(line, own["_x"].to_numpy())
+        if len(run):
+            own["_edge"] = ((run < k + 2) & (line == line[0])) | ((run > run[-1] - (k + 2)) & (line == line[-1]))
+        yield own[place < k]
+    return shrink
+
+
+def _search(ends, k: int, p: int):
+    """The k nearest donors on its line for each query of a slice."""
+    def nearest(asked: np.ndarray, x: np.ndarray, pay: np.ndarray) -> Iterator[np.ndarray]:
+        order = np.lexsort((pay, x))
+        x, pay = x[order], pay[order]
+        run, place = _runs(np.zeros(len(x)), x)
+        kept = place < k
+        values = x[place == 0]
+        pays, full = np.full((len(values), k), np.nan), np.zeros((len(values), k), bool)
+        pays[run[kept], place[kept]], full[run[kept], place[kept]] = pay[kept], True
+        for start in range(0, len(asked), 4096):
+            at = asked[start:start + 4096]
+            if not len(values):
+                yield np.hstack([at[:, None], np.ones((len(at), 1)), np.full((len(at), 2 * k), np.nan)])
+                continue
+            beside = np.searchsorted(values, at, "right")[:, None] + np.arange(-(k + 1), k + 1)
+            there = np.clip(beside, 0, len(values) - 1)
+            gap = at[:, None] - values[there]
+            with np.errstate(over="ignore"):
+                far = np.where(beside == there, gap * gap * p, np.inf)
+            every = np.where(full[there], far[:, :, None], np.inf).reshape(len(at), -1)
+            theirs = pays[there].reshape(len(at), -1)
+            best = np.lexsort((theirs, every))[:, :k]
+            every, theirs = np.take_along_axis(every, best, 1), np.take_along_axis(theirs, best, 1)
+            last = np.where(np.isfinite(every[:, -1]), every[:, -1], -1.0)
+            sure = (far[:, 0] > last) & (far[:, -1] > last)
+            missing = ~np.isfinite(every)
+            every[missing], theirs[missing] = np.nan, np.nan
+            yield np.hstack([at[:, None], sure[:, None], every, theirs])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = list(batches)
+        if not own:
+            return
+        own = pd.concat(own, ignore_index=True)
+        part, ask = own["_part"].iloc[0], own["_ask"].to_numpy()
+        asked, own = own[ask].sort_values("_line", kind="stable"), own[~ask].sort_values("_line", kind="stable")
+        own, end = {c: own[c].to_numpy() for c in own.columns}, ends.value
+        names = ["_x", "_sure", *[f"{c}{i}" for c in ("_d", "_p") for i in range(k)]]
+        for line, some in asked.groupby("_line"):
+            a, b = np.searchsorted(own["_line"], [line, line + 1])
+            c, e = np.searchsorted(end["_line"], [line, line + 1])
+            other = end["_part"][c:e] != part
+            x, pay = (np.concatenate([own[n][a:b], end[n][c:e][other]]) for n in ("_x", "_pay"))
+            for block in nearest(some["_x"].to_numpy(), x, pay):
+                out = pd.DataFrame(block, columns=names)
+                out.insert(0, "_line", line)
+                yield out.assign(_sure=out["_sure"] > 0)
+    return search
 
 
 def _best(k: int):

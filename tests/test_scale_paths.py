@@ -168,6 +168,35 @@ def test_nearest_rows_of_many_groups_share_trees(spark, monkeypatch):
         assert got[i] == [x for _, x in order[:3]]
 
 
+def test_rows_with_one_feature_are_found_beside_it_on_its_line(spark, monkeypatch):
+    """Slices of a few rows, values that many donors have, infinite ones, and squares that rounding makes equal."""
+    monkeypatch.setattr(knn, "ROWS_PER_SLICE", 40)
+    rng = np.random.default_rng(12)
+    n = 600
+    d = pd.DataFrame({"a": rng.normal(0, 3, n).round(1), "b": rng.exponential(9, n).round(), "pay": rng.integers(0, 90, n).astype(float), "g": rng.integers(0, 3, n)})
+    d.loc[:200, ["a", "g"]] = [0.5, 1]
+    d.loc[201:230, "b"] = rng.random(30)
+    d.loc[231:233, "a"] = [np.inf, -np.inf, 1e200]
+    d.loc[rng.choice(np.arange(240, n), 90, replace=False), "a"] = np.nan
+    q = pd.DataFrame({"qid": np.arange(160), "a": rng.normal(0, 3, 160).round(1), "b": rng.exponential(9, 160).round(), "g": rng.integers(0, 4, 160)})
+    q.loc[::2, "a"], q.loc[1::2, "b"] = np.nan, np.nan
+    q.loc[:3, ["a", "b"]] = [[np.nan, 1e18], [np.inf, np.nan], [np.nan, np.nan], [1e180, np.nan]]
+    clean = lambda p: spark.createDataFrame(p).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if p[c].dtype == float else F.col(c).cast("int").alias(c) for c in p.columns])
+    for left, right, group in ((q[4:], d, "g"), (q, d, None), (q, d[:0], "g")):
+        visits = []
+        got = knn.nearest_rows(clean(left), clean(right) if len(right) else clean(d).limit(0), ["a", "b"], 5, "qid", "pay", group, visits=visits)
+        found = {r["qid"]: [(x["d2"], x["pay"]) for x in r["near"]] for r in got.collect()}
+        want = {}
+        for i, one in left.iterrows():
+            same = right[right.g == one.g] if group else right
+            some = same[np.isfinite(same["a"] - one.a) if np.isnan(one.b) else np.isfinite(same["b"] - one.b)]
+            with np.errstate(over="ignore"):
+                gap = (some["a"] - one.a if np.isnan(one.b) else some["b"] - one.b) ** 2 * 2
+            want[one.qid] = [x for x in sorted(zip(gap, some.pay)) if np.isfinite(x[0])][:5]
+        assert found == {i: v for i, v in want.items() if v}
+        assert bool(visits) == (group is None)  # the tree is asked for the rounded ones alone
+
+
 def test_nearest_rows_leave_out_the_row_itself(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (2, 0.1, "a"), (3, 5.0, "a"), (4, 0.05, "b"), (5, 9.0, "b")], "id long, x double, c string")
     got = knn.nearest_rows(df, df, ["x"], 2, "id", "id", group="c", self_id="id")
