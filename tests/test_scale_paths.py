@@ -231,6 +231,48 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch, minimum):
     assert got == {(a, b) for a in words for b in other if same(a, b) >= minimum - 1e-12}
 
 
+@pytest.mark.parametrize("minimum", [0.95, 0.85, 0.7, 0.5])
+def test_similar_texts_share_a_segment(spark, monkeypatch, minimum):
+    monkeypatch.setattr(fuzzy, "TEXTS_PER_CHUNK", 3)
+    rng = np.random.default_rng(8)
+    words = {"".join(rng.choice(list("ab1é"), rng.integers(1, 12))) for _ in range(70)} | {"", "a", "aaaaaaaa", "name 00123", "name 01230"}
+    other = {w[: len(w) // 2] + "c" + w[len(w) // 2 + 1:] for w in words} | {w[1:] + "b" for w in words} | {"", "aaaaaaaa", "name 00213", "name 0123"}
+    frame = lambda texts, c: spark.createDataFrame([(w,) for w in sorted(texts)], f"{c} string")
+    texts = fuzzy._Texts(frame(words, "a"), frame(other, "b"), minimum)
+    texts.pairs = float("inf")
+    texts._take(*fuzzy._segments(texts.left, texts.right, minimum, float("inf")))
+    got = {(r["a"], r["b"]) for r in fuzzy._search(texts).collect()}
+    assert got == {(a, b) for a in words for b in other if a and b and 1 - edit(a, b) / max(len(a), len(b)) >= minimum - 1e-12}
+
+
+def test_numbered_names_meet_in_few_pairs(spark, monkeypatch):
+    """Grams of numbers are in nearly all names; segments pair fewer."""
+    monkeypatch.setattr(fuzzy, "MANY", 1_000)
+    names = spark.range(1000).select(F.format_string("supplier %09d", F.col("id")).alias("a"))
+    texts = fuzzy._Texts(names, names.toDF("b"), 0.85)
+    assert texts.pairs < 1000 * 1000 * 0.6
+    assert texts.counts.filter("s LIKE '18.2.%'").count() == texts.counts.count()
+
+
+@pytest.mark.parametrize("many, searched", [(10 ** 7, {0, 1}), (3_000, {1}), (0, {1})])
+def test_record_link_leaves_out_a_search_that_costs_more_than_it_saves(spark, monkeypatch, many, searched):
+    monkeypatch.setattr(fuzzy, "MANY", many)
+    monkeypatch.setattr(fuzzy, "FEW", 0)
+    monkeypatch.setattr(fuzzy, "PAIRS_PER_TASK", 200)
+    rng = random.Random(3)
+    made = lambda n: [(f"Supplier#{rng.randrange(500):09d}", rng.choice(["Berlin", "Berlyn", "Madrid", "Oslo", "Lima", "Accra", "", None])) for _ in range(n)]
+    a, b = made(40), made(60)
+    left = spark.createDataFrame([(i, *x) for i, x in enumerate(a)], "i int, name string, town string")
+    right = spark.createDataFrame([(i, *x) for i, x in enumerate(b)], "j int, name string, town string")
+    used, real = [], fuzzy._link_columns
+    monkeypatch.setattr(fuzzy, "_link_columns", lambda *x: used.append(real(*x)) or used[-1])
+    got = sorted((r["i"], r["j"]) for r in fuzzy.fuzzy_record_link(left, right, ["name", "town"], ["name", "town"], 0.8).collect())
+    same = lambda x, y: x is not None and y is not None and (not (x or y) or 1 - edit(x, y) / max(len(x), len(y)) >= 0.8)
+    plain = lambda t: None if t is None else t.lower().replace("#", " ")
+    assert got == sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if all(same(plain(u), plain(v)) for u, v in zip(x, y)))
+    assert len(got) > 40 and set(used[0][1]) == searched
+
+
 def test_record_link_allows_misses_over_many_columns(spark):
     names = [f"c{i}" for i in range(7)]
     base = [f"value number {i}" for i in range(7)]
