@@ -208,6 +208,37 @@ def test_impute_knn_without_a_shared_value_uses_the_mean(spark):
     assert (2.0 * 0 + 1.5, 2.0) in {tuple(r) for r in impute.impute_knn(df, k=1).collect()}
 
 
+def test_full_preset_with_two_numbers_needs_no_tree(spark, monkeypatch):
+    """Rows that lack one of two numbers have the other alone, also where the key is null or a row comes twice."""
+    from dataclasses import replace
+
+    from tableprep.plans import prepare
+
+    monkeypatch.setattr(knn, "ROWS_PER_SLICE", 50)
+    monkeypatch.setattr(knn, "_tree", lambda *x: pytest.fail("a row with one number was searched in the tree"))
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 50 == 9 else i, None if i % 7 == 3 else float(rng.integers(0, 60)), None if i % 5 == 2 else int(rng.integers(0, 40)), "abc"[i % 3])
+            for i in range(300)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "id int, x double, y int, c string")
+    out, _ = prepare.prepare(df, replace(prepare.PRESETS["full"], keep=("id",)))
+    x, y = (np.array([np.nan if r[j] is None else r[j] for r in rows], dtype=float) for j in (1, 2))
+
+    def filled(a, b):
+        """The gaps of a: mean of the five nearest by b, else of all."""
+        full = a.copy()
+        for i in np.flatnonzero(np.isnan(a)):
+            near = sorted((abs(b[j] - b[i]), a[j]) for j in range(len(a)) if not np.isnan(a[j]) and not np.isnan(b[j]))[:5] if not np.isnan(b[i]) else []
+            full[i] = np.mean([v for _, v in near]) if near else np.nanmean(a)
+        low, high = np.quantile(full, [0.25, 0.75])
+        full = np.clip(full, low - 1.5 * (high - low), high + 1.5 * (high - low))
+        return (full - full.min()) / (full.max() - full.min())
+
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = sorted([(r["id"], round(r["x"], 6), round(r["y"], 6)) for r in out.collect()], key=key)
+    assert got == sorted([(r[0], round(u, 6), round(v, 6)) for r, u, v in zip(rows, filled(x, y).tolist(), filled(y, x).tolist())], key=key)
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
